@@ -257,12 +257,13 @@ def redact_text(text: str) -> str:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with secrets redacted in ``text``; null stays null."""
-    at = df.columns.index(text)
+    names = df.columns
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             done = pa.array([None if t is None else redact_text(t) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], df.columns)
+            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], names)
 
     return df.mapInArrow(run, df.schema)
 
