@@ -43,6 +43,12 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    return suffixes.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_secret_scan": op4_secret_scan,
@@ -50,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_arc_to_warc": op8_arc_to_warc,
+        "op9_suffix_dedup": op9_suffix_dedup,
     }
 
 
