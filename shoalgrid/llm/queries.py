@@ -32,6 +32,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import multiindex
+
+    return multiindex.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -58,6 +64,7 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_multi_index_dedup": op2_multi_index_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op6_toxicity": op6_toxicity,
