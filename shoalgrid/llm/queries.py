@@ -32,12 +32,24 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op2_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import multiindex
 
     return multiindex.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -64,7 +76,9 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op2_multi_index_dedup": op2_multi_index_dedup,
+        "op3_license_scan": op3_license_scan,
         "op4_secret_scan": op4_secret_scan,
         "op5_simhash_dedup": op5_simhash_dedup,
         "op6_toxicity": op6_toxicity,
@@ -86,7 +100,38 @@ FROM m
 """
 
 
+# The fold over a cycle's slots as a recursion: `pick` encodes the earliest deadline and its source.
+_OP1 = """
+WITH RECURSIVE
+r AS (SELECT doc_id, source, coalesce('s' || source, 'null') AS src,
+             row_number() OVER (PARTITION BY coalesce('s' || source, 'null')
+                                ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id NULLS FIRST) - 1 AS rnk FROM documents),
+c AS (SELECT src, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY src),
+s AS (SELECT src, n, (n + 15) // 16 AS blocks,
+             greatest(1, CAST(round(sqrt(CAST(n AS DOUBLE)) / (SELECT sum(sqrt(CAST(n AS DOUBLE))) FROM c) * 240) AS BIGINT)) AS quota FROM c),
+b AS (SELECT DISTINCT first FROM (SELECT 0 AS first UNION ALL SELECT (blocks - 1) // quota FROM s UNION ALL SELECT (blocks - 1) // quota + 1 FROM s)),
+k AS (SELECT first, list(src ORDER BY src) AS names, list(greatest(0, least(quota, blocks - quota * first)) ORDER BY src) AS q,
+             CAST(sum(greatest(0, least(quota, blocks - quota * first))) AS BIGINT) AS total, CAST(sum(least(blocks, quota * first)) AS BIGINT) AS start
+      FROM b, s GROUP BY first),
+sim AS (
+  SELECT first, names, q, total, start, CAST(0 AS BIGINT) AS t, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS sent, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS kk FROM k WHERE total > 0
+  UNION ALL
+  SELECT first, names, q, total, start, t + 1, list_transform(range(1, len(q) + 1), lambda j: sent[j] + CASE WHEN j = pick % 100000 THEN 1 ELSE 0 END), pick % 100000, sent[pick % 100000]
+  FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(q) + 1), lambda j:
+          CASE WHEN sent[j] < q[j] AND (sent[j] * total) // q[j] <= t THEN (((sent[j] + 1) * total + q[j] - 1) // q[j]) * 100000 + j END), lambda x: x IS NOT NULL)) AS pick
+        FROM sim WHERE t < total)
+),
+slots AS (SELECT first, names[i] AS src, kk, t - 1 AS slot, start, total FROM sim WHERE i IS NOT NULL),
+p AS (SELECT r.*, s.quota, (rnk // 16) // s.quota AS cyc, (rnk // 16) % s.quota AS kk FROM r JOIN s USING (src)),
+f AS (SELECT p.*, (SELECT max(x.first) FROM b x WHERE x.first <= p.cyc) AS first FROM p)
+SELECT f.doc_id, f.source, CAST(f.rnk AS BIGINT) AS mix_rank, CAST(start + (cyc - f.first) * total + slot AS BIGINT) AS mix_block,
+       CAST((start + (cyc - f.first) * total + slot) * 16 + rnk % 16 AS BIGINT) AS mix_position
+FROM f JOIN slots USING (src, first, kk)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mix_sources": _OP1,
         "op8_arc_to_warc": _OP8,
     }
