@@ -15,7 +15,8 @@ def test_families_and_distractors(model):
             assert max(p, key=p.get) == family and p[family] > 0.5, (family, n, p)
     for text in [*licenses.OTHERS, "Version 3 of the plan was licensed to a partner.", "", "Nothing of the sort."]:
         assert model.probabilities(text)["unknown"] > 0.5, text
-    assert max((p := model.probabilities("Our code is released under the MIT License, see below")), key=p.get) == "MIT"
+    p = model.probabilities("Our code is released under the MIT License, see below")
+    assert max(p, key=p.get) == "MIT"
 
 
 def test_native_equals_definition(spark, model):
