@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_W = Window.partitionBy("line_id").orderBy("seq")
+
+def _along():
+    return Window.partitionBy("line_id").orderBy("seq")
 
 
 def split(lines: DataFrame, max_verts: int) -> DataFrame:
@@ -20,15 +22,15 @@ def split(lines: DataFrame, max_verts: int) -> DataFrame:
 
 def lengths(lines: DataFrame) -> DataFrame:
     """Add d, the length along the line up to each vertex."""
-    step = F.hypot(F.col("x") - F.lag("x").over(_W), F.col("y") - F.lag("y").over(_W))
-    return lines.withColumn("_s", F.coalesce(step, F.lit(0.0))).withColumn("d", F.sum("_s").over(_W)).drop("_s")
+    step = F.hypot(F.col("x") - F.lag("x").over(_along()), F.col("y") - F.lag("y").over(_along()))
+    return lines.withColumn("_s", F.coalesce(step, F.lit(0.0))).withColumn("d", F.sum("_s").over(_along())).drop("_s")
 
 
 def resample(lines: DataFrame, target: float) -> DataFrame:
     """(line_id, k, x, y): points every ``target`` along the line, and its end; shorter lines keep their vertices."""
     m = lengths(lines)
     total = F.max("d").over(Window.partitionBy("line_id"))
-    seg = m.withColumn("total", total).withColumn("x2", F.lead("x").over(_W)).withColumn("y2", F.lead("y").over(_W)).withColumn("d2", F.lead("d").over(_W))
+    seg = m.withColumn("total", total).withColumn("x2", F.lead("x").over(_along())).withColumn("y2", F.lead("y").over(_along())).withColumn("d2", F.lead("d").over(_along()))
     short = seg.where(F.col("total") < target).select("line_id", F.col("seq").cast("long").alias("k"), "x", "y")
     long = seg.where((F.col("total") >= target) & F.col("x2").isNotNull() & (F.col("d2") > F.col("d")))
     first = F.ceil(F.col("d") / target)
@@ -43,9 +45,9 @@ def resample(lines: DataFrame, target: float) -> DataFrame:
 def simplify_collinear(lines: DataFrame) -> DataFrame:
     """Without repeated vertices and those between collinear neighbours; ends stay."""
     x, y = F.col("x"), F.col("y")
-    same = (x == F.lag("x").over(_W)) & (y == F.lag("y").over(_W))
+    same = (x == F.lag("x").over(_along())) & (y == F.lag("y").over(_along()))
     kept = lines.withColumn("_same", F.coalesce(same, F.lit(False))).where("not _same").drop("_same")
-    px, py, nx, ny = F.lag("x").over(_W), F.lag("y").over(_W), F.lead("x").over(_W), F.lead("y").over(_W)
+    px, py, nx, ny = F.lag("x").over(_along()), F.lag("y").over(_along()), F.lead("x").over(_along()), F.lead("y").over(_along())
     cross = (x - px) * (ny - y) - (y - py) * (nx - x)
     ahead = (x - px) * (nx - x) + (y - py) * (ny - y) > 0
     return kept.withColumn("_drop", F.coalesce((cross == 0) & ahead, F.lit(False))).where("not _drop").drop("_drop")

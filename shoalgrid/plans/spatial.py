@@ -34,7 +34,7 @@ def nearest_within(points: DataFrame, key: str, targets: DataFrame, radius: floa
 def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, target_key: str = "fid") -> DataFrame:
     """(key, target_key, d2) of the nearest target of every point, at any distance.
 
-    Points that find none within the radius try again with twice the radius;
+    Points that find none within the radius try again with four times the radius;
     each round is checkpointed and holds only the points still without one.
     """
     if targets.isEmpty():
@@ -46,7 +46,7 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, targe
         left = checkpointed(left.join(now.select(key), key, "left_anti"))
         if left.isEmpty():
             return found
-        radius *= 2
+        radius *= 4
 
 
 def boxes_of(boxes: DataFrame, size: float) -> DataFrame:
