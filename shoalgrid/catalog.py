@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as g
-from .operators import interpolate, lines, mesh, raster, sizing
+from .operators import boundaries, domains, interpolate, lines, mesh, raster, sizing
 from .sources import tables as t
 from .sources import text
 
@@ -703,6 +703,159 @@ def stream_windows(spark, sf):
     return windowed_counts(spark, f"{sf}/events.parquet")
 
 
+# -- boundaries and domains ---------------------------------------------------------------------
+
+
+@query
+def hull_rings(spark, sf):
+    return boundaries.ring_types(boundaries.rings(*_mesh(spark, sf)))
+
+
+@query
+def hull_net_area(spark, sf):
+    """Areas of rings, summed: that of the elements."""
+    return boundaries.ring_types(boundaries.rings(*_mesh(spark, sf))).groupBy("component").agg(F.sum("area").alias("area"))
+
+
+@query
+def boundaries_auto(spark, sf):
+    return boundaries.auto_generate(*_mesh(spark, sf))
+
+
+@query
+def boundaries_region(spark, sf):
+    e, n = _mesh(spark, sf)
+    typed = boundaries.auto_generate(e, n)
+    return boundaries.set_region(typed, n, (F.col("x") > 30.5) & (F.col("y") < 2.5), "open").where("btype <> 'interior'").groupBy("btype", "ibtype").agg(F.count("*").alias("n"))
+
+
+@query
+def boundary_runs(spark, sf):
+    return boundaries.chains(boundaries.auto_generate(*_mesh(spark, sf)))
+
+
+@query
+def mesh_domain(spark, sf):
+    return _joined(domains.mesh_domain(*_mesh(spark, sf), -30, 30))
+
+
+@query
+def domain_collect(spark, sf):
+    return domains.collect_domain(t.source_cells(spark, sf), 100000, 250000)
+
+
+@query
+def domain_combine(spark, sf):
+    s = t.source_cells(spark, sf).where("row between 5 and 30 and col between 4 and 25")
+    base = t.raster_cells(spark, sf).select("row", "col")
+    return domains.combine_with_base(s, base, 100000, 250000)
+
+
+@query
+def domain_borders(spark, sf):
+    return domains.cell_borders(raster.domain_cells(t.raster_cells(spark, sf), 0, 60))
+
+
+@query
+def domain_components(spark, sf):
+    return domains.cell_components(raster.domain_cells(t.raster_cells(spark, sf), 0, 60), t.WIDTH)
+
+
+@query
+def domain_sieve(spark, sf):
+    return domains.sieve_cells(raster.domain_cells(t.raster_cells(spark, sf), 0, 60), t.WIDTH, 6)
+
+
+@query
+def remove_slivers(spark, sf):
+    e, n = _mesh(spark, sf)
+    return _joined(domains.remove_slivers(e, n.withColumn("x", F.col("x") + F.col("value") / 128), 0.2))
+
+
+@query
+def cleanup_pinched(spark, sf):
+    e, _ = _mesh(spark, sf)
+    return _joined(mesh.clip_by_nodes(e, mesh.pinched_nodes(e), every=False, inverse=True))
+
+
+@query
+def clip_mesh_by_mesh(spark, sf):
+    e, n = _mesh(spark, sf)
+    return _joined(domains.clip_mesh_by_mesh(e, n, mesh.clip_by_nodes(e, _box_nodes(n)), n, 1.5))
+
+
+@query
+def snap_nodes(spark, sf):
+    n = t.mesh_nodes(spark, sf).select("node_id", "x", "y")
+    return domains.snap(n, "node_id", t.features(spark, sf).withColumn("x", F.col("x") + 0.25), 0.5)
+
+
+@query
+def interp_provenance(spark, sf):
+    """Value and source of each node: of overlapping rasters the last one with data."""
+    n = t.mesh_nodes(spark, sf).select(F.col("y").cast("long").alias("row"), F.col("x").cast("long").alias("col"), "node_id")
+    hit = n.join(t.source_cells(spark, sf), ["row", "col"])
+    return hit.groupBy("node_id").agg(F.max_by(F.struct("raster_id", "z"), F.struct("raster_id", "tie")).alias("m")).select("node_id", "m.raster_id", "m.z")
+
+
+@query
+def boxes_smaller_than(spark, sf):
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0") + F.col("poly_id") % 4)
+    return t.boxes(spark, sf).withColumn("area", area).where("area < 20").select("poly_id", "area")
+
+
+@query
+def box_largest(spark, sf):
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0") + F.col("poly_id") % 4)
+    b = t.boxes(spark, sf).withColumn("area", area)
+    return b.agg(F.max(F.struct("area", -F.col("poly_id"))).alias("m")).select((-F.col("m.col2")).alias("poly_id"), "m.area")
+
+
+@query
+def line_redistribute(spark, sf):
+    return lines.redistribute(t.lines(spark, sf), 3.0).select("line_id", "k", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query
+def line_lengths(spark, sf):
+    return lines.lengths(t.lines(spark, sf)).groupBy("line_id").agg(r6(F.max("d")).alias("length"), F.count("*").alias("n"))
+
+
+@query
+def negative_share(spark, sf):
+    """Share of cells below sea level, by row: where the colours of topography and bathymetry part."""
+    return t.raster_cells(spark, sf, True).groupBy("row").agg(r6(F.avg((F.col("z") < 0).cast("double"))).alias("share"))
+
+
+@query
+def zone_of_bounds(spark, sf):
+    p = t.scattered(spark, sf).select((F.col("x") * 2 - 100).alias("x"), (F.col("y") + 10).alias("y"))
+    b = raster.bbox(p)
+    return b.select(g.utm_zone((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2).alias("zone"), ((F.col("y0") + F.col("y1")) / 2 < 0).alias("south"))
+
+
+@query
+def hfun_mesh_feature(spark, sf):
+    """Sizes of a mesh, from its edges, lowered around places; the largest size is the bound."""
+    e, n = _mesh(spark, sf)
+    p = n.join(mesh.size_from_mesh(e, n), "node_id").withColumn("h", F.col("h") * 20).withColumnRenamed("value", "z")
+    return _sized(sizing.feature(p, "node_id", t.features(spark, sf), 0.5, 5, hmax=30))
+
+
+@query
+def raster_generic_range(spark, sf):
+    return raster.generic_filter(t.raster_cells(spark, sf), 3, lambda a: a.max() - a.min(), tile=16)
+
+
+@query
+def mesh_polygons(spark, sf):
+    from .operators.engine import generate
+
+    b = t.boxes(spark, sf).where("poly_id < 5")
+    corner = F.array(*[F.struct(F.lit(k).alias("seq"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))])
+    return generate(b.select("poly_id", F.lit(0).alias("ring"), F.inline(corner)), 1.0)[1].groupBy("poly_id").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -209,4 +209,24 @@ ORACLE = {
     "particle_velocity": f"WITH {_N}, q AS (SELECT node_id, z AS d FROM n) SELECT node_id, round({_U}, 6) AS velocity FROM q",
     "stream_cell_minimum": "SELECT CAST(user_id % 40 AS BIGINT) AS col, min(value) AS low, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2",
+    "hull_net_area": f"WITH RECURSIVE {_M}{_S}{_corner()}{_AREA}{_COMP} SELECT component, sum(area) AS area FROM cp JOIN ar USING (elem_id) GROUP BY component",
+    "mesh_domain": f"WITH {_M}{_S} SELECT elem_id, {_TEXT} FROM m WHERE elem_id IN (SELECT elem_id FROM en JOIN n USING (node_id) WHERE z > -30 AND z < 30)",
+    "domain_collect": f"WITH {_SRC} SELECT DISTINCT row, col FROM o WHERE z BETWEEN 100000 AND 250000",
+    "domain_combine": f"WITH {_N}, {_SRC}, q AS (SELECT * FROM o WHERE row BETWEEN 5 AND 30 AND col BETWEEN 4 AND 25), x AS (SELECT raster_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM q GROUP BY 1) SELECT DISTINCT row, col, 'raster' AS origin FROM q WHERE z BETWEEN 100000 AND 250000 UNION ALL SELECT r, c, 'base' FROM n WHERE NOT EXISTS (SELECT 1 FROM x WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1)",
+    "domain_borders": _R + ", d AS (SELECT row, col FROM ra WHERE z BETWEEN 0 AND 60), s AS (SELECT row, col, 0 AS side, row - 1 AS r, col AS c FROM d UNION ALL SELECT row, col, 1, row, col + 1 FROM d UNION ALL SELECT row, col, 2, row + 1, col FROM d UNION ALL SELECT row, col, 3, row, col - 1 FROM d) SELECT row, col, side FROM s WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.row = s.r AND x.col = s.c)",
+    "domain_components": "WITH RECURSIVE " + _R[5:] + ", d AS (SELECT row, col, row * 40 + col AS k FROM ra WHERE z BETWEEN 0 AND 60), e AS (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON abs(a.row - b.row) + abs(a.col - b.col) = 1), t(x, y) AS (SELECT k, k FROM d UNION SELECT e.b, t.y FROM t JOIN e ON e.a = t.x WHERE t.y < e.b), c AS (SELECT x, min(y) AS component FROM t GROUP BY x) SELECT row, col, component FROM d JOIN c ON k = x",
+    "domain_sieve": "WITH RECURSIVE " + _R[5:] + ", d AS (SELECT row, col, row * 40 + col AS k FROM ra WHERE z BETWEEN 0 AND 60), e AS (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON abs(a.row - b.row) + abs(a.col - b.col) = 1), t(x, y) AS (SELECT k, k FROM d UNION SELECT e.b, t.y FROM t JOIN e ON e.a = t.x WHERE t.y < e.b), c AS (SELECT x, min(y) AS component FROM t GROUP BY x) SELECT row, col, component FROM d JOIN c ON k = x WHERE component IN (SELECT component FROM c GROUP BY 1 HAVING count(*) > 6)",
+    "remove_slivers": f"WITH {_M}{_S}{_corner('z / 128')}{_AREA}, sm AS (SELECT node_id FROM en WHERE elem_id IN (SELECT elem_id FROM ar WHERE etype = 'tria' AND abs(area) < 0.2)) SELECT elem_id, {_TEXT} FROM m WHERE elem_id NOT IN (SELECT elem_id FROM en WHERE node_id IN (SELECT node_id FROM sm))",
+    "cleanup_pinched": f"WITH {_M}{_S}, pn AS (SELECT node_id FROM (SELECT u AS node_id FROM bd UNION ALL SELECT v FROM bd) GROUP BY node_id HAVING count(*) > 2) SELECT elem_id, {_TEXT} FROM m WHERE elem_id NOT IN (SELECT elem_id FROM en WHERE node_id IN (SELECT node_id FROM pn))",
+    "clip_mesh_by_mesh": f"WITH {_M}{_S}{_BOX}, k AS (SELECT elem_id FROM en GROUP BY elem_id HAVING sum(CASE WHEN node_id IN (SELECT node_id FROM bx) THEN 1 ELSE 0 END) = count(*)), kn AS (SELECT DISTINCT c, r FROM en JOIN k USING (elem_id) JOIN n USING (node_id)), hit AS (SELECT node_id FROM n WHERE EXISTS (SELECT 1 FROM kn WHERE (kn.c - n.c) * (kn.c - n.c) + (kn.r - n.r) * (kn.r - n.r) <= 2.25)) SELECT elem_id, {_TEXT} FROM m WHERE elem_id NOT IN (SELECT elem_id FROM en WHERE node_id IN (SELECT node_id FROM hit))",
+    "snap_nodes": f"WITH {_N}, {_F} SELECT node_id, min(fid) AS fid FROM n JOIN f ON fx = c AND fy = r GROUP BY node_id",
+    "interp_provenance": f"WITH {_N}, {_SRC}, q AS (SELECT node_id, raster_id, o.z, row_number() OVER (PARTITION BY node_id ORDER BY raster_id DESC, tie DESC) AS k FROM n JOIN o ON o.row = n.r AND o.col = n.c) SELECT node_id, raster_id, z FROM q WHERE k = 1",
+    "boxes_smaller_than": f"WITH {_boxes('0.5')} SELECT poly_id, (x1 - x0) * (y1 - y0 + poly_id % 4) AS area FROM b WHERE (x1 - x0) * (y1 - y0 + poly_id % 4) < 20",
+    "box_largest": f"WITH {_boxes('0.5')} SELECT poly_id, (x1 - x0) * (y1 - y0 + poly_id % 4) AS area FROM b ORDER BY area DESC, poly_id LIMIT 1",
+    "line_redistribute": f"WITH {_L}, g AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS s FROM l WINDOW w AS (PARTITION BY line_id ORDER BY seq)), d AS (SELECT line_id, seq, x, y, sum(coalesce(s, 0)) OVER (PARTITION BY line_id ORDER BY seq) AS d FROM g), e AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(d) OVER w AS d2, max(d) OVER (PARTITION BY line_id) AS t FROM d WINDOW w AS (PARTITION BY line_id ORDER BY seq)), q AS (SELECT *, greatest(1, floor(t / 3 + 0.5)) AS parts FROM e), k AS (SELECT CAST(unnest(range(0, 20000)) AS BIGINT) AS k), a AS (SELECT line_id, k, x + (k * (t / parts) - d) / (d2 - d) * (x2 - x) AS x, y + (k * (t / parts) - d) / (d2 - d) * (y2 - y) AS y FROM q JOIN k ON k < parts AND k * (t / parts) >= d AND k * (t / parts) < d2 UNION ALL SELECT line_id, CAST(parts AS BIGINT), x, y FROM q WHERE x2 IS NULL AND t > 0) SELECT line_id, k, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM a",
+    "line_lengths": f"WITH {_L}, g AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS s FROM l WINDOW w AS (PARTITION BY line_id ORDER BY seq)) SELECT line_id, round(sum(coalesce(s, 0)), 6) AS length, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY line_id",
+    "negative_share": _R + "SELECT row, round(avg(CASE WHEN g < 0 THEN CAST(1 AS DOUBLE) WHEN g >= 0 THEN 0 END), 6) AS share FROM ra GROUP BY row",
+    "zone_of_bounds": f"WITH {_P}, b AS (SELECT (min(x * 2 - 100) + max(x * 2 - 100)) / 2 AS lon, (min(y + 10) + max(y + 10)) / 2 AS lat FROM p) SELECT CAST(floor((lon + 180) / 6) + 1 AS INTEGER) AS zone, lat < 0 AS south FROM b",
+    "hfun_mesh_feature": f"WITH {_M}{_S}, {_F}, le AS (SELECT u, v, sqrt(CAST((a.c - b.c) * (a.c - b.c) + (a.r - b.r) * (a.r - b.r) AS DOUBLE)) AS d FROM ed JOIN n a ON a.node_id = u JOIN n b ON b.node_id = v), e2 AS (SELECT u AS node_id, d FROM le UNION ALL SELECT v, d FROM le), h AS (SELECT n.node_id, coalesce(avg(d), 0) * 20 AS h FROM n LEFT JOIN e2 USING (node_id) GROUP BY 1), q AS (SELECT node_id, sqrt(min((c - fx) * (c - fx) + (r - fy) * (r - fy))) AS d FROM n, f GROUP BY node_id) SELECT node_id, round(least(h, least(30, 0.5::DOUBLE * 5 * d + 5)), 6) AS h FROM h JOIN q USING (node_id)",
+    "raster_generic_range": _R + ", mx AS (SELECT max(row) AS mr, max(col) AS mc FROM ra), o AS (SELECT unnest([-1, 0, 1]) AS k), t AS (SELECT a.row, a.col, least(mr, greatest(0, a.row + i.k)) AS sr, least(mc, greatest(0, a.col + j.k)) AS sc FROM ra a, mx, o i, o j) SELECT t.row, t.col, max(b.z) - min(b.z) AS z FROM t JOIN ra b ON b.row = sr AND b.col = sc GROUP BY t.row, t.col",
 }

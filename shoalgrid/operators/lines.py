@@ -42,6 +42,21 @@ def resample(lines: DataFrame, target: float) -> DataFrame:
     return short.unionByName(inner).unionByName(end)
 
 
+def redistribute(lines: DataFrame, distance: float) -> DataFrame:
+    """(line_id, k, x, y): every line in round(length / distance) equal parts, one at least; lines without length stay out."""
+    m = lengths(lines)
+    total = F.max("d").over(Window.partitionBy("line_id"))
+    seg = m.withColumn("total", total).withColumn("x2", F.lead("x").over(_along())).withColumn("y2", F.lead("y").over(_along())).withColumn("d2", F.lead("d").over(_along()))
+    seg = seg.withColumn("parts", F.greatest(F.lit(1), F.floor(F.col("total") / distance + 0.5))).withColumn("step", F.col("total") / F.col("parts"))
+    inner = seg.where(F.col("x2").isNotNull() & (F.col("d2") > F.col("d")))
+    first = F.greatest(F.lit(0).cast("long"), F.floor(F.col("d") / F.col("step")) - 1)
+    ks = F.filter(F.sequence(first, F.floor(F.col("d2") / F.col("step")) + 1), lambda k: (k * F.col("step") >= F.col("d")) & (k * F.col("step") < F.col("d2")) & (k < F.col("parts")))
+    inner = inner.withColumn("k", F.explode(ks)).withColumn("t", (F.col("k") * F.col("step") - F.col("d")) / (F.col("d2") - F.col("d")))
+    inner = inner.select("line_id", F.col("k").cast("long").alias("k"), (F.col("x") + F.col("t") * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + F.col("t") * (F.col("y2") - F.col("y"))).alias("y"))
+    end = seg.where(F.col("x2").isNull() & (F.col("total") > 0)).select("line_id", F.col("parts").cast("long").alias("k"), "x", "y")
+    return inner.unionByName(end)
+
+
 def simplify_collinear(lines: DataFrame) -> DataFrame:
     """Without repeated vertices and those between collinear neighbours; ends stay."""
     x, y = F.col("x"), F.col("y")
