@@ -130,8 +130,41 @@ FROM f JOIN slots USING (src, first, kk)
 """
 
 
+_OP2 = """
+WITH RECURSIVE
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+f AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+t(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, t.y FROM t JOIN p ON p.a = t.x WHERE t.y < p.b),
+c AS (SELECT x, min(y) AS component_id FROM t GROUP BY x),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON x = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+_OP9 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, hex(b[p:p + 49]) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM d WHERE n >= 50)),
+lo AS (SELECT s, min(doc_id) AS lo FROM w GROUP BY s HAVING count(*) > 1),
+m AS (SELECT doc_id, p FROM w JOIN lo USING (s) WHERE lo < doc_id),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS start FROM m),
+i AS (SELECT doc_id, p, sum(start) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, k),
+q AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS c0, a - 1 AS c1 FROM r
+      UNION ALL SELECT doc_id, max(z), (SELECT n FROM d WHERE d.doc_id = r.doc_id) FROM r GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(hex(b[c0:c1]), '' ORDER BY c0) AS kept FROM q JOIN d USING (doc_id) WHERE c1 >= c0 GROUP BY doc_id),
+u AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN removed IS NULL THEN b ELSE from_hex(coalesce(kept, '')) END) AS kept_sha256
+FROM d LEFT JOIN u USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": _OP1,
+        "op2_multi_index_dedup": _OP2,
         "op8_arc_to_warc": _OP8,
+        "op9_suffix_dedup": _OP9,
     }
