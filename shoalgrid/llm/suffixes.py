@@ -46,13 +46,15 @@ GRAM = 16
 SHARD_BYTES, CENSUS_BYTES, SUFFIX_BYTES = 2 << 20, 16 << 20, 8 << 20
 #: Ranges between splitters, and sampled leading tokens for each; buckets beyond that number are made by hash within a range.
 RANGES, SAMPLES = 1024, 32
+#: Shards, chosen by hash, whose anchors are sampled for the splitters.
+SAMPLE_SHARDS = 64
 #: Windows are enumerated over so many bytes at a time.
 SEGMENT = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _ROW = "key long, gid long, kind int, bucket long, blob binary"
-_SHARD, _CENSUS, _MARKS, _SAMPLE = 0, 1, 2, 3
+_SHARD, _CENSUS, _MARKS, _COPIES = 0, 1, 2, 3
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -334,7 +336,24 @@ def shards(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return stored(rows, "suffix-shards")
 
 
-def _census_rows(table: DataFrame, buckets: int, sample_below: int) -> DataFrame:
+def _sample_grams(table: DataFrame, share: float, rate: float) -> DataFrame:
+    """(blob) of sampled anchors' grams from a share of the shards."""
+    below = int(rate * (1 << 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, blob in zip(batch.column("gid").to_pylist(), batch.column("blob")):
+                shard = Shard(gid, blob.as_py())
+                shard.anchors()
+                chosen = np.flatnonzero(shard.hash % _U(1 << 32) < _U(below))
+                grams = shard.buffer[shard.place[chosen, None] + np.arange(GRAM)]
+                yield pa.RecordBatch.from_pydict({"blob": pa.array([grams.tobytes()], pa.binary())})
+
+    chosen = F.pmod(F.xxhash64("gid"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return table.where(chosen).select("gid", "blob").mapInArrow(run, "blob binary")
+
+
+def _census_rows(table: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -348,10 +367,6 @@ def _census_rows(table: DataFrame, buckets: int, sample_below: int) -> DataFrame
                     where = np.array([int.from_bytes(k[:6], "big") for k in keys], _U)
                     for b, s in _spread(where, buckets):
                         yield b, gid, _SHARD, b, _pack(np.frombuffer(b"".join(keys[s]), np.uint8), low[s])
-                    chosen = np.flatnonzero(shard.hash % _U(1 << 32) < _U(sample_below))
-                    if len(chosen):
-                        grams = shard.buffer[shard.place[chosen, None] + np.arange(GRAM)]
-                        yield -1, gid, _SAMPLE, 0, grams.tobytes()
 
         yield from _batches(rows())
 
@@ -398,14 +413,14 @@ def _census_answers(key: int, rows: list) -> Iterator[tuple]:
         for r, (keys, low) in zip(texts, parts):
             data = keys.tobytes()
             copy = np.array([least[data[16 * i : 16 * i + 16]] < x for i, x in enumerate(low.tolist())], np.uint8)
-            yield r[0], r[0], _SAMPLE, r[2], _pack(np.packbits(copy))
+            yield r[0], r[0], _COPIES, r[2], _pack(np.packbits(copy))
 
 
 def _surviving(shard: Shard, answers: list, buckets: int) -> np.ndarray:
     """Anchors to keep, from the census; sets shard.copy (document is a copy of one with a smaller id)."""
     shard.anchors()
     own, keys, low = shard.digests()
-    flags = [_unpack(r[3], np.uint8)[0] for r in sorted((r for r in answers if r[1] == _SAMPLE), key=lambda r: r[2])]
+    flags = [_unpack(r[3], np.uint8)[0] for r in sorted((r for r in answers if r[1] == _COPIES), key=lambda r: r[2])]
     sizes = _sizes(np.array([int.from_bytes(k[:6], "big") for k in keys], _U), buckets)
     copied = np.concatenate([np.unpackbits(f)[:n] for f, n in zip(flags, sizes)]).astype(bool) if flags else np.zeros(len(keys), bool)
     at = {k: i for i, k in enumerate(keys)}
@@ -449,20 +464,19 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """
     out_schema = f"{id_column} long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
     table = shards(docs, id_column, text)
-    total = table.agg(F.sum("n_bytes")).first()[0] or 0
+    total, count = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     census = max(1, -(-total // CENSUS_BYTES))
     wanted = max(1, -(-total // SUFFIX_BYTES))
     ranges = min(RANGES, wanted)
     parts = -(-wanted // ranges)
-    rate = min(1.0, ranges * SAMPLES / max(1.0, total / 18))
-    rows = _census_rows(table, census, int(rate * (1 << 32)))
-    sampled = rows.where(F.col("kind") == _SAMPLE).select("blob")
-    splitters = _split(sampled, ranges) if ranges > 1 else np.empty((0, 2), _U)
+    share = min(1.0, SAMPLE_SHARDS / max(1, count))
+    rate = min(1.0, ranges * SAMPLES / max(1.0, share * total / 18))
+    splitters = _split(_sample_grams(table, share, rate), ranges) if ranges > 1 else np.empty((0, 2), _U)
 
     def answer(key: int, got: list) -> Iterator[tuple]:
         return _census_answers(key, got)
 
-    answers = stored(_exchange(rows.where(F.col("kind") != _SAMPLE), answer), "suffix-census")
+    answers = stored(_exchange(_census_rows(table, census), answer), "suffix-census")
     packed = table.select(F.col("gid").alias("key"), "gid", F.lit(_SHARD).alias("kind"), F.lit(0).cast("long").alias("bucket"), "blob")
 
     def rebuilt(got: list) -> tuple[Shard, list[tuple[int, np.ndarray]]]:
