@@ -856,6 +856,23 @@ def mesh_polygons(spark, sf):
     return generate(b.select("poly_id", F.lit(0).alias("ring"), F.inline(corner)), 1.0)[1].groupBy("poly_id").agg(F.count("*").alias("n"))
 
 
+@query
+def stream_sessions(spark, sf):
+    from .streaming.cells import session_counts
+
+    return session_counts(spark, f"{sf}/events.parquet")
+
+
+@query
+def remesh_holes(spark, sf):
+    """Triangles that close the holes of the mesh: their areas by size."""
+    from .operators.engine import fill_holes
+
+    e, n = _mesh(spark, sf)
+    new = fill_holes(e, n, 0.0, 1.5)
+    return mesh.element_areas(new, n).agg(F.count("*").alias("n"), F.sum(F.abs("area")).alias("area"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

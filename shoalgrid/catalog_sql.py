@@ -229,4 +229,5 @@ ORACLE = {
     "zone_of_bounds": f"WITH {_P}, b AS (SELECT (min(x * 2 - 100) + max(x * 2 - 100)) / 2 AS lon, (min(y + 10) + max(y + 10)) / 2 AS lat FROM p) SELECT CAST(floor((lon + 180) / 6) + 1 AS INTEGER) AS zone, lat < 0 AS south FROM b",
     "hfun_mesh_feature": f"WITH {_M}{_S}, {_F}, le AS (SELECT u, v, sqrt(CAST((a.c - b.c) * (a.c - b.c) + (a.r - b.r) * (a.r - b.r) AS DOUBLE)) AS d FROM ed JOIN n a ON a.node_id = u JOIN n b ON b.node_id = v), e2 AS (SELECT u AS node_id, d FROM le UNION ALL SELECT v, d FROM le), h AS (SELECT n.node_id, coalesce(avg(d), 0) * 20 AS h FROM n LEFT JOIN e2 USING (node_id) GROUP BY 1), q AS (SELECT node_id, sqrt(min((c - fx) * (c - fx) + (r - fy) * (r - fy))) AS d FROM n, f GROUP BY node_id) SELECT node_id, round(least(h, least(30, 0.5::DOUBLE * 5 * d + 5)), 6) AS h FROM h JOIN q USING (node_id)",
     "raster_generic_range": _R + ", mx AS (SELECT max(row) AS mr, max(col) AS mc FROM ra), o AS (SELECT unnest([-1, 0, 1]) AS k), t AS (SELECT a.row, a.col, least(mr, greatest(0, a.row + i.k)) AS sr, least(mc, greatest(0, a.col + j.k)) AS sc FROM ra a, mx, o i, o j) SELECT t.row, t.col, max(b.z) - min(b.z) AS z FROM t JOIN ra b ON b.row = sr AND b.col = sc GROUP BY t.row, t.col",
+    "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k",
 }

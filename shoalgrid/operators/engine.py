@@ -94,3 +94,71 @@ def generate(polygons: DataFrame, size: float | None = None, sizes: DataFrame |
         out = polygons.groupBy("poly_id").cogroup(sizes.groupBy("poly_id")).applyInPandas(lambda a, b: build(int(a.poly_id.iloc[0]), a, b), schema)
     nodes = out.where("kind = 'node'").select("poly_id", F.col("id").alias("node_id"), "x", "y", F.lit(float("nan")).alias("value"))
     return nodes, out.where("kind = 'tria'").select("poly_id", F.col("id").alias("elem_id"), F.lit("tria").alias("etype"), "nodes")
+
+
+def fill_holes(elements: DataFrame, nodes: DataFrame, least: float = 0.0, most: float = math.inf) -> DataFrame:
+    """(elem_id, etype, nodes) of triangles that close interior rings with an area from ``least`` to ``most``.
+
+    Only the ring's own nodes are used; a ring is closed in one task. New ids
+    follow those of the mesh, ring after ring.
+    """
+    from .boundaries import ring_types, rings
+
+    traced = rings(elements, nodes)
+    kinds = ring_types(traced).where((F.col("ring_type") == "interior") & F.abs("area").between(least, most))
+    holes = traced.join(kinds.select("component", "ring"), ["component", "ring"], "left_semi")
+
+    def close(pdf):
+        import pandas as pd
+
+        ring = pdf.sort_values("seq")
+        ids, points = ring.node_id.tolist(), list(zip(ring.x, ring.y))
+        tri = [t for t in delaunay(points) if inside([points], sum(points[i][0] for i in t) / 3, sum(points[i][1] for i in t) / 3)]
+        rows = [(int(ring.component.iloc[0]), int(ring.ring.iloc[0]), k, [int(ids[i]) for i in t]) for k, t in enumerate(tri)]
+        return pd.DataFrame(rows, columns=["component", "ring", "k", "nodes"])
+
+    new = holes.groupBy("component", "ring").applyInPandas(close, "component long, ring int, k int, nodes array<long>")
+    from ..plans.numbering import numbered
+
+    top = (elements.agg(F.max("elem_id")).first()[0] or 0) + 1
+    return numbered(new, ["component", "ring", "k"], "_n").select((F.col("_n") + top).alias("elem_id"), F.lit("tria").alias("etype"), "nodes")
+
+
+def merge_overlapping(background: tuple[DataFrame, DataFrame], foreground: tuple[DataFrame, DataFrame], buffer: float) -> tuple[DataFrame, DataFrame]:
+    """Carve the foreground and a buffer out of the background and close the gap with triangles between both rims.
+
+    The gap is one region: it runs between the foreground's exterior rings and
+    the rings of the carved background that enclose them.
+    """
+    from . import mesh
+    from .boundaries import ring_types, rings
+    from .domains import clip_mesh_by_mesh
+
+    carved = clip_mesh_by_mesh(background[1], background[0], foreground[1], foreground[0], buffer)
+    back_nodes, back = mesh.cleanup_isolates(background[0], carved)
+    front_nodes, front = mesh.cleanup_isolates(*foreground)
+    nodes, elements = mesh.merge_stack([(back_nodes, back), (front_nodes, front)])
+    nodes, elements = mesh.checkpointed(nodes), mesh.checkpointed(elements)
+    traced = rings(elements, nodes)
+    kinds = ring_types(traced)
+    box = front_nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    extent = traced.groupBy("component", "ring").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    around = extent.where((F.col("x0") <= box[0]) & (F.col("y0") <= box[1]) & (F.col("x1") >= box[2]) & (F.col("y1") >= box[3])).select("component", "ring")
+    # rims of the gap: the background's interior ring around the foreground, and the foreground's exterior ring
+    outer = around.join(kinds.where("ring_type = 'interior'").select("component", "ring"), ["component", "ring"])
+    inner = kinds.where("ring_type = 'exterior'").join(around, ["component", "ring"], "left_semi").orderBy(F.abs("area")).limit(1).select("component", "ring")
+    rim = traced.join(outer.unionByName(inner).distinct(), ["component", "ring"], "left_semi").withColumn("gap", F.lit(0))
+
+    def close(pdf):
+        import pandas as pd
+
+        loops = [g.sort_values("seq") for _, g in pdf.groupby(["component", "ring"])]
+        ids = [i for g in loops for i in g.node_id.tolist()]
+        points = [p for g in loops for p in zip(g.x, g.y)]
+        shapes = [list(zip(g.x, g.y)) for g in loops]
+        tri = [t for t in delaunay(points) if inside(shapes, sum(points[i][0] for i in t) / 3, sum(points[i][1] for i in t) / 3)]
+        return pd.DataFrame([(k, [int(ids[i]) for i in t]) for k, t in enumerate(tri)], columns=["k", "nodes"])
+
+    top = (elements.agg(F.max("elem_id")).first()[0] or 0) + 1
+    gap = rim.groupBy("gap").applyInPandas(close, "k int, nodes array<long>")
+    return nodes, elements.unionByName(gap.select((F.col("k") + top).cast("long").alias("elem_id"), F.lit("tria").alias("etype"), "nodes"))

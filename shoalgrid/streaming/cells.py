@@ -39,3 +39,13 @@ def minimum_by_cell(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 def windowed_counts(spark: SparkSession, path: str) -> DataFrame:
     return _drained(hourly(_stream(spark, path)), "complete").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """(user_id, start, n): runs of a user's events less than ``gap`` apart."""
+    s = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def session_counts(spark: SparkSession, path: str) -> DataFrame:
+    return _drained(sessions(_stream(spark, path)), "complete").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
