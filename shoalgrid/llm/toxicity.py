@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, stored
 
 #: Labelled rows for training, chosen by hash of doc_id.
 SAMPLE = 20_000
@@ -137,7 +137,7 @@ def _select(rows: DataFrame, limit: int) -> tuple[list[str], int, int]:
             yield pa.RecordBatch.from_pydict({"name": pa.array(part, pa.string()), "neg": pa.array([by[0][x] for x in part], pa.int64()), "pos": pa.array([by[1][x] for x in part], pa.int64())})
 
     counts = rows.mapInArrow(count, "name string, neg long, pos long").groupBy("name").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    counts = counts.where((F.col("pos") >= SUPPORT) | F.col("name").rlike("^(lexicon|pattern)|^$"))
+    counts = stored(counts.where((F.col("pos") >= SUPPORT) | F.col("name").rlike("^(lexicon|pattern)|^$")), "toxicity-counts")
     total = [r for r in counts.where("name = ''").collect()]
     neg, pos = (total[0].neg, total[0].pos) if total else (0, 0)
     odds = F.log((F.col("pos") + 0.5) / (F.lit(pos) - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (F.lit(neg) - F.col("neg") + 0.5))
@@ -228,7 +228,7 @@ def fallback() -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = FEATURES) -> Model:
     """Fit a model on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    rows = distinct_rows(training_rows(docs, labels, sample))
+    rows = stored(distinct_rows(training_rows(docs, labels, sample)), "toxicity-training")
     names, neg, pos = _select(rows, CANDIDATES)
     if not neg or not pos or not names:
         return fallback()
