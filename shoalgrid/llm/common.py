@@ -60,3 +60,11 @@ def pieces(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
 def utf8_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while any(c.startswith(name.lower()) for c in taken):
+        name = f"_{name}"
+    return name

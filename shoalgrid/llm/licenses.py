@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 LEAST, SIMILAR, SHINGLE = 0.5, 0.8, 5
 _WORDS = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 
@@ -264,8 +266,9 @@ def scan(df: DataFrame, text: str = "text", out: str = "licenses", model: Model
     """
     empty = F.expr("cast(array() as array<struct<family: string, probability: double, confirmed: boolean>>)")
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    found = F.coalesce(paragraphs(F.col(f"`{text}`"), F.col("_lower"), model or train()), empty)
-    return df.select(*keep, F.lower(F.col(f"`{text}`")).alias("_lower")).select(*keep, found.alias(out))
+    low = fresh(df, "_lower")
+    found = F.coalesce(paragraphs(F.col(f"`{text}`"), F.col(low), model or train()), empty)
+    return df.select(*keep, F.lower(F.col(f"`{text}`")).alias(low)).select(*keep, found.alias(out))
 
 
 def license_report(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 #: Rows in a block; blocks in a cycle, about.
 BLOCK_ROWS, CYCLE = 16, 240
@@ -109,13 +109,15 @@ def mix(df: DataFrame, source: str = "source", id_column: str = "doc_id", weight
     names = [f"`{c}`" for c in df.columns]
     hashed = F.coalesce(F.md5(F.col(f"`{id_column}`").cast("string").cast("binary")), F.lit(""))
     part = F.coalesce(F.floor(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") * ranges / (1 << 32)), F.lit(0)).cast("long")
-    rows = df.select("*", source_key(f"`{source}`").alias("_src"), hashed.alias("_hash")).withColumn("_range", part)
+    # the row travels as one struct, so that its columns can't clash with those made here
+    packed = F.struct(*[F.col(c) for c in names]).alias("_row")
+    rows = df.select(packed, source_key(f"`{source}`").alias("_src"), hashed.alias("_hash"), part.alias("_range"))
     counts = stored(rows.groupBy("_src", "_range").agg(F.count("*").alias("n")), "mix-counts")
     before = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     sources = stored(quotas(counts.groupBy(F.col("_src").alias("src")).agg(F.sum("n").alias("n")), weights, cycle, block_rows=block_rows), "mix-sources")
     plan = stored(schedule(sources), "mix-schedule")
-    ties = [F.col(c) for c, (_, kind) in zip(names, df.dtypes) if "map<" not in kind and "variant" not in kind]
+    ties = [F.col(f"_row.{c}") for c, (_, kind) in zip(names, df.dtypes) if "map<" not in kind and "variant" not in kind]
     inner = Window.partitionBy("_src", "_range").orderBy("_hash", *ties)
     ranked = rows.withColumn("_nth", F.row_number().over(inner)).join(offsets, ["_src", "_range"])
     ranked = ranked.withColumn("_rank", (F.col("_before") + F.col("_nth") - 1).cast("long")).withColumn("_own", F.floor(F.col("_rank") / block_rows))
@@ -129,13 +131,13 @@ def mix(df: DataFrame, source: str = "source", id_column: str = "doc_id", weight
     placed = placed.withColumn("first", F.array_max(F.filter("firsts", lambda x: x <= F.col("_cycle"))))
     placed = placed.join(hint(plan.select(F.col("src").alias("_src"), "first", F.col("k").alias("_k"), "slot", "start", "length")), ["_src", "first", "_k"])
     block = F.col("start") + (F.col("_cycle") - F.col("first")) * F.col("length") + F.col("slot")
-    keep = [F.col(c) for c, raw in zip(names, df.columns) if raw not in (f"{prefix}rank", f"{prefix}block", f"{prefix}position")]
+    keep = [F.col(f"_row.{c}").alias(raw) for c, raw in zip(names, df.columns) if raw not in (f"{prefix}rank", f"{prefix}block", f"{prefix}position")]
     return placed.select(*keep, F.col("_rank").alias(f"{prefix}rank"), block.cast("long").alias(f"{prefix}block"), (block * block_rows + F.col("_rank") % block_rows).cast("long").alias(f"{prefix}position"))
 
 
 def mixed(df: DataFrame, source: str = "source", id_column: str = "doc_id", weights: dict[str | None, float] | None = None) -> DataFrame:
     """The rows of ``df`` in the order of the mix, columns unchanged: partition after partition, sorted within."""
-    place = "_mix_"
+    place = fresh(df, "_mix_")
     out = mix(df, source, id_column, weights, prefix=place)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(n, f"{place}position").sortWithinPartitions(f"{place}position").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -286,6 +286,8 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     found = classes(narrow.withColumnRenamed("id", id_column), id_column)
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
     keys = narrow.join(found, "fp").groupBy("root").agg(best.alias("best")).select(F.col("best.key").alias("_key"))
-    rows = df.withColumn("_key", key).join(keys, "_key", "left_semi")
-    order = Window.partitionBy("_key").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in df.columns if c not in (id_column, text) and not isinstance(df.schema[c].dataType, T.MapType)] or [F.lit(1)])
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    # the row travels as one struct, so that its columns can't clash with those made here
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key")).join(keys, "_key", "left_semi")
+    ties = [F.col(f"_row.`{c}`").asc_nulls_last() for c, kind in df.dtypes if c not in (id_column, text) and "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy("_key").orderBy(*(ties or [F.lit(1)]))
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import fresh, pieces, stored
 
 #: Labelled rows for training, chosen by hash of doc_id.
 SAMPLE = 20_000
@@ -280,5 +280,5 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, columns unchanged."""
-    name = "_toxicity"
+    name = fresh(docs, "_toxicity")
     return score(docs, train(docs, labels), out=name).where(F.col(name) < THRESHOLD).drop(name)

@@ -44,7 +44,7 @@ def brute(rows, quota, block_rows):
 def test_against_simulation(spark, weights):
     rng = random.Random(8)
     rows = [(i, rng.choice(["a"] * 6 + ["b", "c", "d", None])) for i in range(900)] + [(None, "b"), (7, "a"), (7, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("src", F.lit(1)).withColumn("first", F.lit(2))
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("src", F.lit(1)).withColumn("first", F.lit(2)).withColumn("_row", F.lit(3)).withColumn("_hash", F.lit(4))
     got = mixing.mix(df, weights=weights, block_rows=4, cycle=24).collect()
     assert len(got) == len(rows) and len({r.mix_position for r in got}) == len(rows)
     counts = {}
@@ -54,6 +54,7 @@ def test_against_simulation(spark, weights):
     quota = {s: max(1, round(w[s] / sum(w.values()) * 24)) for s in counts}
     want = brute(rows, quota, 4)
     for r in got:
+        assert (r.src, r.first, r._row, r._hash) == (1, 2, 3, 4)
         assert want[r.source, r.mix_rank // 4] == r.mix_block and r.mix_position == r.mix_block * 4 + r.mix_rank % 4
     # less than one block from the share while all are active
     total, sent = sum(quota.values()), {s: 0 for s in counts}

@@ -65,3 +65,30 @@ def test_last_stage_against_tiktoken(spark, corpus):
     for r in pipeline.tokenize(spark, docs, corpus).join(docs, "doc_id").collect():
         want = np.array(plain.encode_ordinary(r.text), "<u4").tobytes()
         assert hashlib.sha256(bytes(r.token_ids)).digest() == hashlib.sha256(want).digest()
+
+
+def test_clashing_names_long_texts_and_empty_tables(spark, corpus, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    names = ["_key", "_row", "_nth", "_toxicity", "_mix_rank", "_lower", "key", "fp", "score", "token_ids", "decoded"]
+    long = "word " * 300_000 + "end"
+    more = spark.createDataFrame([(700, long, None, "src9", None), (701, "x" * 1_000_000, None, None, None)], docs.schema)
+    odd = docs.unionByName(more).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    ids = None
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd, corpus)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert all([r[n] for n in names] == list(range(len(names))) for r in rows)
+        ids = {r.doc_id for r in rows}
+        assert {700, 701} <= ids
+    last = {r.doc_id: r for r in pipeline.tokenize(spark, odd, corpus).collect()}
+    assert last[700].lossless and last[701].lossless and last[700].n_tokens > 300_000
+    none = docs.where("false")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, corpus).count() == 0
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{corpus}/labels.parquet").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+    assert pipeline.drop_toxic(spark, docs, str(tmp_path)).count() > 0
