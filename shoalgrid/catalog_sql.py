@@ -230,4 +230,15 @@ ORACLE = {
     "hfun_mesh_feature": f"WITH {_M}{_S}, {_F}, le AS (SELECT u, v, sqrt(CAST((a.c - b.c) * (a.c - b.c) + (a.r - b.r) * (a.r - b.r) AS DOUBLE)) AS d FROM ed JOIN n a ON a.node_id = u JOIN n b ON b.node_id = v), e2 AS (SELECT u AS node_id, d FROM le UNION ALL SELECT v, d FROM le), h AS (SELECT n.node_id, coalesce(avg(d), 0) * 20 AS h FROM n LEFT JOIN e2 USING (node_id) GROUP BY 1), q AS (SELECT node_id, sqrt(min((c - fx) * (c - fx) + (r - fy) * (r - fy))) AS d FROM n, f GROUP BY node_id) SELECT node_id, round(least(h, least(30, 0.5::DOUBLE * 5 * d + 5)), 6) AS h FROM h JOIN q USING (node_id)",
     "raster_generic_range": _R + ", mx AS (SELECT max(row) AS mr, max(col) AS mc FROM ra), o AS (SELECT unnest([-1, 0, 1]) AS k), t AS (SELECT a.row, a.col, least(mr, greatest(0, a.row + i.k)) AS sr, least(mc, greatest(0, a.col + j.k)) AS sc FROM ra a, mx, o i, o j) SELECT t.row, t.col, max(b.z) - min(b.z) AS z FROM t JOIN ra b ON b.row = sr AND b.col = sc GROUP BY t.row, t.col",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k",
+    "grd_lines": f"WITH {_M}, ei AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN etype = 'tria' THEN 0 ELSE 1 END, elem_id) AS id FROM m) SELECT 0 AS section, CAST(0 AS BIGINT) AS id, 'lattice' AS line UNION ALL SELECT 1, 0, concat_ws(' ', (SELECT count(*) FROM m), (SELECT count(*) FROM n)) UNION ALL SELECT 2, node_id + 1, concat_ws(' ', node_id + 1, printf('%.16E', CAST(c AS DOUBLE)), printf('%.16E', CAST(r AS DOUBLE)), printf('%.16E', 0 - z)) FROM n UNION ALL SELECT 3, id, concat_ws(' ', id, len(nodes), array_to_string(list_transform(nodes, lambda x: CAST(x + 1 AS VARCHAR)), ' ')) FROM ei",
+    "sms2dm_lines": f"WITH {_M}, ei AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN etype = 'tria' THEN 0 ELSE 1 END, elem_id) AS id FROM m) SELECT 0 AS section, CAST(0 AS BIGINT) AS id, 'MESH2D' AS line UNION ALL SELECT CASE WHEN etype = 'tria' THEN 1 ELSE 2 END, id, concat_ws(' ', CASE WHEN etype = 'tria' THEN 'E3T' ELSE 'E4Q' END, id, array_to_string(list_transform(nodes, lambda x: CAST(x + 1 AS VARCHAR)), ' ')) FROM ei UNION ALL SELECT 3, node_id + 1, concat_ws(' ', 'ND', node_id + 1, printf('%.16E', CAST(c AS DOUBLE)), printf('%.16E', CAST(r AS DOUBLE)), printf('%.16E', z)) FROM n",
+    "interp_fill_nearest": f"WITH {_N}, {_P}, {_F}, q AS (SELECT pid, x - floor(x) AS fx, y - floor(y) AS fy, floor(x) AS c0, floor(y) AS r0 FROM p), w AS (SELECT pid, r0 + i AS row, c0 + j AS col, (CASE WHEN i = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN j = 1 THEN fx ELSE 1 - fx END) AS w FROM q, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)), li AS (SELECT pid, sum(w * g) AS z FROM w LEFT JOIN n ON r = row AND c = col WHERE w > 0 GROUP BY pid HAVING count(g) = count(*)), ne AS (SELECT pid, CAST(arg_min(fid, ((x - fx) * (x - fx) + (y - fy) * (y - fy)) * 1000000 + fid) AS DOUBLE) AS v FROM p, f GROUP BY pid) SELECT pid, coalesce(z, v) AS value FROM ne LEFT JOIN li USING (pid)",
+    "utm_project": f"""WITH {_P}, k AS (SELECT pid, x * 8 - 160 AS lon, y * 3 - 75 AS lat FROM p),
+z AS (SELECT pid, lon, lat, CAST(CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat <= 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 END AS INTEGER) AS zone FROM k WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90
+      UNION ALL SELECT pid, lon, lat, NULL FROM k WHERE NOT (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90)),
+c AS (SELECT CAST(1 AS DOUBLE) / 298.257222101 / (2 - CAST(1 AS DOUBLE) / 298.257222101) AS n, sqrt(CAST(1 AS DOUBLE) / 298.257222101 * (2 - CAST(1 AS DOUBLE) / 298.257222101)) AS ec),
+a AS (SELECT pid, zone, lat, sinh(atanh(sin(radians(lat))) - ec * atanh(ec * sin(radians(lat)))) AS t, radians(lon - (zone * 6 - 183)) AS l, n FROM z, c),
+b AS (SELECT pid, zone, lat, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3, CAST(0.9996 AS DOUBLE) * 6378137 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS m FROM a)
+SELECT pid, zone, round(m * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) + 500000, 3) AS easting,
+       round(m * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS northing FROM b""",
 }
