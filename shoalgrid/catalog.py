@@ -409,6 +409,18 @@ def hfun_collector_fast(spark, sf):
     return _collector().fast(_sources(spark, sf)).select("row", "col", r6("h").alias("h"))
 
 
+@query
+def hfun_collector_specs(spark, sf):
+    """Every kind of spec on one grid, in the collector's order."""
+    cells = raster.gradient(t.raster_cells(spark, sf))
+    p = cells.select(F.lit(0).alias("source_index"), (F.col("row") * t.WIDTH + F.col("col")).alias("node_id"), "row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "z", "gx", "gy")
+    c = sizing.Collector(hmin=2, hmax=60)
+    c.add_topo_bound(20, "min", lower=60).add_region(8, "max", (F.col("x") > 30.5) & (F.col("y") < 3.5))
+    c.add_constant(45, lower=-90, upper=70).add_flow_limiter(3, 50, upper=40)
+    c.add_feature(t.features(spark, sf), 0.5, 10, hmax=40).add_patch((F.col("x") > 3.5) & (F.col("x") < 6.5), 7)
+    return _sized(c.evaluate(p))
+
+
 @query
 def hfun_priority(spark, sf):
     boxes = spark.createDataFrame([(1, 4.5, 4.5, 20.5, 30.5), (2, 15.5, 10.5, 30.5, 40.5)], "source_index int, x0 double, y0 double, x1 double, y1 double")
@@ -617,6 +629,11 @@ def interp_linear(spark, sf):
     return interpolate.from_raster_linear(t.scattered(spark, sf), t.raster_cells(spark, sf, True))
 
 
+@query
+def interp_cubic(spark, sf):
+    return interpolate.from_raster_cubic(t.scattered(spark, sf), t.raster_cells(spark, sf)).select("pid", r6("z").alias("z"))
+
+
 @query
 def interp_nearest(spark, sf):
     return interpolate.from_raster_nearest(t.scattered(spark, sf), t.raster_cells(spark, sf, True))

@@ -241,4 +241,6 @@ a AS (SELECT pid, zone, lat, sinh(atanh(sin(radians(lat))) - ec * atanh(ec * sin
 b AS (SELECT pid, zone, lat, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3, CAST(0.9996 AS DOUBLE) * 6378137 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS m FROM a)
 SELECT pid, zone, round(m * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) + 500000, 3) AS easting,
        round(m * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS northing FROM b""",
+    "interp_cubic": f"WITH {_N}, {_P}, q AS (SELECT pid, x - floor(x) AS a, y - floor(y) AS b, floor(x) AS c0, floor(y) AS r0 FROM p), w AS (SELECT pid, r0 + i - 1 AS row, c0 + j - 1 AS col, CASE i WHEN 0 THEN ((-0.5 * b + 1) * b - 0.5) * b WHEN 1 THEN (1.5 * b - 2.5) * b * b + 1 WHEN 2 THEN ((-1.5 * b + 2) * b + 0.5) * b ELSE (0.5 * b - 0.5) * b * b END * CASE j WHEN 0 THEN ((-0.5 * a + 1) * a - 0.5) * a WHEN 1 THEN (1.5 * a - 2.5) * a * a + 1 WHEN 2 THEN ((-1.5 * a + 2) * a + 0.5) * a ELSE (0.5 * a - 0.5) * a * a END AS w FROM q, (SELECT unnest([0, 1, 2, 3]) AS i), (SELECT unnest([0, 1, 2, 3]) AS j)) SELECT pid, round(sum(w * z), 6) + 0 AS z FROM w JOIN n ON r = row AND c = col GROUP BY pid HAVING count(*) = 16",
+    "hfun_collector_specs": _RG.rstrip() + f", {_F}, d AS (SELECT row, col, sqrt(min((col - fx) * (col - fx) + (row - fy) * (row - fy))) AS d FROM gr, f GROUP BY row, col), h AS (SELECT row, col, z, least(1e30, CASE WHEN z > 40 OR (gx = 0 AND gy = 0) THEN 1e30 ELSE least(50, greatest(3, abs(z / (3 * sqrt(gx * gx + gy * gy))))) END, CASE WHEN z > -90 AND z < 70 THEN 45 ELSE 1e30 END, greatest(2, least(40, 5 * d + 10)), CASE WHEN col > 3.5 AND col < 6.5 THEN 7 ELSE 1e30 END) AS h FROM gr JOIN d USING (row, col)), t AS (SELECT row, col, CASE WHEN z > 60 AND NOT h > 20 THEN 20 ELSE h END AS h FROM h), u AS (SELECT row, col, CASE WHEN col > 30.5 AND row < 3.5 AND NOT h < 8 THEN 8 ELSE h END AS h FROM t) SELECT row * 40 + col AS node_id, round(CAST(least(60, greatest(2, h)) AS DOUBLE), 6) AS h FROM u",
 }

@@ -182,6 +182,52 @@ class Collector:
         self.constraints.append((source_index, apply))
         return self
 
+    # specs by name; ``source_index`` as in ``add``
+
+    def add_constant(self, value: float, lower: float | None = None, upper: float | None = None, source_index=None) -> "Collector":
+        return self.add("constant", lambda p: constant(p, value, lower, upper), source_index)
+
+    def add_feature(self, places: DataFrame, rate: float = 0.01, target: float | None = None, hmax: float | None = None, key: str = "node_id", source_index=None, kind: str = "feature") -> "Collector":
+        size, top = target if target is not None else self.hmin, hmax if hmax is not None else self.hmax
+        return self.add(kind, lambda p: feature(p, key, places, rate, size, self.hmin, top), source_index)
+
+    def add_contour(self, cells: DataFrame, level: float, rate: float = 0.01, target: float | None = None, key: str = "node_id", source_index=None) -> "Collector":
+        """A feature along the contour of a raster (row, col, z)."""
+        from .raster import contour_segments
+
+        places = contour_segments(cells, level).select(F.xxhash64("row", "col", "side").alias("fid"), "x", "y")
+        return self.add_feature(places, rate, target, key=key, source_index=source_index, kind="contour")
+
+    def add_patch(self, inside: Column, target: float | None = None, source_index=None) -> "Collector":
+        size = target if target is not None else self.hmin
+        return self.add("patch", lambda p: patch(p, inside, size), source_index)
+
+    def add_channel(self, cells: DataFrame, level: float = 0.0, width: float = 1000.0, target: float = 200.0, source_index=None) -> "Collector":
+        """A patch on the narrow parts of a raster's domain; points are met by row and col."""
+        from .raster import channel_cells
+
+        narrow = channel_cells(cells, level, width).withColumn("_narrow", F.lit(True))
+
+        def apply(p: DataFrame) -> DataFrame:
+            return patch(p.join(narrow, ["row", "col"], "left"), F.col("_narrow").isNotNull(), target).select(*p.columns)
+
+        return self.add("channel", apply, source_index)
+
+    def add_flow_limiter(self, hmin: float | None = None, hmax: float | None = None, lower: float | None = None, upper: float | None = None, source_index=None) -> "Collector":
+        return self.add("flow_limiter", lambda p: flow_limiter(p, hmin, hmax, lower, upper), source_index)
+
+    def add_topo_bound(self, value: float, kind: str = "min", lower: float | None = None, upper: float | None = None, rate: float | None = None, key: str = "node_id", source_index=None) -> "Collector":
+        return self.add_constraint(lambda p: constrain(p, topo_bound(value, kind, lower, upper, rate), key), source_index)
+
+    def add_topo_function(self, function: Callable[[Column], Column] = lambda z: z / 2.0, kind: str = "min", lower: float | None = None, upper: float | None = None, rate: float | None = None, key: str = "node_id", source_index=None) -> "Collector":
+        return self.add_constraint(lambda p: constrain(p, topo_function(function, kind, lower, upper, rate), key), source_index)
+
+    def add_courant(self, upper: float | None = 0.9, lower: float | None = None, timestep: float = 150.0, amplitude: float = 2.0, source_index=None) -> "Collector":
+        return self.add_constraint(lambda p: courant(p, timestep, upper, lower, amplitude), source_index)
+
+    def add_region(self, value: float, kind: str, inside: Column, rate: float | None = None, key: str = "node_id", source_index=None) -> "Collector":
+        return self.add_constraint(lambda p: constrain(p, Constraint(value, kind, inside, rate), key), source_index)
+
     def evaluate(self, points: DataFrame, initial_value: float = UNSET) -> DataFrame:
         """All sources with h (exact mode): one plan, refinements before constraints, then the clamp."""
         out = initial(points, initial_value)
