@@ -12,7 +12,9 @@ block. A source that runs out leaves; the others' shares grow in proportion.
 Native DataFrame and SQL expressions only. A cycle's schedule is one fold over
 its slots (``aggregate``); there are at most two kinds of cycle for each source,
 whatever the number of rows. Rows are numbered in two levels - within (source,
-hash range), then by sums over ranges - so that no source lands in one task.
+hash range), then by sums over ranges - so that no source lands in one task. The
+fold costs the number of sources squared times ``CYCLE``: a corpus with more than
+some hundreds of sources should be grouped into fewer first.
 """
 
 from __future__ import annotations
@@ -47,9 +49,9 @@ def quotas(counts: DataFrame, weights: dict[str | None, float] | None = None, cy
             raise ValueError("weights must be positive and finite")
         named = F.create_map(*[x for k, w in weights.items() for x in (F.lit("null" if k is None else f"s{k}"), F.lit(float(w)))])
         weight = F.coalesce(F.try_element_at(named, F.col("src")), F.lit(float(min(weights.values()))))
-    w = counts.withColumn("w", weight)
-    total = w.agg(F.sum("w").alias("total"))
-    return w.crossJoin(F.broadcast(total)).select(  # one row
+    w = counts.withColumn("w", weight).withColumn("_one", F.lit(1))
+    total = w.groupBy("_one").agg(F.sum("w").alias("total"))  # one row
+    return w.join(F.broadcast(total), "_one").select(
         "src", "n", F.ceil(F.col("n") / block_rows).alias("blocks"), F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * cycle)).cast("long").alias("quota")
     )
 
@@ -87,8 +89,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     ends = sources.select(last.alias("last"))
     # cycles change where a source has its last one: before it, at it, and after
     bounds = ends.select(F.explode(F.array(F.col("last"), F.col("last") + 1)).alias("first")).unionByName(ends.select(F.lit(0).cast("long").alias("first"))).distinct()
-    listed = sources.agg(F.sort_array(F.collect_list(F.struct("src", "blocks", "quota"))).alias("s"))
-    kinds = bounds.crossJoin(F.broadcast(listed))  # one row: the sources
+    listed = sources.groupBy(F.lit(1).alias("_one")).agg(F.sort_array(F.collect_list(F.struct("src", "blocks", "quota"))).alias("s"))
+    kinds = bounds.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")  # one row: the sources
     sent = F.transform("s", lambda x: F.greatest(F.lit(0).cast("long"), F.least(x["quota"], x["blocks"] - x["quota"] * F.col("first"))))
     start = F.aggregate(F.transform("s", lambda x: F.least(x["blocks"], x["quota"] * F.col("first"))), F.lit(0).cast("long"), lambda a, x: a + x)
     kinds = kinds.withColumn("q", sent).withColumn("start", start).withColumn("length", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)).where("length > 0")
