@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import map_batches, pieces
 
 LEAF_CHARS = 4096
 WINDOW_CHARS = 64
@@ -124,7 +124,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text"
             ids = [monoid.encode(t or "").astype("<u4").tobytes() for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def decode(df: DataFrame, vocabulary_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded", leaf: int = LEAF_CHARS) -> DataFrame:
@@ -141,15 +141,31 @@ def decode(df: DataFrame, vocabulary_path: str, pattern: str, ids: str = "token_
             done = [monoid.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(done, pa.binary())], names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
+
+
+def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded", leaf: int = LEAF_CHARS) -> DataFrame:
+    """``encode`` and ``decode`` of the ids just made, in one pass through Python: adds both columns."""
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    source = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (ids, out)])
+    schema = source.withColumn(ids, F.lit(b"")).withColumn(out, F.lit(b"")).schema
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        monoid = _monoid(vocabulary.value, pattern, leaf)
+        for batch in pieces(batches, 2 << 20):
+            coded = [monoid.encode(t or "").astype("<u4").tobytes() for t in batch.column(text).to_pylist()]
+            back = [monoid.decode(np.frombuffer(x, "<u4")) for x in coded]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coded, pa.binary()), pa.array(back, pa.binary())], names)
+
+    return map_batches(source, run, schema)
 
 
 def token_digests(df: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of whole texts: encoded, then decoded from the ids."""
-    coded = encode(df.select("doc_id", "text"), vocabulary_path, pattern).select(
+    return round_trip(df.select("doc_id", "text"), vocabulary_path, pattern).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
-        "token_ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return decode(coded, vocabulary_path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +68,15 @@ def fresh(df: DataFrame, name: str) -> str:
     while any(c.startswith(name.lower()) for c in taken):
         name = f"_{name}"
     return name
+
+
+#: Bytes of an Arrow batch on its way to Python: what a worker and the JVM hold at once beside one row.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches of about ``BATCH_BYTES`` for the session, if it still has Spark's default of eight times that."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "64MB", "64m", "67108864"):
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(function, schema)

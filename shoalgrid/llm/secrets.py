@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import map_batches, pieces
 
 KINDS = ("assign", "access", "hex")
 #: A document's decompressed layers may hold so many bytes together; a container that would exceed it stays closed (guards against decompression bombs).
@@ -242,7 +242,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
             found = [[dict(zip(("kind", "start", "end", "base", "via"), s)) for s in scan_text(t or "")] for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def redact_text(text: str) -> str:
@@ -265,7 +265,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
             done = pa.array([None if t is None else redact_text(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], names)
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def secret_digests(df: DataFrame) -> DataFrame:

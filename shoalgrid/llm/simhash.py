@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, stored, utf8_bytes
+from .common import map_batches, pieces, stored, utf8_bytes
 from .components import Forest, components
 
 BITS = 64
@@ -75,7 +75,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
             values = np.frombuffer(got, ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def bit_statistics(fps: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:

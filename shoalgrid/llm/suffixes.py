@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import map_batches, pieces, stored
 
 LENGTH = 50
 GRAM = 16
@@ -332,8 +332,8 @@ def shards(docs: DataFrame, id_column: str, text: str) -> DataFrame:
         if ids:
             yield out()
 
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "gid long, n_bytes long, blob binary")
-    return stored(rows, "suffix-shards")
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    return stored(map_batches(rows, run, "gid long, n_bytes long, blob binary"), "suffix-shards")
 
 
 def _sample_grams(table: DataFrame, share: float, rate: float) -> DataFrame:

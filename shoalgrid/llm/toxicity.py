@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, pieces, stored
+from .common import fresh, map_batches, pieces, stored
 
 #: Labelled rows for training, chosen by hash of doc_id.
 SAMPLE = 20_000
@@ -119,7 +119,7 @@ def distinct_rows(rows: DataFrame) -> DataFrame:
             keys = [sketch(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["text", "toxic", "sketch"])
 
-    return rows.mapInArrow(run, "text string, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    return map_batches(rows, run, "text string, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _select(rows: DataFrame, limit: int) -> tuple[list[str], int, int]:
@@ -136,7 +136,7 @@ def _select(rows: DataFrame, limit: int) -> tuple[list[str], int, int]:
             part = names[at : at + (1 << 16)]
             yield pa.RecordBatch.from_pydict({"name": pa.array(part, pa.string()), "neg": pa.array([by[0][x] for x in part], pa.int64()), "pos": pa.array([by[1][x] for x in part], pa.int64())})
 
-    counts = rows.mapInArrow(count, "name string, neg long, pos long").groupBy("name").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = map_batches(rows, count, "name string, neg long, pos long").groupBy("name").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counts = stored(counts.where((F.col("pos") >= SUPPORT) | F.col("name").rlike("^(lexicon|pattern)|^$")), "toxicity-counts")
     total = [r for r in counts.where("name = ''").collect()]
     neg, pos = (total[0].neg, total[0].pos) if total else (0, 0)
@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
             ids = [sorted(index[f] for f in features(t or "") if f in index) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(1), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    got = rows.mapInArrow(vote, "toxic int, ids array<int>").toArrow()  # ``sample`` rows of ``CANDIDATES`` numbers at most
+    got = map_batches(rows, vote, "toxic int, ids array<int>").toArrow()  # ``sample`` rows of ``CANDIDATES`` numbers at most
     gold = got.column("toxic").to_numpy()
     votes = np.zeros((len(gold), len(names)), np.uint8)
     lists = got.column("ids").combine_chunks()
@@ -268,7 +268,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
             got = pa.array([model.score(t or "") for t in batch.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

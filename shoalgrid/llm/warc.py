@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_path
+from .common import map_batches, pieces, shared_path
 
 #: Smallest payload that is replaced by a revisit record.
 MIN_REVISIT = 1000
@@ -133,7 +133,7 @@ def arc_records(pages: DataFrame) -> DataFrame:
             types = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([_page_id(x["http"]) for x in found], pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], _NAMES)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, _RECORDS)
+    return map_batches(pages.select("page_id", "url", "html"), run, _RECORDS)
 
 
 def _page_id(head: bytes) -> int | None:
