@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from .common import map_batches, pieces, stored, utf8_bytes
 from .components import Forest, components
 
@@ -277,15 +278,17 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each class the row with the smallest id.
 
+    Classes are those of ``similar``: five-word shingle sets of similarity 0.8 or
+    more are linked, all of them; the radius above binds only ``near_duplicates``.
     Null ids come last, ties go to the smallest digest of the text, and of rows
     that are equal in both one stays. Columns and their order are unchanged.
     """
     key = F.concat_ws(":", F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
-    narrow = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"), key.alias("key"))
-    narrow = stored(with_fingerprint(narrow, out="fp").drop("text"), "simhash-rows")
-    found = classes(narrow.withColumnRenamed("id", id_column), id_column)
+    texts = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"), key.alias("key"))
+    narrow = stored(similar.with_set(texts, similar.frequent(texts)), "simhash-rows")
+    rooted = narrow.select("id", "key", "fp").join(similar.roots(narrow, texts).withColumnRenamed("node", "fp"), "fp", "left")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
-    keys = narrow.join(found, "fp").groupBy("root").agg(best.alias("best")).select(F.col("best.key").alias("_key"))
+    keys = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(best.alias("best")).select(F.col("best.key").alias("_key"))
     # the row travels as one struct, so that its columns can't clash with those made here
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key")).join(keys, "_key", "left_semi")
     ties = [F.col(f"_row.`{c}`").asc_nulls_last() for c, kind in df.dtypes if c not in (id_column, text) and "map<" not in kind and "variant" not in kind]
