@@ -138,7 +138,11 @@ def mix(df: DataFrame, source: str = "source", id_column: str = "doc_id", weight
 
 
 def mixed(df: DataFrame, source: str = "source", id_column: str = "doc_id", weights: dict[str | None, float] | None = None) -> DataFrame:
-    """The rows of ``df`` in the order of the mix, columns unchanged: partition after partition, sorted within."""
+    """The rows of ``df`` in the order of the mix, columns unchanged: partition after partition, sorted within.
+
+    The order is that of the files when written; a reader need not keep it, but
+    ``mix`` over the rows read gives each its place again.
+    """
     place = fresh(df, "_mix_")
     out = mix(df, source, id_column, weights, prefix=place)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
