@@ -1,20 +1,35 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-The rows of each source, in an order shuffled by hash, are cut into blocks.
-Time runs in cycles. In a cycle source i sends its weight's share of blocks, q_i
-of Q in all (what is left of it in its last cycle). Its k-th block of a cycle is
-released at floor(k * Q / q_i) and due at ceil((k + 1) * Q / q_i); every slot
-goes to the released block with the earliest deadline. The windows fill each
-cycle exactly, so no deadline is missed, and after any number of slots each
-source has sent its share of the sources still active to within less than one
-block. A source that runs out leaves; the others' shares grow in proportion.
-
-Native DataFrame and SQL expressions only. A cycle's schedule is one fold over
-its slots (``aggregate``); there are at most two kinds of cycle for each source,
-whatever the number of rows. Rows are numbered in two levels - within (source,
-hash range), then by sums over ranges - so that no source lands in one task. The
-fold costs the number of sources squared times ``CYCLE``: a corpus with more than
-some hundreds of sources should be grouped into fewer first.
+The rows of each source, in an order shuffled by hash, are cut into blocks; slot
+t of the mix holds one block. While it has blocks left, source i is due w_i / W
+of each slot, W being the weights of the sources that still have some; so by
+slot t it is due f_i(t) blocks, where all f_i together are t. Its k-th block is
+released at floor(t_k) and due at ceil(t_(k+1)), t_k being the time at which
+f_i reaches k:
+
+    t_k = sum over j of min(n_j, w_j * k / w_i)        (n_j: blocks of source j)
+
+Weights enter as they are, without rounding. Every slot goes to the released
+block with the earliest deadline. No deadline is missed, hence a source is at
+any time less than one block away from what it is due, over the whole mix.
+
+The slots are dealt into chunks that are scheduled side by side. A chunk starts
+from a state that is found without the chunks before it: ``WARM`` slots ahead,
+where every source has sent floor(f_i) blocks, and one more those with the
+earliest deadlines, the same scheduler is started and run up to the chunk. A
+schedule exists from that state on (by Hall's condition for intervals of slots:
+floor(f_i(e)) - floor(f_i(s)) blocks at most must be sent between s and e beyond
+those counted as sent), so the scheduler meets every deadline; and after as many
+slots as the least weight needs for one block, nothing sent can have been
+released too late for the slots it took. The next chunk's start is the end of
+this one: deadlines are cut at it. So the chunks fit together exactly.
+
+Native DataFrame and SQL expressions only; a chunk is one fold over its slots.
+Rows are numbered in two levels - within (source, hash range), then by sums over
+ranges - and the slots of a range's blocks come to it as one array, so no source
+lands in one task and rows move once. A chunk has ``CHUNK`` slots, or as many as
+the least weight needs for one block, each costing time in the number of
+sources: group sources first if there are more than some thousands.
 """
 
 from __future__ import annotations
@@ -24,12 +39,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh, stored
 
-#: Rows in a block; blocks in a cycle, about.
-BLOCK_ROWS, CYCLE = 16, 240
+#: Rows in a block; slots in a chunk, at least.
+BLOCK_ROWS, CHUNK = 16, 256
 #: Without given weights a source weighs its number of rows to this power.
 TEMPERATURE = 0.5
-#: Schedule rows (sources x kinds of cycle x blocks) that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: A time this near to a whole slot is that slot (doubles resolve times up to ten billion slots finer).
+SNAP = 1e-5
+#: Slots that a fold collects before it appends them, so that appending doesn't copy all for each.
+GROUP = 64
 
 
 def source_key(column: str) -> Column:
@@ -37,104 +54,138 @@ def source_key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("null"))
 
 
-def quotas(counts: DataFrame, weights: dict[str | None, float] | None = None, cycle: int = CYCLE, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(src, n, blocks, quota) from (src, n): quota is the share of ``cycle`` rounded, one block at least.
-
-    Sources without a given weight weigh as little as the least given one.
-    """
+def weighted(counts: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(src, n, blocks, w) from (src, n). Sources without a given weight weigh as little as the least given one."""
     if weights is None:
-        weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
+        n = F.col("n").cast("double")
+        weight = F.sqrt(n) if temperature == 0.5 else F.pow(n, F.lit(float(temperature)))
     else:
         if not weights or any(not (w > 0) or w == float("inf") for w in weights.values()):
             raise ValueError("weights must be positive and finite")
         named = F.create_map(*[x for k, w in weights.items() for x in (F.lit("null" if k is None else f"s{k}"), F.lit(float(w)))])
         weight = F.coalesce(F.try_element_at(named, F.col("src")), F.lit(float(min(weights.values()))))
-    w = counts.withColumn("w", weight).withColumn("_one", F.lit(1))
-    total = w.groupBy("_one").agg(F.sum("w").alias("total"))  # one row
-    return w.join(F.broadcast(total), "_one").select(
-        "src", "n", F.ceil(F.col("n") / block_rows).alias("blocks"), F.greatest(F.lit(1), F.round(F.col("w") / F.col("total") * cycle)).cast("long").alias("quota")
-    )
+    return counts.select("src", "n", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), weight.alias("w"))
 
 
-def schedule_of(quota: Column) -> Column:
-    """Earliest-deadline-first over one cycle: the array of (source index, block index in the cycle) by slot.
+# The scheduler is SQL text, as it is one deep expression. ``s`` is an array of
+# struct(src, blocks, w), one entry for each source; other names are columns.
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body``, in which ``name`` stands for ``value``, computed once however often it is named."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _sum(array: str, zero: str = "0D") -> str:
+    return f"aggregate({array}, {zero}, (p, q) -> p + q)"
 
-    ``quota`` is an array of blocks to send for each source; zeros are sources that have left.
-    """
-    total = F.aggregate(quota, F.lit(0).cast("long"), lambda a, q: a + q)
-    state = F.struct(F.transform(quota, lambda q: F.lit(0).cast("long")).alias("sent"), F.expr("cast(array() as array<struct<i: int, k: bigint>>)").alias("slots"))
 
-    def step(s: Column, t: Column) -> Column:
-        # of sources with a released block: the earliest deadline, then the first source
-        due = F.transform(
-            quota,
-            lambda q, i: F.when(
-                (F.get(s["sent"], i) < q) & (F.floor(F.get(s["sent"], i) * total / q) <= t),
-                F.struct(F.ceil((F.get(s["sent"], i) + 1) * total / q).alias("due"), i.alias("i"), F.get(s["sent"], i).alias("k")),
-            ),
-        )
-        best = F.array_min(F.filter(due, lambda d: d.isNotNull()))
-        return F.struct(F.transform(s["sent"], lambda k, i: F.when(i == best["i"], k + 1).otherwise(k)).alias("sent"), F.concat(s["slots"], F.array(F.struct(best["i"].alias("i"), best["k"].alias("k")))).alias("slots"))
+def _time(v: str) -> str:
+    """Slots passed when each source has been due w * v blocks."""
+    return _sum(f"transform(s, z -> least(double(z.blocks), z.w * ({v})))")
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), total - 1), state, step, lambda s: s["slots"])
 
+def _released(x: str, k: str) -> str:
+    return f"floor({_time(f'{k} / {x}.w')} + {SNAP})"
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """(src, first, last, k, slot, start, length): in the cycles first..last the k-th block of src has that slot; cycle ``first`` starts at block ``start`` of the mix.
 
-    ``sources`` has (src, blocks, quota). Its rows are few (one a source) and so
-    are those of the result: blocks of a cycle for each kind of cycle.
+def _due(x: str, k: str) -> str:
+    return f"ceil({_time(f'({k} + 1) / {x}.w')} - {SNAP})"
+
+
+def opening(at: str) -> str:
+    """Blocks that each source has sent at slot ``at``: floor(f_i), and one more for those with the earliest deadlines."""
+    # t(v) is concave: the least of its tangents, so v(t) is the largest of their inverses
+    past = _sum("transform(s, x -> if(x.blocks / x.w <= u, double(x.blocks), 0D))")
+    rate = _sum("transform(s, x -> if(x.blocks / x.w > u, x.w, 0D))")
+    knots = f"transform(concat(array(-1D), transform(s, x -> x.blocks / x.w)), u -> struct({past} AS past, {rate} AS rate))"
+    clock = f"array_max(transform({knots}, k -> if(k.rate > 0, ({at} - k.past) / k.rate, NULL)))"
+    parts = _let("f", "least(double(x.blocks), x.w * v)", f"struct(x AS x, i AS i, f AS f, floor(f + {SNAP}) AS low)")
+    spare = f"array_sort(transform(filter(own, y -> y.f - y.low > {SNAP}), y -> struct({_due('y.x', 'y.low')} AS due, y.i AS i)))"
+    count = f"greatest(0, int({at} - {_sum('transform(own, y -> y.low)', '0L')}))"
+    rounded = _let("more", f"transform(slice({spare}, 1, {count}), y -> y.i)", "transform(own, y -> y.low + bigint(array_contains(more, y.i)))")
+    return _let("v", clock, _let("own", f"transform(s, (x, i) -> {parts})", rounded))
+
+
+def edf(sent: str, end: str, start: str, stop: str, latest: str) -> str:
+    """struct(sent, picks): earliest deadline first over the slots start..stop-1.
+
+    ``end``: blocks after which each source stops; ``latest``: no deadline is
+    later. ``picks``: (source index, block) by slot, in groups of ``GROUP``.
     """
-    last = F.floor((F.col("blocks") - 1) / F.col("quota"))
-    ends = sources.select(last.alias("last"))
-    # cycles change where a source has its last one: before it, at it, and after
-    bounds = ends.select(F.explode(F.array(F.col("last"), F.col("last") + 1)).alias("first")).unionByName(ends.select(F.lit(0).cast("long").alias("first"))).distinct()
-    listed = sources.groupBy(F.lit(1).alias("_one")).agg(F.sort_array(F.collect_list(F.struct("src", "blocks", "quota"))).alias("s"))
-    kinds = bounds.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one")  # one row: the sources
-    sent = F.transform("s", lambda x: F.greatest(F.lit(0).cast("long"), F.least(x["quota"], x["blocks"] - x["quota"] * F.col("first"))))
-    start = F.aggregate(F.transform("s", lambda x: F.least(x["blocks"], x["quota"] * F.col("first"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    kinds = kinds.withColumn("q", sent).withColumn("start", start).withColumn("length", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)).where("length > 0")
-    kinds = kinds.withColumn("slots", schedule_of(F.col("q")))
-    rows = kinds.select("first", "start", "length", "s", F.posexplode("slots").alias("slot", "b"))
-    return rows.select(F.get(F.col("s")["src"], F.col("b")["i"]).alias("src"), "first", F.col("b")["k"].alias("k"), F.col("slot").cast("long").alias("slot"), "start", "length")
-
-
-def mix(df: DataFrame, source: str = "source", id_column: str = "doc_id", weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE, prefix: str = "mix_") -> DataFrame:
-    """``df`` with its place in the mix: ``prefix`` + rank (in the source, from 0), block (of the mix) and position (orders the rows).
+
+    def head(x: str, k: str, end: str) -> str:
+        """The k-th block of a source as it waits; null if there is none."""
+        return f"if({k} < {end}, struct({_released(x, k)} AS released, least({latest}, {_due(x, k)}) AS due), NULL)"
+
+    waiting = "filter(transform(a.head, (h, i) -> if(h IS NULL, NULL, struct(h.released > t AS early, h.due AS due, i AS i))), h -> h IS NOT NULL)"
+    heads = f"transform(a.head, (h, i) -> if(i = best, {head('get(s, i)', '(get(a.sent, i) + 1)', f'get({end}, i)')}, h))"
+    step = f"struct(transform(a.sent, (k, i) -> if(i = best, k + 1, k)) AS sent, {heads} AS head, concat(a.picks, array(struct(best AS i, get(a.sent, best) AS k))) AS picks)"
+    pick = "array<struct<i: int, k: bigint>>"
+    slots = f"aggregate(sequence(first, least(first + {GROUP}, {stop}) - 1), struct(b.sent AS sent, b.head AS head, cast(array() AS {pick}) AS picks), (a, t) -> {_let('best', f'array_min({waiting}).i', step)})"
+    group = _let("d", slots, "struct(d.sent AS sent, d.head AS head, concat(b.picks, array(d.picks)) AS picks)")
+    begin = f"struct({sent} AS sent, transform({sent}, (k, i) -> {head('get(s, i)', 'k', f'get({end}, i)')}) AS head, cast(array() AS array<{pick}>) AS picks)"
+    firsts = f"if({stop} > {start}, sequence({start}, {stop} - 1, {GROUP}L), cast(array() AS array<bigint>))"
+    return f"aggregate({firsts}, {begin}, (b, first) -> {group}, b -> struct(b.sent AS sent, b.picks AS picks))"
+
+
+def schedule(sources: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(src, k, slot): the k-th block of src has that slot of the mix. ``sources`` has (src, blocks, w)."""
+    spark = sources.sparkSession
+    blocks, warm = sources.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.ceil(F.sum("w") / F.min("w") - 1e-9), F.lit(1))).first()
+    length = max(chunk, warm)
+    n = -(-blocks // length)
+    tasks = max(1, min(n + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # one row, with an entry for each source
+    listed = F.broadcast(sources.agg(F.array_sort(F.collect_list(F.struct("src", "blocks", "w"))).alias("s"), F.lit(blocks).alias("blocks"), F.lit(length).alias("length")))
+    start, full = "least(c * length, blocks)", "transform(s, x -> x.blocks)"
+    # at both ends of the mix the state is known
+    state = f"CASE WHEN c = {n} THEN {full} WHEN c = 0 THEN transform(s, x -> 0L) ELSE {edf('ahead', 'full', 'since', 'start', 'blocks')}.sent END"
+    chunks = spark.range(0, n + 1, 1, tasks).withColumnRenamed("id", "c").join(listed).selectExpr("*", f"{start} AS start", f"{full} AS full")
+    chunks = chunks.selectExpr("*", f"greatest(0L, start - {warm}) AS since").selectExpr("*", f"{opening('since')} AS ahead")
+    states = stored(chunks.selectExpr("c", f"{state} AS sent"), "mix-states")
+    ends = states.selectExpr("c - 1 AS c", "sent AS `end`")
+    todo = spark.range(0, n, 1, tasks).withColumnRenamed("id", "c").join(states, "c").join(ends, "c").join(listed)
+    todo = todo.selectExpr("s", "sent", "`end`", f"{start} AS start", "least((c + 1) * length, blocks) AS stop")
+    done = todo.selectExpr("s", "start", f"flatten({edf('sent', '`end`', 'start', 'stop', 'stop')}.picks) AS picks")
+    return done.selectExpr("s", "start", "posexplode(picks) AS (nth, p)").selectExpr("get(s, p.i).src AS src", "p.k AS k", "start + nth AS slot")
+
+
+def mix(df: DataFrame, source: str = "source", id_column: str = "doc_id", weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, chunk: int = CHUNK, prefix: str = "mix_") -> DataFrame:
+    """``df`` with its place in the mix: ``prefix`` + rank (in the source, from 0), block (slot of the mix) and position (orders the rows).
 
     Every row is kept. Within a source rows are ordered by the MD5 of their id
     (null ids first), ties by the row's other columns; rows equal in all take
-    adjacent places. Null is a source of its own. An empty table gives no rows.
+    adjacent places. Rows with a null id are dealt over ranges of their own by
+    the hash of their columns. Null is a source of its own. The last block of a
+    source may be short, so positions leave gaps. An empty table gives no rows.
     """
     spark = df.sparkSession
     ranges = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = [f"`{c}`" for c in df.columns]
-    hashed = F.coalesce(F.md5(F.col(f"`{id_column}`").cast("string").cast("binary")), F.lit(""))
-    part = F.coalesce(F.floor(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") * ranges / (1 << 32)), F.lit(0)).cast("long")
+    ordered = [c for c, (_, kind) in zip(names, df.dtypes) if "map<" not in kind and "variant" not in kind]
+    hashed = F.md5(F.col(f"`{id_column}`").cast("string").cast("binary"))
+    loose = F.pmod(F.xxhash64(*ordered), F.lit(ranges)) - ranges  # ranges below zero: null ids come first
+    part = F.when(hashed.isNull(), loose).otherwise(F.floor(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") * ranges / (1 << 32))).cast("long")
     # the row travels as one struct, so that its columns can't clash with those made here
     packed = F.struct(*[F.col(c) for c in names]).alias("_row")
-    rows = df.select(packed, source_key(f"`{source}`").alias("_src"), hashed.alias("_hash"), part.alias("_range"))
+    rows = df.select(packed, source_key(f"`{source}`").alias("_src"), F.coalesce(hashed, F.lit("")).alias("_hash"), part.alias("_range"))
     counts = stored(rows.groupBy("_src", "_range").agg(F.count("*").alias("n")), "mix-counts")
     before = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    sources = stored(quotas(counts.groupBy(F.col("_src").alias("src")).agg(F.sum("n").alias("n")), weights, cycle, block_rows=block_rows), "mix-sources")
-    plan = stored(schedule(sources), "mix-schedule")
-    ties = [F.col(f"_row.{c}") for c, (_, kind) in zip(names, df.dtypes) if "map<" not in kind and "variant" not in kind]
-    inner = Window.partitionBy("_src", "_range").orderBy("_hash", *ties)
-    ranked = rows.withColumn("_nth", F.row_number().over(inner)).join(offsets, ["_src", "_range"])
-    ranked = ranked.withColumn("_rank", (F.col("_before") + F.col("_nth") - 1).cast("long")).withColumn("_own", F.floor(F.col("_rank") / block_rows))
-    # how many rows of each table are broadcast is counted first; beyond that both joins shuffle by block
-    small = plan.count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
-    kinds = plan.select(F.col("src").alias("_src"), "first").distinct().groupBy("_src").agg(F.sort_array(F.collect_set("first")).alias("firsts"))
-    placed = ranked.join(hint(sources.select(F.col("src").alias("_src"), "quota")), "_src").join(hint(kinds), "_src")
-    c = F.floor(F.col("_own") / F.col("quota"))
-    placed = placed.withColumn("_cycle", c).withColumn("_k", F.col("_own") - c * F.col("quota"))
-    placed = placed.withColumn("first", F.array_max(F.filter("firsts", lambda x: x <= F.col("_cycle"))))
-    placed = placed.join(hint(plan.select(F.col("src").alias("_src"), "first", F.col("k").alias("_k"), "slot", "start", "length")), ["_src", "first", "_k"])
-    block = F.col("start") + (F.col("_cycle") - F.col("first")) * F.col("length") + F.col("slot")
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sources = stored(weighted(counts.groupBy(F.col("_src").alias("src")).agg(F.sum("n").alias("n")), weights, block_rows=block_rows), "mix-sources")
+    plan = schedule(sources, chunk).select(F.col("src").alias("_src"), "k", "slot")
+    # the slots of the blocks that a range's rows lie in, in order: one array for each range
+    first = F.floor(F.col("_before") / block_rows)
+    held = offsets.withColumn("k", F.explode(F.sequence(first, F.floor((F.col("_before") + F.col("n") - 1) / block_rows)))).join(plan, ["_src", "k"])
+    held = held.groupBy("_src", "_range").agg(F.first("_before").alias("_before"), F.transform(F.array_sort(F.collect_list(F.struct("k", "slot"))), lambda x: x["slot"]).alias("_slots"))
+    held = stored(held, "mix-slots")
+    inner = Window.partitionBy("_src", "_range").orderBy("_hash", *[F.col(f"_row.{c}") for c in ordered])
+    placed = rows.withColumn("_nth", F.row_number().over(inner)).join(held, ["_src", "_range"])
+    rank = (F.col("_before") + F.col("_nth") - 1).cast("long")
+    placed = placed.withColumn("_rank", rank).withColumn("_block", F.get("_slots", (F.floor(F.col("_rank") / block_rows) - F.floor(F.col("_before") / block_rows)).cast("int")))
     keep = [F.col(f"_row.{c}").alias(raw) for c, raw in zip(names, df.columns) if raw not in (f"{prefix}rank", f"{prefix}block", f"{prefix}position")]
-    return placed.select(*keep, F.col("_rank").alias(f"{prefix}rank"), block.cast("long").alias(f"{prefix}block"), (block * block_rows + F.col("_rank") % block_rows).cast("long").alias(f"{prefix}position"))
+    return placed.select(*keep, F.col("_rank").alias(f"{prefix}rank"), F.col("_block").alias(f"{prefix}block"), (F.col("_block") * block_rows + F.col("_rank") % block_rows).alias(f"{prefix}position"))
 
 
 def mixed(df: DataFrame, source: str = "source", id_column: str = "doc_id", weights: dict[str | None, float] | None = None) -> DataFrame:

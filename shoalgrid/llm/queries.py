@@ -100,33 +100,56 @@ FROM m
 """
 
 
-# The fold over a cycle's slots as a recursion: `pick` encodes the earliest deadline and its source.
-_OP1 = """
+def _clock(v: str) -> str:
+    """Slots passed when each source has been due w * v blocks."""
+    return f"list_reduce(list_transform(range(1, len(n) + 1), lambda q: least(n[q], w[q] * ({v}))), lambda a, x: a + x)"
+
+
+def _pick(latest: str) -> str:
+    """Released before not released, then the earliest deadline, then the first source: as one number whose last four digits are the source."""
+    return (
+        f"list_min(list_filter(list_transform(range(1, len(n) + 1), lambda j: CASE WHEN sent[j] < ends[j] THEN "
+        f"CASE WHEN CAST(floor({_clock('sent[j] / w[j]')} + 1e-5) AS BIGINT) > t THEN 100000000000000000 ELSE 0 END + "
+        f"least({latest}, CAST(ceil({_clock('(sent[j] + 1) / w[j]')} - 1e-5) AS BIGINT)) * 10000 + j END), lambda x: x IS NOT NULL))"
+    )
+
+
+# The folds over a chunk's slots as recursions: `warm` up to each chunk's start, `sim` over its slots.
+_OP1 = f"""
 WITH RECURSIVE
 r AS (SELECT doc_id, source, coalesce('s' || source, 'null') AS src,
              row_number() OVER (PARTITION BY coalesce('s' || source, 'null')
                                 ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id NULLS FIRST) - 1 AS rnk FROM documents),
-c AS (SELECT src, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY src),
-s AS (SELECT src, n, (n + 15) // 16 AS blocks,
-             greatest(1, CAST(round(sqrt(CAST(n AS DOUBLE)) / (SELECT sum(sqrt(CAST(n AS DOUBLE))) FROM c) * 240) AS BIGINT)) AS quota FROM c),
-b AS (SELECT DISTINCT first FROM (SELECT 0 AS first UNION ALL SELECT (blocks - 1) // quota FROM s UNION ALL SELECT (blocks - 1) // quota + 1 FROM s)),
-k AS (SELECT first, list(src ORDER BY src) AS names, list(greatest(0, least(quota, blocks - quota * first)) ORDER BY src) AS q,
-             CAST(sum(greatest(0, least(quota, blocks - quota * first))) AS BIGINT) AS total, CAST(sum(least(blocks, quota * first)) AS BIGINT) AS start
-      FROM b, s GROUP BY first),
+s AS (SELECT src, (count(*) + 15) // 16 AS blocks, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM r GROUP BY src),
+g AS (SELECT list(src ORDER BY src) AS names, list(CAST(blocks AS DOUBLE) ORDER BY src) AS n, list(w ORDER BY src) AS w, CAST(sum(blocks) AS BIGINT) AS total,
+             CAST(ceil(sum(w) / min(w) - 1e-9) AS BIGINT) AS ahead, greatest(256, CAST(ceil(sum(w) / min(w) - 1e-9) AS BIGINT)) AS length FROM s),
+c AS (SELECT unnest(range(0, (total + length - 1) // length + 1)) AS c FROM g),
+o AS (SELECT c, greatest(0, c * length - ahead) AS t0, c * length AS stop, unnest(range(1, len(n) + 1)) AS j, n, w, names FROM c, g WHERE c > 0 AND c * length < total),
+kn AS (SELECT list_reduce(list_transform(range(1, len(n) + 1), lambda q: CASE WHEN n[q] / w[q] <= u THEN n[q] ELSE 0.0 END), lambda a, x: a + x) AS past,
+              list_reduce(list_transform(range(1, len(n) + 1), lambda q: CASE WHEN n[q] / w[q] > u THEN w[q] ELSE 0.0 END), lambda a, x: a + x) AS rate
+       FROM (SELECT n, w, unnest(list_prepend(CAST(-1 AS DOUBLE), list_transform(range(1, len(n) + 1), lambda q: n[q] / w[q]))) AS u FROM g)),
+v AS (SELECT c, max((t0 - past) / rate) AS v FROM (SELECT DISTINCT c, t0 FROM o), kn WHERE rate > 0 GROUP BY c),
+f AS (SELECT o.*, least(n[j], w[j] * v) AS f, floor(least(n[j], w[j] * v) + 1e-5) AS low FROM o JOIN v USING (c)),
+d AS (SELECT *, ceil({_clock('(low + 1) / w[j]')} - 1e-5) AS due FROM f),
+e AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY f - low <= 1e-5, due, j) AS nth, t0 - sum(low) OVER (PARTITION BY c) AS more FROM d),
+warm AS (
+  SELECT c, t0 AS t, stop, list(CAST(low + CASE WHEN f - low > 1e-5 AND nth <= more THEN 1 ELSE 0 END AS BIGINT) ORDER BY j) AS sent FROM e GROUP BY c, t0, stop
+  UNION ALL
+  SELECT c, t + 1, stop, list_transform(sent, lambda x, i: x + CASE WHEN i = pick % 10000 THEN 1 ELSE 0 END)
+  FROM (SELECT warm.*, {_pick('total')} AS pick FROM (SELECT *, n AS ends FROM g) g, warm WHERE t < stop)
+),
+st AS (SELECT c, sent FROM warm WHERE t = stop
+       UNION ALL SELECT 0, list_transform(n, lambda x: CAST(0 AS BIGINT)) FROM g
+       UNION ALL SELECT (total + length - 1) // length, list_transform(n, lambda x: CAST(x AS BIGINT)) FROM g),
 sim AS (
-  SELECT first, names, q, total, start, CAST(0 AS BIGINT) AS t, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS sent, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS kk FROM k WHERE total > 0
+  SELECT a.c, a.c * length AS t, least((a.c + 1) * length, total) AS stop, a.sent, z.sent AS ends, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS k FROM st a JOIN st z ON z.c = a.c + 1, g
   UNION ALL
-  SELECT first, names, q, total, start, t + 1, list_transform(range(1, len(q) + 1), lambda j: sent[j] + CASE WHEN j = pick % 100000 THEN 1 ELSE 0 END), pick % 100000, sent[pick % 100000]
-  FROM (SELECT *, list_min(list_filter(list_transform(range(1, len(q) + 1), lambda j:
-          CASE WHEN sent[j] < q[j] AND (sent[j] * total) // q[j] <= t THEN (((sent[j] + 1) * total + q[j] - 1) // q[j]) * 100000 + j END), lambda x: x IS NOT NULL)) AS pick
-        FROM sim WHERE t < total)
+  SELECT c, t + 1, stop, list_transform(sent, lambda x, i: x + CASE WHEN i = pick % 10000 THEN 1 ELSE 0 END), ends, pick % 10000, sent[pick % 10000]
+  FROM (SELECT sim.*, {_pick('stop')} AS pick FROM g, sim WHERE t < stop)
 ),
-slots AS (SELECT first, names[i] AS src, kk, t - 1 AS slot, start, total FROM sim WHERE i IS NOT NULL),
-p AS (SELECT r.*, s.quota, (rnk // 16) // s.quota AS cyc, (rnk // 16) % s.quota AS kk FROM r JOIN s USING (src)),
-f AS (SELECT p.*, (SELECT max(x.first) FROM b x WHERE x.first <= p.cyc) AS first FROM p)
-SELECT f.doc_id, f.source, CAST(f.rnk AS BIGINT) AS mix_rank, CAST(start + (cyc - f.first) * total + slot AS BIGINT) AS mix_block,
-       CAST((start + (cyc - f.first) * total + slot) * 16 + rnk % 16 AS BIGINT) AS mix_position
-FROM f JOIN slots USING (src, first, kk)
+slots AS (SELECT names[i] AS src, k, t - 1 AS slot FROM sim, g WHERE i IS NOT NULL)
+SELECT r.doc_id, r.source, CAST(r.rnk AS BIGINT) AS mix_rank, CAST(slot AS BIGINT) AS mix_block, CAST(slot * 16 + rnk % 16 AS BIGINT) AS mix_position
+FROM r JOIN slots ON slots.src = r.src AND slots.k = r.rnk // 16
 """
 
 
