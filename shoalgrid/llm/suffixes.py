@@ -8,23 +8,30 @@ which only the second carries text:
 1. *Census.* Every window of ``LENGTH`` bytes names an anchor: the place of its
    smallest ``GRAM``-byte hash. Equal windows name the same place, so a repeated
    window has an anchor whose gram occurs in two documents. Shards send 48-bit
-   hashes of their anchors' grams, once each, and get back one bit per hash
-   (seen elsewhere, or twice here); false positives only cost work. Whole texts
-   take part by digest, so that copies of a smaller document drop out here.
+   hashes of their anchors' grams, once each, and get back two bits per hash:
+   seen elsewhere, or twice here (false positives only cost work), and whether
+   it is hot, with ``HOT`` anchors or more in all. Whole texts take part by
+   digest, so that copies of a smaller document drop out here.
 2. *Suffixes.* Surviving anchors become suffixes of the sparse suffix array,
    each with the bytes to its left that a window can reach. Equal ones of a
    shard collapse to one with the smallest document id, so that a passage found
-   everywhere counts once a shard. Splitters sampled from the anchors'
-   leading tokens (8-byte words) range-partition the suffixes; equal leading
-   tokens never part, so no match crosses a boundary. A bucket sorts its
-   suffixes by multikey quicksort over tokens (only ties go on to the next
-   token), likewise the reversed left contexts, and takes common-prefix lengths
+   everywhere counts once a shard. Splitters sampled from the survivors'
+   leading tokens (8-byte words) range-partition the suffixes. A splitter stands
+   between two different pairs of leading tokens, which is the comparison across
+   the boundary: suffixes on its two sides share fewer than ``GRAM`` bytes, so
+   no match crosses it. A bucket sorts its suffixes by multikey quicksort over
+   tokens, likewise the reversed left contexts, and takes common-prefix lengths
    of neighbours in both orders. For each of the offsets of a window around its
    anchor, runs of both orders give exact classes of equal windows.
+   The suffixes of a hot gram, which would all meet in one bucket, are split by
+   further tokens: by the hash of the whole window, each window on its own.
 3. *Marks.* Each suffix gets back a bit per offset: a smaller document has that
    window. Shards apply the bits to their documents and cut the bytes.
 
-Every step reads shards by key and holds one bucket or shard at a time.
+Every step reads shards by key and holds one bucket or shard at a time. Each
+shard writes a message to each bucket; both hold more text as the corpus grows,
+with its square root, so that a message keeps ``MESSAGE`` anchors and their
+number grows with the corpus and no faster.
 """
 
 from __future__ import annotations
@@ -44,17 +51,25 @@ LENGTH = 50
 GRAM = 16
 #: Text bytes in a shard (a longer text is a shard of its own), in a bucket's share of the census and of the suffixes.
 SHARD_BYTES, CENSUS_BYTES, SUFFIX_BYTES = 2 << 20, 16 << 20, 8 << 20
+#: Anchors of a message from a shard to a bucket, from the size on at which shards or buckets would otherwise send fewer.
+MESSAGE = 64
+#: Bytes of text for an anchor, about.
+SPACING = 18
 #: Ranges between splitters, and sampled leading tokens for each; buckets beyond that number are made by hash within a range.
-RANGES, SAMPLES = 1024, 32
-#: Shards, chosen by hash, whose anchors are sampled for the splitters.
+RANGES, SAMPLES = 1024, 128
+#: Shards, chosen by hash, whose suffixes are sampled for the splitters.
 SAMPLE_SHARDS = 64
+#: Anchors of a gram from which its suffixes go by whole windows.
+HOT = 1 << 14
+#: Rows that a sort no longer parts by pivots.
+SMALL = 2048
 #: Windows are enumerated over so many bytes at a time.
 SEGMENT = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _ROW = "key long, gid long, kind int, bucket long, blob binary"
-_SHARD, _CENSUS, _MARKS, _COPIES = 0, 1, 2, 3
+_SHARD, _CENSUS, _MARKS, _COPIES, _HOT = 0, 1, 2, 3, 4
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -163,17 +178,17 @@ class Shard:
         self.place = np.concatenate([p + s for (p, _), s in zip(found, self.starts)]) if found else np.empty(0, np.int64)
         self.hash = np.concatenate([h for _, h in found]) >> _U(16) if found else np.empty(0, _U)
 
-    def census(self) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct hashes, whether two documents with different ids have it here)."""
+    def census(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct hashes, whether two documents with different ids have it here, anchors as a power of two)."""
         order = np.lexsort((self.ids[self.doc], self.hash))
         h, d = self.hash[order], self.ids[self.doc][order]
         new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
         at = np.flatnonzero(new)
         last = np.concatenate([at[1:], [len(h)]])[: len(at)] - 1
-        return h[at], d[at] != d[last]
+        return h[at], d[at] != d[last], np.ceil(np.log2(last - at + 1)).astype(np.uint8)
 
-    def suffixes(self, keep: np.ndarray) -> None:
-        """Distinct (left, right) contexts of the anchors in ``keep`` and the smallest id of each."""
+    def suffixes(self, keep: np.ndarray, hot: np.ndarray) -> None:
+        """Distinct (left, right) contexts of the anchors in ``keep``, the smallest id of each, and whether its gram is ``hot``."""
         left, width = LENGTH - GRAM, 2 * LENGTH - GRAM
         doc, place = self.doc[keep], self.place[keep]
         before = np.minimum(place - self.starts[doc], left)
@@ -191,8 +206,33 @@ class Shard:
         self.context = distinct.view(np.uint8).reshape(-1, width + 2)
         self.low = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(self.low, inverse, self.ids[doc])
+        self.hot = np.zeros(len(distinct), bool)
+        self.hot[inverse] = hot
         self.kept_doc, self.kept_place, self.kept_context = doc, place, inverse
 
+    def windows(self) -> None:
+        """Distinct windows of the hot contexts and the smallest id of each."""
+        left = LENGTH - GRAM
+        at = np.flatnonzero(self.hot)
+        before, after = self.context[at, -2].astype(np.int64), self.context[at, -1].astype(np.int64)
+        own, offset, found = [], [], []
+        for o in range(left + 1):
+            valid = at[(before >= o) & (after >= LENGTH - o)]
+            own.append(valid)
+            offset.append(np.full(len(valid), o))
+            found.append(self.context[valid, left - o : left - o + LENGTH])
+        rows = np.ascontiguousarray(np.concatenate(found))
+        distinct, inverse = np.unique(rows.view(f"V{LENGTH}").reshape(-1), return_inverse=True) if len(rows) else (rows.reshape(-1), np.empty(0, np.int64))
+        self.window = distinct.view(np.uint8).reshape(-1, LENGTH)
+        self.window_own, self.window_offset, self.window_of = np.concatenate(own), np.concatenate(offset), inverse
+        self.window_low = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(self.window_low, inverse, self.low[self.window_own])
+
+    def apply_windows(self, mask: np.ndarray, marked: np.ndarray) -> None:
+        """Set the bits of the hot contexts in ``mask`` from those of the windows."""
+        smaller = marked[self.window_of] | (self.window_low[self.window_of] < self.low[self.window_own])
+        np.bitwise_or.at(mask, self.window_own[smaller], _U(1) << self.window_offset[smaller].astype(_U))
+
 
 def _words(rows: np.ndarray) -> np.ndarray:
     """Byte rows as rows of big-endian 8-byte tokens (zero-padded)."""
@@ -202,21 +242,23 @@ def _words(rows: np.ndarray) -> np.ndarray:
 
 
 def multikey_sort(tokens: np.ndarray) -> np.ndarray:
-    """Order of the rows: by the first token, then only tied rows by the next, and so on."""
+    """Order of the rows by multikey quicksort: parted by a pivot into smaller, equal and larger ones; the equal ones go on with the next token."""
     n, m = tokens.shape
-    order = np.argsort(tokens[:, 0], kind="stable")
-    group = np.concatenate([[0], np.cumsum(tokens[order[1:], 0] != tokens[order[:-1], 0])])[:n]
-    for j in range(1, m):
-        tied = np.flatnonzero(np.concatenate([[False], group[1:] == group[:-1]]) | np.concatenate([group[1:] == group[:-1], [False]])) if n > 1 else np.empty(0, np.int64)
-        if not len(tied):
-            break
-        part = order[tied]
-        part = part[np.lexsort((tokens[part, j], group[tied]))]
-        order[tied] = part
-        differ = (group[1:] != group[:-1]) | (tokens[order[1:], j] != tokens[order[:-1], j])
-        # rows that were apart stay apart; ties split where the token differs
-        split = np.concatenate([[0], np.cumsum(differ)])
-        group = split
+    order = np.arange(n)
+    todo = [(0, n, 0)]
+    while todo:
+        lo, hi, j = todo.pop()
+        part = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = part[np.lexsort(tokens[part, j:].T[::-1])]
+            continue
+        key = tokens[part, j]
+        some = np.sort(key[:: max(1, len(key) // 64)])
+        pivot = some[len(some) // 2]
+        less, more = key < pivot, key > pivot
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        order[lo:hi] = np.concatenate([part[less], part[~(less | more)], part[more]])
+        todo += [(x, y, k) for x, y, k in ((lo, a, j), (a, b, j + 1), (b, hi, j)) if y - x > 1 and k < m]
     return order
 
 
@@ -267,6 +309,17 @@ def mark_windows(context: np.ndarray, low: np.ndarray) -> np.ndarray:
     return mask
 
 
+def mark_equal(windows: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each row whether an equal one has a smaller ``low``."""
+    out = np.zeros(len(windows), bool)
+    if len(windows) > 1:
+        tokens = _words(windows)
+        order = multikey_sort(tokens)
+        at = np.flatnonzero(np.concatenate([[True], (tokens[order[1:]] != tokens[order[:-1]]).any(axis=1)]))
+        out[order] = np.repeat(np.minimum.reduceat(low[order], at), np.diff(np.append(at, len(order)))) < low[order]
+    return out
+
+
 # -- exchanges --------------------------------------------------------------------
 
 
@@ -307,10 +360,8 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
 
-def shards(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Documents with an id, packed: (gid, n_bytes, blob) in a table that all executors share."""
-
-    limit = SHARD_BYTES
+def shards(docs: DataFrame, id_column: str, text: str, limit: int = SHARD_BYTES) -> DataFrame:
+    """Documents with an id, packed to ``limit`` bytes: (gid, n_bytes, blob) in a table that all executors share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -336,23 +387,6 @@ def shards(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return stored(map_batches(rows, run, "gid long, n_bytes long, blob binary"), "suffix-shards")
 
 
-def _sample_grams(table: DataFrame, share: float, rate: float) -> DataFrame:
-    """(blob) of sampled anchors' grams from a share of the shards."""
-    below = int(rate * (1 << 32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for gid, blob in zip(batch.column("gid").to_pylist(), batch.column("blob")):
-                shard = Shard(gid, blob.as_py())
-                shard.anchors()
-                chosen = np.flatnonzero(shard.hash % _U(1 << 32) < _U(below))
-                grams = shard.buffer[shard.place[chosen, None] + np.arange(GRAM)]
-                yield pa.RecordBatch.from_pydict({"blob": pa.array([grams.tobytes()], pa.binary())})
-
-    chosen = F.pmod(F.xxhash64("gid"), F.lit(1 << 20)) < int(share * (1 << 20))
-    return table.where(chosen).select("gid", "blob").mapInArrow(run, "blob binary")
-
-
 def _census_rows(table: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -360,9 +394,9 @@ def _census_rows(table: DataFrame, buckets: int) -> DataFrame:
                 for gid, blob in zip(batch.column("gid").to_pylist(), batch.column("blob")):
                     shard = Shard(gid, blob.as_py())
                     shard.anchors()
-                    hashes, twice = shard.census()
+                    hashes, twice, count = shard.census()
                     for b, s in _spread(hashes, buckets):
-                        yield b, gid, _CENSUS, b, _pack(_delta(hashes[s]), twice[s].astype(np.uint8))
+                        yield b, gid, _CENSUS, b, _pack(_delta(hashes[s]), twice[s].astype(np.uint8), count[s])
                     _, keys, low = shard.digests()
                     where = np.array([int.from_bytes(k[:6], "big") for k in keys], _U)
                     for b, s in _spread(where, buckets):
@@ -385,21 +419,24 @@ def _spread(sorted_hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slic
 
 
 def _census_answers(key: int, rows: list) -> Iterator[tuple]:
-    """Bits for each shard: hash found in another document; text found with a smaller id."""
+    """Bits for each shard: hash found in another document, and hot; text found with a smaller id."""
     own = [r for r in rows if r[1] == _CENSUS]
     if own:
-        parts = [_unpack(r[3], _U, np.uint8) for r in own]
-        hashes = [np.cumsum(d, dtype=_U) for d, _ in parts]
+        parts = [_unpack(r[3], _U, np.uint8, np.uint8) for r in own]
+        hashes = [np.cumsum(d, dtype=_U) for d, *_ in parts]
         everything = np.concatenate(hashes)
         order = np.argsort(everything, kind="stable")
         h = everything[order]
-        same = h[1:] == h[:-1]
-        again = np.zeros(len(h), bool)
-        again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        again |= np.concatenate([t for _, t in parts]).astype(bool)
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        shards_ = np.diff(np.append(start, len(h)))
+        anchors_ = np.add.reduceat(np.int64(1) << np.concatenate([c for *_, c in parts])[order].astype(np.int64), start)
+        again, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        again[order] = np.repeat(shards_ > 1, shards_)
+        again |= np.concatenate([t for _, t, _ in parts]).astype(bool)
+        hot[order] = np.repeat(anchors_ >= HOT, shards_)
         at = 0
         for r, x in zip(own, hashes):
-            yield r[0], r[0], _CENSUS, r[2], _pack(np.packbits(again[at : at + len(x)]))
+            yield r[0], r[0], _CENSUS, r[2], _pack(np.packbits(again[at : at + len(x)]), np.packbits(hot[at : at + len(x)]))
             at += len(x)
     texts = [r for r in rows if r[1] == _SHARD]
     if texts:
@@ -416,8 +453,8 @@ def _census_answers(key: int, rows: list) -> Iterator[tuple]:
             yield r[0], r[0], _COPIES, r[2], _pack(np.packbits(copy))
 
 
-def _surviving(shard: Shard, answers: list, buckets: int) -> np.ndarray:
-    """Anchors to keep, from the census; sets shard.copy (document is a copy of one with a smaller id)."""
+def _surviving(shard: Shard, answers: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors to keep, which of them are hot), from the census; sets shard.copy (document is a copy of one with a smaller id)."""
     shard.anchors()
     own, keys, low = shard.digests()
     flags = [_unpack(r[3], np.uint8)[0] for r in sorted((r for r in answers if r[1] == _COPIES), key=lambda r: r[2])]
@@ -425,11 +462,14 @@ def _surviving(shard: Shard, answers: list, buckets: int) -> np.ndarray:
     copied = np.concatenate([np.unpackbits(f)[:n] for f, n in zip(flags, sizes)]).astype(bool) if flags else np.zeros(len(keys), bool)
     at = {k: i for i, k in enumerate(keys)}
     shard.copy = np.array([bool(d) and bool(copied[at[d]] or low[at[d]] < x) for d, x in zip(own, shard.ids.tolist())], bool)
-    hashes, _ = shard.census()
-    flags = [_unpack(r[3], np.uint8)[0] for r in sorted((r for r in answers if r[1] == _CENSUS), key=lambda r: r[2])]
-    again = np.concatenate([np.unpackbits(f)[:n] for f, n in zip(flags, _sizes(hashes, buckets))]).astype(bool) if flags else np.zeros(0, bool)
-    keep = again[np.searchsorted(hashes, shard.hash)] if len(hashes) else np.zeros(0, bool)
-    return np.flatnonzero(keep & ~shard.copy[shard.doc]) if len(keep) else np.empty(0, np.int64)
+    hashes = shard.census()[0]
+    flags = [_unpack(r[3], np.uint8, np.uint8) for r in sorted((r for r in answers if r[1] == _CENSUS), key=lambda r: r[2])]
+    if not flags:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    again, hot = (np.concatenate([np.unpackbits(f[i])[:n] for f, n in zip(flags, _sizes(hashes, buckets))]).astype(bool) for i in (0, 1))
+    where = np.searchsorted(hashes, shard.hash)
+    keep = np.flatnonzero(again[where] & ~shard.copy[shard.doc])
+    return keep, hot[where[keep]]
 
 
 def _sizes(hashes: np.ndarray, buckets: int) -> list[int]:
@@ -463,15 +503,16 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     table gives none. Other columns of ``docs`` don't matter.
     """
     out_schema = f"{id_column} long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
-    table = shards(docs, id_column, text)
-    total, count = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
-    census = max(1, -(-total // CENSUS_BYTES))
-    wanted = max(1, -(-total // SUFFIX_BYTES))
+    total = docs.where(F.col(id_column).isNotNull()).agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("binary"))), F.lit(0))).first()[0]
+    root = int((SPACING * MESSAGE * total) ** 0.5)
+    table = shards(docs, id_column, text, max(SHARD_BYTES, root))
+    count = table.count()
+    census = max(1, -(-total // max(CENSUS_BYTES, root)))
+    wanted = max(1, -(-total // max(SUFFIX_BYTES, root)))
     ranges = min(RANGES, wanted)
     parts = -(-wanted // ranges)
     share = min(1.0, SAMPLE_SHARDS / max(1, count))
-    rate = min(1.0, ranges * SAMPLES / max(1.0, share * total / 18))
-    splitters = _split(_sample_grams(table, share, rate), ranges) if ranges > 1 else np.empty((0, 2), _U)
+    rate = min(1.0, ranges * SAMPLES / max(1.0, share * total / SPACING))
 
     def answer(key: int, got: list) -> Iterator[tuple]:
         return _census_answers(key, got)
@@ -479,25 +520,57 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     answers = stored(_exchange(_census_rows(table, census), answer), "suffix-census")
     packed = table.select(F.col("gid").alias("key"), "gid", F.lit(_SHARD).alias("kind"), F.lit(0).cast("long").alias("bucket"), "blob")
 
-    def rebuilt(got: list) -> tuple[Shard, list[tuple[int, np.ndarray]]]:
+    def rebuilt(got: list) -> Shard:
         shard = Shard(got[0][0], next(r[3] for r in got if r[1] == _SHARD))
-        shard.suffixes(_surviving(shard, got, census))
-        where = _assign(shard.context, splitters, parts)
-        order = np.argsort(where, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], where[order][1:] != where[order][:-1]])) if len(order) else []
-        return shard, [(int(where[x[0]]), x) for x in np.split(order, at[1:])] if len(order) else []
+        shard.suffixes(*_surviving(shard, got, census))
+        return shard
 
-    def send(key: int, got: list) -> Iterator[tuple]:
+    def once(got: list) -> Iterator[Shard]:
         copies: set[bytes] = set()
         for one in _each(got):
-            if one[0][3] in copies:  # equal shards are one: their documents have equal ids
-                continue
-            copies.add(one[0][3])
-            shard, by = rebuilt(one)
-            for b, x in by:
+            if one[0][3] not in copies:  # equal shards are one: their documents have equal ids
+                copies.add(one[0][3])
+                yield rebuilt(one)
+
+    def sample(key: int, got: list) -> Iterator[tuple]:
+        for shard in once(got):
+            cold = shard.context[~shard.hot]
+            grams = cold[:, LENGTH - GRAM : LENGTH]
+            mixed = (_words(cold) * _BASE).sum(axis=1, dtype=_U) * _BASE >> _U(32)
+            yield key, shard.gid, _MARKS, 0, np.ascontiguousarray(grams[mixed < _U(int(rate * (1 << 32)))]).tobytes()
+
+    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))
+    splitters = _split(_exchange(packed.where(chosen).unionByName(answers.where(chosen)), sample).select("blob"), ranges) if ranges > 1 else np.empty((0, 2), _U)
+
+    def grouped(where: np.ndarray, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        order = np.argsort(where, kind="stable")
+        at = np.flatnonzero(where[order][1:] != where[order][:-1]) + 1
+        return [(int(where[x[0]]), rows[x]) for x in np.split(order, at)] if len(order) else []
+
+    def dealt(shard: Shard) -> tuple[list, list]:
+        """(bucket, contexts) of the suffixes, (bucket, windows) of the hot ones."""
+        cold = np.flatnonzero(~shard.hot)
+        shard.windows()
+        where = ((_words(shard.window) * _BASE ** np.arange(1, 8, dtype=_U)).sum(axis=1, dtype=_U) * _BASE >> _U(33)) % _U(wanted)
+        return grouped(_assign(shard.context[cold], splitters, parts), cold), grouped(where.astype(np.int64), np.arange(len(where)))
+
+    def send(key: int, got: list) -> Iterator[tuple]:
+        for shard in once(got):
+            cold, hot = dealt(shard)
+            for b, x in cold:
                 yield b, shard.gid, _MARKS, b, _pack(shard.context[x].reshape(-1), shard.low[x])
+            for b, x in hot:
+                yield -1 - b, shard.gid, _HOT, b, _pack(shard.window[x].reshape(-1), shard.window_low[x])
 
     def mark(key: int, got: list) -> Iterator[tuple]:
+        if key < 0:
+            parts_ = [_unpack(r[3], np.uint8, np.int64) for r in got]
+            found = mark_equal(np.concatenate([w.reshape(-1, LENGTH) for w, _ in parts_]), np.concatenate([low for _, low in parts_]))
+            at = 0
+            for r, (_, low) in zip(got, parts_):
+                yield r[0], r[0], _HOT, r[2], _pack(found[at : at + len(low)].view(np.uint8))
+                at += len(low)
+            return
         width = 2 * LENGTH - GRAM + 2
         parts_ = [_unpack(r[3], np.uint8, np.int64) for r in got]
         context = np.concatenate([c.reshape(-1, width) for c, _ in parts_])
@@ -511,11 +584,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(got: list) -> Iterator[pa.RecordBatch]:
-            shard, by = rebuilt(got)
+            shard = rebuilt(got)
             masks = {r[2]: _unpack(r[3], _U)[0] for r in got if r[1] == _MARKS}
+            marked_ = {r[2]: _unpack(r[3], np.uint8)[0] for r in got if r[1] == _HOT}
             mask = np.zeros(len(shard.context), _U)
-            for b, x in by:
+            cold, hot = dealt(shard)
+            for b, x in cold:
                 mask[x] = masks[b]
+            marked = np.zeros(len(shard.window), bool)
+            for b, x in hot:
+                marked[x] = marked_[b].astype(bool)
+            shard.apply_windows(mask, marked)
             yield from _cut(shard, mask, id_column)
 
         key, rows = None, []

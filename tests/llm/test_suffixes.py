@@ -47,9 +47,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,shard,census,bucket", [(1, 2 << 20, 16 << 20, 8 << 20), (2, 3000, 4000, 5000), (3, 1, 1500, 900)])
-def test_against_brute_force(spark, monkeypatch, seed, shard, census, bucket):
-    for name, value in (("SHARD_BYTES", shard), ("CENSUS_BYTES", census), ("SUFFIX_BYTES", bucket)):
+@pytest.mark.parametrize("seed,shard,census,bucket,message,hot", [(1, 2 << 20, 16 << 20, 8 << 20, 64, 1 << 14), (2, 3000, 4000, 5000, 0, 12), (3, 1, 1500, 900, 0, 2), (4, 1, 1, 1, 2, 5)])
+def test_against_brute_force(spark, monkeypatch, seed, shard, census, bucket, message, hot):
+    for name, value in (("SHARD_BYTES", shard), ("CENSUS_BYTES", census), ("SUFFIX_BYTES", bucket), ("MESSAGE", message), ("HOT", hot), ("SMALL", 4)):
         monkeypatch.setattr(suffixes, name, value)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, gid int").repartition(5)
@@ -62,7 +62,19 @@ def test_empty(spark):
     assert suffixes.repeat_digests(df).count() == 0
 
 
-def test_sorting_and_segments(monkeypatch):
+def test_text_above_segment_and_shard(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SEGMENT", 4096)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 5000)
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcd é") for _ in range(30_000))
+    rows = [(1, long), (2, "x" * 60 + long[9_000:9_400] + "y"), (3, long[100:] + long[:200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(r) for r in suffixes.repeat_digests(df).collect()], key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("small", [1, 64, 2048])
+def test_sorting_and_segments(monkeypatch, small):
+    monkeypatch.setattr(suffixes, "SMALL", small)
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 3, (500, 50)).astype(np.uint8)
     rows[:, :20] = rows[0, :20]
