@@ -4,18 +4,20 @@
 the fields of the header lines, and the declared length bounds every body.
 ``convert`` turns each entry into a WARC record with a synthesised identifier
 (name-based UUID of URL, date and payload digest), an ISO timestamp, a record
-type and SHA-1 digests. ``mark_revisits`` decides which records repeat a payload,
-``write_warc`` writes gzipped archives to a folder that all executors share and
-``read_warc`` parses them back by declared lengths.
+type and SHA-1 digests. ``read_arc`` does so for the archives of a folder,
+``arc_containers`` makes containers of a table of pages. ``mark_revisits``
+decides which records repeat a payload, ``write_warc`` writes archives, a gzip
+member for each record, to a folder that all executors share, and ``read_warc``
+parses them back by declared lengths. Files are bounded by bytes, not by rows.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,6 +28,10 @@ from .common import map_batches, pieces, shared_path
 
 #: Smallest payload that is replaced by a revisit record.
 MIN_REVISIT = 1000
+#: Bytes of an ARC container and of a pack of gzipped records, one record beyond; packs in a file.
+CONTAINER_BYTES, PACK_BYTES, PACKS = 4 << 20, 4 << 20, 16
+#: An empty gzip member: stands between the packs of a file and has no effect on what is read.
+_EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 _FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -36,6 +42,11 @@ _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "arc-to-warc")
 # -- ARC ---------------------------------------------------------------------
 
 
+def target_uri(url: str | None) -> str:
+    """The URL as archives hold it: white space and control characters escaped as UTF-8 bytes; ``unknown:`` for none."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "unknown:"
+
+
 def write_arc(entries: Iterable[dict], version: int = 1, name: str = "pages.arc") -> bytes:
     """An ARC container of entries (url, ip, date of 14 digits, mime, body; version 2 also code)."""
     block = f"{version} 0 archive\n{_FIELDS[version]}\n".encode()
@@ -44,7 +55,7 @@ def write_arc(entries: Iterable[dict], version: int = 1, name: str = "pages.arc"
     out = [f"filedesc://{name} {fixed}{more} {len(block)}\n".encode(), block, b"\n"]
     at = sum(map(len, out))
     for e in entries:
-        url = re.sub(r"\s", lambda m: f"%{ord(m[0]):02X}" if ord(m[0]) < 256 else "", e["url"] or "") or "unknown:"
+        url = target_uri(e["url"])
         more = f" {e.get('code', 200)} {hashlib.md5(e['body']).hexdigest()} - {at} {name}" if version == 2 else ""
         line = f"{url} {e['ip']} {e['date']} {e['mime']}{more} {len(e['body'])}\n".encode()
         out += [line, e["body"], b"\n"]
@@ -56,8 +67,11 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     """Entries of an ARC container, the version block first.
 
     Header lines are split from the right, so that a URL with blanks stays
-    whole. A length that runs over the end raises ValueError.
+    whole. A length that runs over the end raises ValueError. Gzipped containers
+    (a member for each entry, or one for all) are unpacked.
     """
+    if data[:2] == b"\x1f\x8b":
+        data = b"".join(members(data))
     at, fields = 0, None
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
@@ -107,7 +121,7 @@ def convert(data: bytes) -> Iterator[dict]:
 
 # -- pages to records ----------------------------------------------------------
 
-_RECORDS = "page_id long, record_id string, uri string, date string, ip string, http string, payload binary, payload_bytes long, digest string"
+_RECORDS = "page_id long, record_id string, uri string, date string, ip string, http binary, payload binary, payload_bytes long, digest string"
 _NAMES = [x.split()[0] for x in _RECORDS.split(", ")]
 
 
@@ -116,24 +130,48 @@ def page_body(page_id: int | None, html: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + own + b"Content-Length: %d\r\n\r\n" % len(html) + html
 
 
-def arc_records(pages: DataFrame) -> DataFrame:
-    """Rows of pages (page_id, url, html) as ARC containers, converted to WARC records.
+def arc_containers(pages: DataFrame) -> DataFrame:
+    """(content) ARC containers of ``CONTAINER_BYTES`` or one page, of rows (page_id, url, html).
 
     Containers alternate between the two ARC versions. Null html is an empty
     payload, a null URL ``unknown:``; repeated rows give equal records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(pieces(batches)):
+        for k, batch in enumerate(pieces(batches, CONTAINER_BYTES)):
             ids, urls = batch.column("page_id").to_pylist(), batch.column("url").to_pylist()
             html = batch.column("html").cast(pa.binary()).to_pylist()
             arc = write_arc(({"url": u, "ip": "0.0.0.0", "date": "20240101000000", "mime": "text/html", "body": page_body(i, h or b"")} for i, u, h in zip(ids, urls, html)), 1 + k % 2)
-            found = list(convert(arc))[1:]
-            rows = [(x["record_id"], x["uri"], x["date"], x["ip"], x["http"].decode("utf-8"), x["payload"], len(x["payload"]), x["digest"]) for x in found]
-            types = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([_page_id(x["http"]) for x in found], pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], _NAMES)
+            yield pa.RecordBatch.from_pydict({"content": pa.array([arc], pa.binary())})
 
-    return map_batches(pages.select("page_id", "url", "html"), run, _RECORDS)
+    return map_batches(pages.select("page_id", "url", "html"), run, "content binary")
+
+
+def arc_records(containers: DataFrame) -> DataFrame:
+    """WARC records of the entries of ARC containers (content), without those of the version blocks; no rows for empty containers."""
+    types = [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows, size = [], 0
+                for x in convert(content.as_py() or b""):
+                    if x["type"] == "warcinfo":
+                        continue
+                    rows.append((_page_id(x["http"]), x["record_id"], x["uri"], x["date"], x["ip"], x["http"], x["payload"], len(x["payload"]), x["digest"]))
+                    size += len(x["payload"])
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _NAMES)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _NAMES)
+
+    return map_batches(containers, run, _RECORDS)
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """WARC records of the ARC archives (plain or gzipped, either version) in the folder ``path``; an archive is read as a whole."""
+    return arc_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.arc*").load(path).select("content"))
 
 
 def _page_id(head: bytes) -> int | None:
@@ -148,7 +186,8 @@ def mark_revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     largest page_id stays a response (each of them if that page_id repeats); a
     null page_id is smaller than any other, and where all are null all stay.
     Digests are counted before they are shuffled, and only those that occur
-    twice are joined.
+    twice are joined; smaller payloads have a key of their own in that join, so
+    that many empty pages don't meet in one task.
     """
     twice = (
         records.where(F.col("payload_bytes") >= least)
@@ -158,8 +197,12 @@ def mark_revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
         .select("digest", "payload_bytes", "first")
     )
     other = ~F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("first").isNotNull()
+    key = F.when(F.col("payload_bytes") >= least, F.concat_ws(":", "digest", "payload_bytes")).otherwise(F.concat(F.lit("-"), F.col("record_id")))
+    twice = twice.select(F.concat_ws(":", "digest", "payload_bytes").alias("key"), "first")
     return (
-        records.join(twice, ["digest", "payload_bytes"], "left")
+        records.withColumn("key", key)
+        .join(twice, "key", "left")
+        .drop("key")
         .withColumn("first_id", F.when(other, F.col("first.page_id")))
         .withColumn("first_record", F.when(other, F.col("first.record_id")))
         .drop("first")
@@ -170,10 +213,10 @@ def mark_revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
 
 
 def warc_text() -> Column:
-    """A record without the two line ends that close it (the writer's separator), as text."""
+    """The bytes of a record."""
     revisit = F.col("first_record").isNotNull()
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
-    block = F.concat(F.col("http").cast("binary"), body)
+    block = F.concat(F.col("http"), body)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -196,24 +239,58 @@ def warc_text() -> Column:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return F.concat(head.cast("binary"), block).cast("string")
+    return F.concat(head.cast("binary"), block, F.lit(b"\r\n\r\n"))
 
 
 def write_warc(records: DataFrame, path: str) -> str:
-    """Write marked records as gzipped WARC files into the folder ``path``.
+    """Write marked records as WARC files, a gzip member for each record, into the folder ``path``.
 
-    The text writer's separator is the pair of line ends that closes a record,
-    so its files are plain WARC; Spark's committer makes them safe against lost
-    tasks and executors.
+    Members are packed to ``PACK_BYTES``, so that a file holds ``PACKS`` times as
+    much at most (and the records that cross a pack's bound). The text writer
+    writes the packs, its separator being an empty member: any gzip reader sees
+    plain WARC, and Spark's committer makes files safe against lost executors.
     """
-    records.select(warc_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20000).text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in pieces(batches):
+            for record in batch.column(0):
+                packer = zlib.compressobj(wbits=31)
+                held.append(packer.compress(record.as_buffer()) + packer.flush())
+                size += len(held[-1])
+                if size >= PACK_BYTES:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)], pa.binary())})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(held)], pa.binary())})
+
+    packs = map_batches(records.select(warc_text().alias("value")), run, "value binary").select(F.col("value").cast("string"))
+    packs.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", PACKS).text(path)
     return path
 
 
+def members(data: bytes, step: int = 1 << 13) -> Iterator[bytes]:
+    """Content of each gzip member; ValueError if the last one is cut short."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            part = view[at : at + step]
+            out.append(d.decompress(part))
+            at += len(part)
+        at -= len(d.unused_data)
+        yield b"".join(out)
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields in lower case, block) of each record of a plain or gzipped archive."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """(header fields in lower case, block) of each record of a plain archive, or of a gzipped one: a member for each record, or one for all."""
+    for part in members(data) if data[:2] == b"\x1f\x8b" else [data]:
+        yield from _parse_plain(part)
+
+
+def _parse_plain(data: bytes) -> Iterator[tuple[dict, bytes]]:
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
@@ -273,14 +350,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, _READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,txt,warc}").load(path).select("content").mapInArrow(run, _READ)
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all pages, from archives written and read back.
 
-    An empty table gives no rows.
+    An empty table gives no rows. Other columns of ``pages`` don't matter,
+    whatever their names.
     """
     spark = pages.sparkSession
-    path = write_warc(mark_revisits(arc_records(pages)), path or shared_path(spark, "warc"))
+    path = write_warc(mark_revisits(arc_records(arc_containers(pages))), path or shared_path(spark, "warc"))
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -38,6 +39,39 @@ def test_round_trip(spark, tmp_path):
     path = str(tmp_path / "w")
     got = [tuple(r) for r in warc.archive_round_trip(df, path).collect()]
     assert sorted(got, key=str) == brute(rows)
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.txt")))
     assert len(list(warc.parse_warc(data))) == len(rows) and data.endswith(b"\r\n\r\n")
     assert warc.archive_round_trip(df.where("false"), str(tmp_path / "e")).count() == 0
+    # the URLs come back as archives hold them
+    assert sorted(r.uri for r in warc.read_warc(spark, path).collect()) == sorted(warc.target_uri(u) for _, u, _ in rows)
+    assert warc.target_uri("u\n v\u00a0é") == "u%0A%20v%C2%A0é" and warc.target_uri(None) == warc.target_uri("") == "unknown:"
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PACK_BYTES", 4000)
+    monkeypatch.setattr(warc, "PACKS", 3)
+    monkeypatch.setattr(warc, "CONTAINER_BYTES", 30_000)
+    rng = random.Random(5)
+    rows = [(i, "http://x", "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([10, 400, 3000])))) for i in range(300)] + [(300, "http://x", "z" * 5_000_000), (301, "http://x", "".join(map(str, range(20_000))))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = tmp_path / "w"
+    assert sorted([tuple(r) for r in warc.archive_round_trip(df, str(path)).collect()], key=str) == brute(rows)
+    files = list(path.glob("*.txt"))
+    assert len(files) > 8 and max(f.stat().st_size for f in files) < 3 * 4000 + 80_000
+    # each record is a gzip member of its own
+    records = [m for f in files for m in warc.members(f.read_bytes()) if m]
+    assert len(records) == len(rows) and all(m.startswith(b"WARC/1.1") and m.endswith(b"\r\n\r\n") for m in records)
+    with pytest.raises(ValueError):
+        list(warc.members(files[0].read_bytes()[:-25]))
+
+
+def test_reading_legacy_archives(spark, tmp_path):
+    entries = [{"url": f"http://a/{i}", "ip": "1.2.3.4", "date": "20010203040506", "mime": "text/html", "body": b"HTTP/1.0 200 OK\r\nX: \xe9\r\n\r\n" + bytes([65 + i]) * (1200 + i % 2)} for i in range(6)]
+    one, two = warc.write_arc(entries[:4], 1), warc.write_arc([*entries[4:], entries[0]], 2)
+    (tmp_path / "one.arc").write_bytes(one)
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(two[:700]) + gzip.compress(two[700:]))
+    (tmp_path / "none.arc").write_bytes(b"")
+    got = warc.read_arc(spark, str(tmp_path))
+    assert sorted(bytes(r.payload) for r in got.collect()) == sorted([e["body"].split(b"\r\n\r\n")[1] for e in [*entries, entries[0]]])
+    out = warc.read_warc(spark, warc.write_warc(warc.mark_revisits(got), str(tmp_path / "out"))).collect()
+    assert len(out) == 7 and {r.date for r in out} == {"2001-02-03T04:05:06Z"} and all(r.page_id is None for r in out)
