@@ -2,22 +2,25 @@
 
 Unit vectors are cut into halves; each half has its own codebook of K centroids
 and the K x K product grid gives the cells. A vector looks for its neighbours by
-multi-sequence traversal: cells in the order of the summed squared distances of
-its halves to the cells' borders (bisectors between centroids), until the radius
-at which pairs at exactly the threshold are met with the recall ``TARGET``;
-closer pairs are met more often. Every pair met is verified by cosine in double
-precision. K is the cheapest for the number of vectors.
+multi-sequence traversal: the centroids of each half are put in order of the
+squared distance to their borders (bisectors to the vector's own centroid), and
+a queue hands out the cells of the grid in order of the sum, until the radius at
+which pairs at exactly the threshold are met with the recall ``TARGET``; closer
+pairs are met more often. Every pair met is verified by cosine in double
+precision. K grows with the number of vectors, to the least estimated cost.
 
 Equal vectors of a label are one entry with a multiplicity. Cells above
 ``BLOCK`` entries are split into blocks and those that more than ``MEETING``
 vectors visit into groups, so that a task holds one block and streams its
-visitors. Links are counted where they are met and reduced to a spanning forest;
+visitors. A pair counts for both of its vectors if either visits the other's
+cell. Links are counted where they are met and reduced to spanning forests;
 pairs are never written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ SAMPLE, TARGET = 8192, 0.9995
 #: The radius is that much larger than the sample asks for, up to where no pair can be missed.
 MARGIN = 1.5
 BLOCK, CHUNK, MEETING = 4096, 512, 1 << 16
+#: Entries whose counts and links a task holds before it writes them.
+PENDING = 1 << 16
 SEED = 20241
 
 
@@ -47,37 +52,64 @@ class Grid:
         rng = np.random.default_rng(SEED)
         halves = [sample[:, : self.cut], sample[:, self.cut :]]
         self.books = [_kmeans(h, k, rng) for h in halves]
+        self.gaps = [np.maximum(np.sqrt(np.maximum(((c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * c @ c.T), 0)), 1e-12) for c in self.books]
         # pairs at the threshold: a random direction at right angles to each vector
         other = rng.normal(size=sample.shape)
         other -= (other * sample).sum(axis=1, keepdims=True) * sample
         other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
         other = threshold * sample + np.sqrt(1 - threshold**2) * other
-        need = np.sort(self.reach(sample)[np.arange(len(sample)), self.cells(other)])
+        need = np.sort(self.reach(self.borders(sample), self.cells(other)))
         wanted = MARGIN * float(need[min(len(need) - 1, int(np.ceil(target * len(need))))])
         # vectors at the threshold are 2 - 2 * threshold apart, so no pair lies beyond that
         self.radius = min(wanted, 2 - 2 * threshold) + 1e-12
-        visits = self.reach(sample) <= self.radius
-        self.visited = float(visits.sum(axis=1).mean())
+        some = sample[:256]
+        who, cell = self.traverse(some)
+        self.visited = len(who) / len(some)
         share = np.bincount(self.cells(sample), minlength=k * k) / len(sample)
-        self.met = float((visits @ share).mean())
+        self.met = float(share[cell].sum()) / len(some)
 
     def _half(self, x: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+        """(own centroid, squared distance to the border of each centroid) of one half."""
         part = x[:, : self.cut] if h == 0 else x[:, self.cut :]
         book = self.books[h]
         far = ((part**2).sum(axis=1)[:, None] + (book**2).sum(axis=1) - 2 * part @ book.T) if part.shape[1] else np.zeros((len(x), len(book)))
         near = far.argmin(axis=1)
-        gap = np.sqrt(np.maximum(((book[near][:, None] - book[None]) ** 2).sum(axis=2), 1e-24))
-        border = (far - far[np.arange(len(x)), near][:, None]) / (2 * gap)
+        border = (far - far[np.arange(len(x)), near][:, None]) / (2 * self.gaps[h][near])
         border[np.arange(len(x)), near] = 0
         return near, np.maximum(border, 0) ** 2
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return self._half(x, 0)[0] * self.k + self._half(x, 1)[0]
 
-    def reach(self, x: np.ndarray) -> np.ndarray:
-        """Squared distance of each vector to each cell's borders, summed over the halves: the order of the traversal."""
-        a, b = self._half(x, 0)[1], self._half(x, 1)[1]
-        return (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
+    def borders(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._half(x, 0)[1], self._half(x, 1)[1]
+
+    def reach(self, borders: tuple[np.ndarray, np.ndarray], cell: np.ndarray, row: np.ndarray | None = None) -> np.ndarray:
+        """At which radius the vectors (of the rows) visit the cells."""
+        row = np.arange(len(cell)) if row is None else row
+        return borders[0][row, cell // self.k] + borders[1][row, cell % self.k]
+
+    def traverse(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells within the radius of each vector, nearest cells first."""
+        sides = []
+        for border in self.borders(x):
+            order = np.argsort(border, axis=1, kind="stable")
+            near = np.take_along_axis(border, order, axis=1)
+            sides.append((order, near, (near <= self.radius).sum(axis=1)))
+        who, cells = [], []
+        for r in range(len(x)):
+            (oa, a, na), (ob, b, nb) = ((o[r, : n[r]].tolist(), v[r, : n[r]].tolist(), int(n[r])) for o, v, n in sides)
+            queue = [(a[0] + b[0], 0, 0)]
+            while queue and queue[0][0] <= self.radius:
+                _, i, j = heappop(queue)
+                cells.append(oa[i] * self.k + ob[j])
+                who.append(r)
+                # each cell enters the queue once: from the one before it in its row, or above it in the first column
+                if j + 1 < nb:
+                    heappush(queue, (a[i] + b[j + 1], i, j + 1))
+                if not j and i + 1 < na:
+                    heappush(queue, (a[i + 1] + b[0], i + 1, 0))
+        return np.array(who, np.int64), np.array(cells, np.int64)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -95,8 +127,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 def best_grid(sample: np.ndarray, n: int, labels: float, threshold: float) -> Grid:
     """The grid of least cost: vectors sent to cells (as 200 comparisons each) plus comparisons."""
     best = None
-    for k in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64):
-        if k > 1 and k * k > max(1.0, n / labels):
+    for k in (x for e in range(16) for x in (1 << e, 3 << e >> 1) if e or x == 1):
+        if k > 1 and (k * k > n / labels or 8 * k > len(sample)):
             break
         g = Grid(sample, k, threshold)
         cost = 200 * g.visited + g.met * n / labels
@@ -133,14 +165,12 @@ def _send(entries: DataFrame, grid: Grid, visit: bool) -> DataFrame:
                 labels = part.column("label").to_numpy()
                 nodes, mult = part.column("node").to_numpy(), part.column("mult").to_numpy()
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                if visit:
-                    who, cell = np.nonzero(grid.reach(unit) <= grid.radius)
-                else:
-                    who, cell = np.arange(len(x)), grid.cells(unit)
+                home = grid.cells(unit)
+                who, cell = grid.traverse(unit) if visit else (np.arange(len(x)), home)
                 key = labels[who].astype(np.int64) * grid.k**2 + cell
                 order = np.argsort(key, kind="stable")
                 cut = np.flatnonzero(np.diff(key[order])) + 1
-                rows = [(int(labels[who[g[0]]]), int(cell[g[0]]), name(nodes[who[g]]), len(g), _blob(nodes[who[g]], mult[who[g]], x[who[g]])) for g in np.split(order, cut) if len(g)]
+                rows = [(int(labels[who[g[0]]]), int(cell[g[0]]), name(nodes[who[g]]), len(g), _blob(nodes[who[g]], mult[who[g]], home[who[g]], x[who[g]])) for g in np.split(order, cut) if len(g)]
                 if rows:
                     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["label", "cell", "gid", "n", "blob"])
@@ -148,7 +178,7 @@ def _send(entries: DataFrame, grid: Grid, visit: bool) -> DataFrame:
     return entries.select("label", "node", "mult", "v").mapInArrow(run, _SENT)
 
 
-def _meet(homes: DataFrame, visits: DataFrame, d: int, threshold: float) -> DataFrame:
+def _meet(homes: DataFrame, visits: DataFrame, grid: Grid, threshold: float) -> DataFrame:
     """(a, b, n): edges (a, b) of a spanning forest; or, with b null, n links of the entry a."""
     blocks = homes.groupBy("label", "cell").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     groups = visits.groupBy("label", "cell").agg(F.ceil(F.sum("n") / MEETING).alias("groups"))
@@ -159,30 +189,46 @@ def _meet(homes: DataFrame, visits: DataFrame, d: int, threshold: float) -> Data
     h = size(homes).withColumn("i", F.pmod("gid", "blocks")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("kind", F.lit(0)).select(row)
     v = size(visits).withColumn("g", F.pmod("gid", "groups")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1)).select(row)
 
+    d = grid.d
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, counts = Forest(), {}
-        now, held, unit, nodes, mult, same = None, [], None, None, None, None
+        now, held, unit, nodes, mult, same, borders = None, [], None, None, None, None, None
+
+        def written() -> Iterator[pa.RecordBatch]:
+            rows = [(a, b, None) for a, b in forest.stars()] + [(a, None, n) for a, n in counts.items()]
+            for at in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + (1 << 16)])], ["a", "b", "n"])
+
         for batch in batches:
             for *key, kind, blob in zip(*[batch.column(c) for c in range(6)]):
                 key = tuple(k.as_py() for k in key)
                 if key != now:
                     now, held, unit = key, [], None
-                got = _arrays(blob.as_py(), np.int64, np.int64, np.float64)
+                    if len(counts) + len(forest.up) > PENDING:
+                        yield from written()
+                        forest, counts = Forest(), {}
+                got = _arrays(blob.as_py(), np.int64, np.int64, np.int64, np.float64)
                 if kind.as_py() == 0:
                     held.append(got)
                     continue
                 if unit is None:
                     if not held:
                         continue
-                    nodes, mult, x = (np.concatenate(c) for c in zip(*held))
+                    nodes, mult, _, x = (np.concatenate(c) for c in zip(*held))
                     x = x.reshape(-1, d)
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    same = np.arange(len(nodes))
-                own, _, q = got
+                    same, borders = np.arange(len(nodes)), grid.borders(unit)
+                own, times, home, q = got
                 q = q.reshape(-1, d)
                 near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ unit.T >= threshold
                 near &= own[:, None] != nodes[None]
                 links = near @ mult
+                # the visitor counts its own links, and those of entries that don't visit its cell in turn
+                i, j = np.nonzero(near)
+                still = grid.reach(borders, home[i], j) > grid.radius
+                for k, n in zip(nodes[j[still]].tolist(), times[i[still]].tolist()):
+                    counts[k] = counts.get(k, 0) + n
                 for i in np.flatnonzero(links).tolist():
                     node = int(own[i])
                     counts[node] = counts.get(node, 0) + int(links[i])
@@ -193,9 +239,7 @@ def _meet(homes: DataFrame, visits: DataFrame, d: int, threshold: float) -> Data
                         for j in apart[1:].tolist():
                             forest.union(int(nodes[apart[0]]), int(nodes[j]))
                         same[np.isin(same, apart)] = apart[0]
-        rows = [(a, b, None) for a, b in forest.stars()] + [(a, None, n) for a, n in counts.items()]
-        for at in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + (1 << 16)])], ["a", "b", "n"])
+        yield from written()
 
     return h.unionByName(v).repartition("label", "cell", "i", "g").sortWithinPartitions("label", "cell", "i", "g", "kind").mapInArrow(run, "a long, b long, n long")
 
@@ -208,7 +252,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     non-finite components links with nothing, nor does one of another dimension
     than most. Every row is a vector: rows that repeat one link with each other.
     A null id takes part, names no component and isn't kept. An empty table
-    gives no rows.
+    gives no rows. Other columns of ``vectors`` don't matter, whatever their names.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).cast("int").alias("label"))
     fit = F.coalesce(F.col("label").isNotNull() & is_vector("v"), F.lit(False))
@@ -225,7 +269,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector: str =
     names = sample.column("label").to_numpy()
     labels = len(names) ** 2 / float((np.unique(names, return_counts=True)[1] ** 2).sum())
     grid = best_grid(x / np.linalg.norm(x, axis=1, keepdims=True), n, labels, threshold)
-    met = stored(_meet(_send(entries, grid, False), _send(entries, grid, True), d, threshold), "multi-index-links")
+    met = stored(_meet(_send(entries, grid, False), _send(entries, grid, True), grid, threshold), "multi-index-links")
     roots = components(met.where("b is not null"))
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     known = (

@@ -43,3 +43,55 @@ def test_empty_and_tiny(spark):
     assert got == {1: (2, 1, True), 2: (2, 1, False), None: (2, 1, False), 3: (0, 3, True)}
     assert mi.near_duplicates(df.where("false")).count() == 0
     assert mi.near_duplicates(df.where("vec_id = 3")).collect()[0].kept
+
+
+def test_traversal_hands_out_cells_in_order():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = mi.Grid(x, 24, 0.93)
+    a, b = g.borders(x[:50])
+    everything = (a[:, :, None] + b[:, None, :]).reshape(50, -1)
+    who, cell = g.traverse(x[:50])
+    assert 1 < len(who) < 50 * 24 * 24
+    for r in range(50):
+        own = cell[who == r]
+        assert set(own) == set(np.flatnonzero(everything[r] <= g.radius)) and len(set(own)) == len(own)
+        assert (np.diff(everything[r][own]) >= 0).all()
+
+
+def test_recall_and_cost_on_real_vectors(spark):
+    """Pairs of a vector of the table and one between it and another of the table, at cosines from the threshold up."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in rows if r.embedding is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rng = np.random.default_rng(1)
+    other = x[rng.permutation(len(x))]
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-9)
+    c = rng.uniform(0.93, 0.97, (len(x), 1))
+    near = c * x + np.sqrt(1 - c**2) * other
+    shares = []
+    for n in (20_000, 2_000_000):
+        g = mi.best_grid(x[:8192], n, 1.0, 0.93)
+        shares.append(g.met)
+        seen = (g.reach(g.borders(x), g.cells(near)) <= g.radius) | (g.reach(g.borders(near), g.cells(x)) <= g.radius)
+        print(f"{n} vectors: recall {seen.mean():.6f} of {len(x)} pairs; K {g.k}, cells visited {g.visited:.1f}, share met {g.met:.5f}")
+        assert seen.mean() >= 0.9995
+    assert shares[1] < shares[0]
+
+
+def test_counts_are_the_same_from_both_ends(spark, monkeypatch):
+    """Even where most visits are missed, a pair that is found counts for both of its vectors."""
+    monkeypatch.setattr(mi, "MARGIN", 0.02)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1200, 8))
+    x[600:] = x[:600] + 0.2 * x[600:]
+    df = spark.createDataFrame([(i, v.tolist(), 0, 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, cell int")
+    got = mi.near_duplicates(df).collect()
+    assert sum(r.n_links for r in got) % 2 == 0
+    linked = {r.vec_id for r in got if r.n_links}
+    sizes = {}
+    for r in got:
+        sizes[r.component_id] = sizes.get(r.component_id, 0) + 1
+    assert linked == {r.vec_id for r in got if sizes[r.component_id] > 1}
