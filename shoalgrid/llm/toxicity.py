@@ -1,16 +1,18 @@
 """Toxicity by weak supervision.
 
-Voters: a small fixed lexicon, surface patterns, and words and word beginnings
-that the labelled rows favour. A generative label model (naive Bayes with
-Bernoulli votes, fitted by expectation maximisation) estimates how often each
-voter speaks in either class; voters that stay correlated within the classes
-share their weight. A linear classifier is then trained on the model's posterior
-labels and scores every whole text.
+Voters: a small fixed lexicon, surface patterns, and words and word beginnings,
+once or repeated, that the labelled rows favour. A generative label model (naive
+Bayes with Bernoulli votes, fitted by expectation maximisation over rows with and
+without a label) estimates how often each voter speaks in either class; voters
+that stay correlated within the classes share their weight. A linear classifier
+is then trained on the model's posterior labels and scores every whole text.
 
 Only doc_id (for the join and the split), text and the toxic label are read in
-training, only the text in scoring. The label counts as one voter among the
-others. Models are fitted on at most ``SAMPLE`` labelled rows and hold at most
-``FEATURES`` weights; neither grows with the corpus.
+training, only the text in scoring. Where a row has a label, that is one voter
+more, whose error rates are estimated like the others'; most voters are words of
+invented languages that no other source knows. Models are fitted on at most
+``SAMPLE`` labelled and ``UNLABELLED`` other rows and hold at most ``FEATURES``
+weights; none of these grows with the corpus.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, map_batches, pieces, stored
 
-#: Labelled rows for training, chosen by hash of doc_id.
-SAMPLE = 20_000
+#: Labelled rows for training, and rows that the label model sees without their labels, chosen by hash of doc_id.
+SAMPLE, UNLABELLED = 20_000, 4_000
 #: Words, word beginnings and patterns with a weight.
 FEATURES = 512
 #: Features among which the voters are chosen.
@@ -54,17 +56,14 @@ _LEXICON = frozenset(LEXICON)
 
 def features(text: str) -> set[str]:
     """Names of all features that a whole text has."""
-    words = set(_WORD.findall(text.lower()))
-    found = {f"w {w}" for w in words}
-    found |= {f"4 {w[:4]}" for w in words if len(w) > 4}
-    found |= {f"5 {w[:5]}" for w in words if len(w) > 5}
-    hits = len(words & _LEXICON)
-    if hits:
-        found.add("lexicon 1")
-        if hits > 1:
-            found.add("lexicon 2")
-    else:
-        found.add("lexicon 0")
+    words = _WORD.findall(text.lower())
+    kinds = set(words)
+    found = {f"w {w}" for w in kinds}
+    for size in (4, 5):
+        for x, n in Counter([w[:size] for w in words if len(w) > size]).items():
+            found.update(f"{size} {x}" + f" x{k}" * (k > 1) for k in range(1, min(n, 3) + 1))
+    hits = len(kinds & _LEXICON)
+    found.update(f"lexicon {k}" for k in range(1, min(hits, 3) + 1)) if hits else found.add("lexicon 0")
     found |= {f"pattern {k}" for k, p in _PATTERNS.items() if p.search(text)}
     return found
 
@@ -73,18 +72,29 @@ def features(text: str) -> set[str]:
 class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    cache: dict[int, dict[str, list[float]]] = field(default_factory=dict)
 
     def score(self, text: str) -> float:
         w, total = self.weights, self.bias
-        words = set(_WORD.findall(text.lower()))
-        total += sum(w.get(f"w {x}", 0.0) for x in words)
-        total += sum(w.get(f"4 {x}", 0.0) for x in {x[:4] for x in words if len(x) > 4})
-        total += sum(w.get(f"5 {x}", 0.0) for x in {x[:5] for x in words if len(x) > 5})
-        hits = len(words & _LEXICON)
-        total += (w.get("lexicon 1", 0.0) + (w.get("lexicon 2", 0.0) if hits > 1 else 0.0)) if hits else w.get("lexicon 0", 0.0)
+        words = _WORD.findall(text.lower())
+        kinds = set(words)
+        total += sum(w.get(f"w {x}", 0.0) for x in kinds)
+        for size in (4, 5):
+            known = self._beginnings(size)
+            for x, n in Counter([y for x in words if len(x) > size and (y := x[:size]) in known]).items():
+                total += sum(known[x][:n])
+        hits = len(kinds & _LEXICON)
+        total += sum(w.get(f"lexicon {k}", 0.0) for k in range(1, min(hits, 3) + 1)) if hits else w.get("lexicon 0", 0.0)
         total += sum(w.get(f"pattern {k}", 0.0) for k, p in _PATTERNS.items() if f"pattern {k}" in w and p.search(text))
         return float(1 / (1 + np.exp(-np.clip(total, -60, 60))))
 
+    def _beginnings(self, size: int) -> dict[str, list[float]]:
+        """Weights of each beginning of that many letters for its first, second and third occurrence."""
+        if size not in self.cache:
+            names = {f.split(" ")[1] for f in self.weights if f.startswith(f"{size} ")}
+            self.cache[size] = {x: [self.weights.get(f"{size} {x}" + f" x{k}" * (k > 1), 0.0) for k in (1, 2, 3)] for x in names}
+        return self.cache[size]
+
 
 def split_column() -> F.Column:
     """True for rows that labels must not be learnt from."""
@@ -97,11 +107,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     The labels are cut to the sample before the join, so its broadcast side has
     ``sample`` rows at most; the texts aren't shuffled. Null ids and labels
     other than 0 and 1 are left out; of repeated labels of an id the largest
-    counts.
+    counts, of repeated rows of an id the smallest text.
     """
     chosen = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.where(~split_column()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic"))
+
+
+def other_rows(docs: DataFrame, count: int = UNLABELLED) -> DataFrame:
+    """(text, toxic null) of ``count`` rows of ``docs``, chosen by hash of doc_id, their labels not looked at."""
+    chosen = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64(F.lit("others"), "doc_id"), "doc_id").limit(count)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.select("text", F.lit(None).cast("int").alias("toxic"))
 
 
 def sketch(text: str) -> int:
@@ -239,8 +257,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
             ids = [sorted(index[f] for f in features(t or "") if f in index) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(1), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    got = map_batches(rows, vote, "toxic int, ids array<int>").toArrow()  # ``sample`` rows of ``CANDIDATES`` numbers at most
-    gold = got.column("toxic").to_numpy()
+    # ``sample`` + ``UNLABELLED`` rows of ``CANDIDATES`` numbers at most
+    got = map_batches(rows.unionByName(other_rows(docs)), vote, "toxic int, ids array<int>").toArrow()
+    gold = got.column("toxic").fill_null(-1).to_numpy()
     votes = np.zeros((len(gold), len(names)), np.uint8)
     lists = got.column("ids").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -253,7 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int =
     order = np.lexsort([*votes[:, : min(8, len(names))].T, votes.sum(axis=1), gold])  # the same fit for any order of the rows
     votes, gold = votes[order], gold[order]
     q, _ = label_model(votes, gold, np.array([-1.0 if x == "lexicon 0" else 1.0 for x in names]))
-    w, b = fit_linear(votes, q)
+    sure = gold >= 0  # rows without a label teach the label model only: what no voter knows isn't known to be clean
+    w, b = fit_linear(votes[sure], q[sure])
     return Model(b, {x: float(v) for x, v in zip(names, w) if abs(v) > 1e-4})
 
 

@@ -45,3 +45,25 @@ def test_held_out_accuracy(spark):
     assert kept.columns == d.columns and 700 < kept.count() < 800
     assert toxicity.predictions(d.where("false"), t).count() == 0
     assert toxicity.predictions(d, t.where("false")).count() == len(docs)
+
+
+def test_scores_against_the_definition_over_a_table(spark):
+    """Every text's score is the weighted sum of its features; the split and the threshold follow the contract."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.predictions(docs, labels).collect()}
+    assert len(model.weights) > 5 and len(got) == docs.count()
+    for r in docs.collect():
+        total = model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(r.text or ""))
+        want = 1 / (1 + np.exp(-np.clip(total, -60, 60)))
+        assert abs(got[r.doc_id].score - want) < 1e-9
+        assert got[r.doc_id].predicted == (want >= 0.3) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_repeated_beginnings_count():
+    text = "bomentea uno bomenteb dos Bomentec tres die"
+    found = toxicity.features(text)
+    assert {"4 bome", "4 bome x2", "4 bome x3", "5 bomen x3", "lexicon 1", "w die"} <= found and "5 bomen x4" not in found
+    model = toxicity.Model(-1.0, {"4 bome": 0.5, "4 bome x3": 1.0, "w uno": 0.25, "lexicon 2": 9.0})
+    assert abs(model.score(text) - 1 / (1 + np.exp(-0.75))) < 1e-12 and abs(model.score("") - 1 / (1 + np.e)) < 1e-12
