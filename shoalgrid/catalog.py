@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as g
-from .operators import boundaries, domains, interpolate, lines, mesh, raster, sizing
+from .operators import boundaries, domains, interpolate, lines, mesh, polygons, raster, sizing
+from .sources import raster_store as store
 from .sources import tables as t
 from .sources import text
 
@@ -890,6 +891,112 @@ def remesh_holes(spark, sf):
     return mesh.element_areas(new, n).agg(F.count("*").alias("n"), F.sum(F.abs("area")).alias("area"))
 
 
+# -- polygons, contours, stored rasters ----------------------------------------------------
+
+
+def _land(spark, sf) -> DataFrame:
+    return raster.domain_cells(t.raster_cells(spark, sf), 0, 60)
+
+
+@query
+def raster_polygons(spark, sf):
+    """Rings with holes around the cells of a domain: corners, signed areas and lengths."""
+    p = polygons.from_cells(_land(spark, sf), t.WIDTH)
+    return polygons.measures(p, ["poly", "ring", "ring_type"]).select("poly", F.col("ring").cast("long").alias("ring"), "ring_type", "n_corners", "area", "length")
+
+
+@query
+def polygon_areas(spark, sf):
+    """Net area and rings of each polygon: that of its cells."""
+    m = polygons.measures(polygons.from_cells(_land(spark, sf), t.WIDTH))
+    return m.groupBy("poly").agg(F.count("*").alias("n_rings"), F.sum("area").alias("area"))
+
+
+@query
+def polygon_triangles(spark, sf):
+    """Triangles between the corners of polygons with holes: their number and area."""
+    tri = polygons.triangulate(polygons.from_cells(_land(spark, sf), t.WIDTH))
+    x, y = (lambda i: F.get("xs", F.lit(i))), (lambda i: F.get("ys", F.lit(i)))
+    area = F.abs((x(1) - x(0)) * (y(2) - y(0)) - (y(1) - y(0)) * (x(2) - x(0))) / 2
+    return tri.groupBy("poly").agg(F.count("*").alias("n"), F.sum(area).alias("area"))
+
+
+@query
+def polygon_points(spark, sf):
+    """Which polygon holds a point."""
+    points = t.scattered(spark, sf).select("pid", (F.col("x") + 0.125).alias("x"), (F.col("y") + 0.125).alias("y"))
+    return polygons.containing(points, polygons.from_cells(_land(spark, sf), t.WIDTH))
+
+
+@query
+def polygon_round_trip(spark, sf):
+    """Polygons as nested rows and back: corners of each ring."""
+    back = polygons.explode(polygons.implode(polygons.from_cells(_land(spark, sf), t.WIDTH)))
+    return back.groupBy("poly", F.col("ring").cast("long").alias("ring"), "ring_type").agg(F.count("*").alias("n_corners"))
+
+
+@query
+def contour_lines(spark, sf):
+    """Contours joined into lines: points and extent of each."""
+    c = raster.contour_lines(t.raster_cells(spark, sf), 10.0)
+    return c.groupBy("line", "closed").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("sx"), r6(F.sum("y")).alias("sy"))
+
+
+@query
+def hfun_patch_expansion(spark, sf):
+    n = _mesh(spark, sf)[1]
+    p = sizing.initial(n.withColumnRenamed("value", "z"), 100)
+    border = sizing.ring_places(spark, WEDGE, 0.5)
+    out = sizing.patch_expanded(p, "node_id", _in_wedge(), border, 15.0, 0.25, hmax=60)
+    return out.select("node_id", r6("h").alias("h"))
+
+
+def _in_wedge() -> Column:
+    from .plans.spatial import in_polygon
+
+    return in_polygon(F.col("x"), F.col("y"), WEDGE)
+
+
+@query
+def grd_boundaries(spark, sf):
+    """Boundary sections of a grd file: the lower side is open, the left one land, two cells an island."""
+    n = _mesh(spark, sf)[1]
+    kind = lambda k, btype, ibtype, seq: F.struct(F.lit(k).alias("bnd_id"), F.lit(btype).alias("btype"), F.lit(ibtype).cast("int").alias("ibtype"), seq.cast("long").alias("seq"))
+    b = F.when(F.col("y") == 0, kind(1, "open", None, F.col("x"))).when(F.col("x") == 0, kind(1, "land", 20, F.col("y") - 1))
+    b = b.when((F.col("y") == 1) & F.col("x").between(5, 8), kind(2, "interior", None, F.col("x") - 5))
+    rows = n.select(b.alias("b"), "node_id").where("b is not null").select("b.*", "node_id")
+    return text.grd_boundary_lines(rows)
+
+
+@query
+def mesh_difference(spark, sf):
+    """The mesh less the polygons of a raster domain."""
+    from .operators.engine import difference
+
+    return _joined(difference(*_mesh(spark, sf), polygons.from_cells(_land(spark, sf).where("col between 4 and 30"), t.WIDTH)))
+
+
+@query
+def raster_windows(spark, sf):
+    """Windows that tile a raster, with their bounds."""
+    cells = t.raster_cells(spark, sf)
+    m = store.Meta(100.0, 50.0, 0.5, -0.25, (cells.agg(F.max("row")).first()[0] or 0) + 1, t.WIDTH)
+    return store.window_bounds(store.sample_windows(m, 16)(spark), m)
+
+
+@query
+def raster_digest(spark, sf):
+    return store.digest(t.raster_cells(spark, sf, True), 16)
+
+
+@query
+def ascii_grid(spark, sf):
+    """Lines of an ASCII grid: length and first characters of each."""
+    cells = t.raster_cells(spark, sf, True)
+    m = store.Meta(0.0, 10.0, 2.0, -2.0, (cells.agg(F.max("row")).first()[0] or 0) + 1, t.WIDTH)
+    return store.ascii_lines(cells, m).select("section", "id", F.substring("line", 1, 30).alias("head"), F.length("line").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -64,9 +64,6 @@ tri AS (SELECT a.elem_id, a.etype, a.pos AS corner, b.x - a.x AS px, b.y - a.y A
 an AS (SELECT elem_id, etype, corner, degrees(acos(least(1.0, greatest(-1.0, (px * qx + py * qy) / sqrt((px * px + py * py) * (qx * qx + qy * qy)))))) AS angle, px * qy - py * qx AS turn FROM tri)"""
 
 
-_AREA = """,
-ar AS (SELECT elem_id, etype, sum(CASE WHEN pos = 0 THEN 0 ELSE 0 END) AS zero, sum(a.x * b.y - b.x * a.y) / 2 AS area
-       FROM (SELECT a.elem_id, a.etype, a.pos, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM co a JOIN co b ON a.elem_id = b.elem_id AND b.pos = (a.pos + 1) % a.sz) q, (SELECT 1) GROUP BY 1, 2)"""
 _AREA = """,
 ar AS (SELECT a.elem_id, a.etype, sum(a.x * b.y - b.x * a.y) / 2 AS area FROM co a JOIN co b ON a.elem_id = b.elem_id AND b.pos = (a.pos + 1) % a.sz GROUP BY 1, 2)"""
 
@@ -244,3 +241,115 @@ SELECT pid, zone, round(m * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4
     "interp_cubic": f"WITH {_N}, {_P}, q AS (SELECT pid, x - floor(x) AS a, y - floor(y) AS b, floor(x) AS c0, floor(y) AS r0 FROM p), w AS (SELECT pid, r0 + i - 1 AS row, c0 + j - 1 AS col, CASE i WHEN 0 THEN ((-0.5 * b + 1) * b - 0.5) * b WHEN 1 THEN (1.5 * b - 2.5) * b * b + 1 WHEN 2 THEN ((-1.5 * b + 2) * b + 0.5) * b ELSE (0.5 * b - 0.5) * b * b END * CASE j WHEN 0 THEN ((-0.5 * a + 1) * a - 0.5) * a WHEN 1 THEN (1.5 * a - 2.5) * a * a + 1 WHEN 2 THEN ((-1.5 * a + 2) * a + 0.5) * a ELSE (0.5 * a - 0.5) * a * a END AS w FROM q, (SELECT unnest([0, 1, 2, 3]) AS i), (SELECT unnest([0, 1, 2, 3]) AS j)) SELECT pid, round(sum(w * z), 6) + 0 AS z FROM w JOIN n ON r = row AND c = col GROUP BY pid HAVING count(*) = 16",
     "hfun_collector_specs": _RG.rstrip() + f", {_F}, d AS (SELECT row, col, sqrt(min((col - fx) * (col - fx) + (row - fy) * (row - fy))) AS d FROM gr, f GROUP BY row, col), h AS (SELECT row, col, z, least(1e30, CASE WHEN z > 40 OR (gx = 0 AND gy = 0) THEN 1e30 ELSE least(50, greatest(3, abs(z / (3 * sqrt(gx * gx + gy * gy))))) END, CASE WHEN z > -90 AND z < 70 THEN 45 ELSE 1e30 END, greatest(2, least(40, 5 * d + 10)), CASE WHEN col > 3.5 AND col < 6.5 THEN 7 ELSE 1e30 END) AS h FROM gr JOIN d USING (row, col)), t AS (SELECT row, col, CASE WHEN z > 60 AND NOT h > 20 THEN 20 ELSE h END AS h FROM h), u AS (SELECT row, col, CASE WHEN col > 30.5 AND row < 3.5 AND NOT h < 8 THEN 8 ELSE h END AS h FROM t) SELECT row * 40 + col AS node_id, round(CAST(least(60, greatest(2, h)) AS DOUBLE), 6) AS h FROM u",
 }
+
+
+# -- rings, polygons and contours: chains as recursions ------------------------------------
+
+_RING = """,
+de AS (SELECT elem_id, nodes[i + 1] AS a, nodes[(i + 1) % len(nodes) + 1] AS b FROM (SELECT *, unnest(range(0, len(nodes))) AS i FROM m)),
+db AS (SELECT component, a, b FROM de JOIN bd ON least(a, b) = u AND greatest(a, b) = v JOIN cp USING (elem_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY component, a ORDER BY b) AS o, row_number() OVER (PARTITION BY component, b ORDER BY a) AS q FROM db),
+pv AS (SELECT e.a * 1000000 + e.b AS i, f.a * 1000000 + f.b AS p FROM rk e JOIN rk f ON e.component = f.component AND f.b = e.a AND f.q = e.o),
+cl(i, x) AS (SELECT i, i FROM pv UNION SELECT cl.i, pv.p FROM cl JOIN pv ON pv.i = cl.x),
+ro AS (SELECT i, min(x) AS root FROM cl GROUP BY i),
+rn AS (SELECT component, a, b, root, CAST(dense_rank() OVER (PARTITION BY component ORDER BY root) - 1 AS INTEGER) AS ring FROM rk JOIN ro ON i = a * 1000000 + b),
+rx AS (SELECT component, ring, CAST(sum(p.c * q.r - q.c * p.r) AS DOUBLE) / 2 AS area FROM rn JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b GROUP BY 1, 2),
+rg AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY component ORDER BY abs(area) DESC, ring) = 1 THEN 'exterior' ELSE 'interior' END AS ring_type FROM rx)"""
+_TYPED = """,
+ty AS (SELECT a, b, CASE WHEN ring_type = 'interior' THEN 'interior' WHEN p.z >= 0 OR q.z >= 0 THEN 'land' ELSE 'open' END AS btype
+       FROM rn JOIN rg USING (component, ring) JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b),
+tb AS (SELECT *, CAST(CASE btype WHEN 'interior' THEN 1 WHEN 'land' THEN 0 END AS INTEGER) AS ibtype FROM ty)"""
+_HULL = f"WITH RECURSIVE {_M}{_S}{_COMP}{_RING}"
+
+_POLY = (
+    "WITH RECURSIVE "
+    + _N
+    + """,
+ra AS (SELECT r AS row, c AS col, z, g FROM n), d AS (SELECT row, col FROM ra WHERE z BETWEEN 0 AND 60),
+f AS (SELECT * FROM (VALUES (0, -1, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1)) v(k, dr, dc)),
+e AS (SELECT d.row, d.col, k, dr, dc FROM d, f WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.row = d.row + dr AND x.col = d.col + dc)),
+o AS (SELECT e.*, t.dr AS tr, t.dc AS tc, EXISTS (SELECT 1 FROM d x WHERE x.row = e.row + t.dr AND x.col = e.col + t.dc) AS over,
+             EXISTS (SELECT 1 FROM d x WHERE x.row = e.row + t.dr + e.dr AND x.col = e.col + t.dc + e.dc) AS corner FROM e JOIN f t ON t.k = (e.k + 1) % 4),
+nx AS (SELECT (row * 1000 + col) * 4 + k AS i, row, col, k,
+              CASE WHEN NOT over THEN (row * 1000 + col) * 4 + (k + 1) % 4 WHEN NOT corner THEN ((row + tr) * 1000 + col + tc) * 4 + k ELSE ((row + tr + dr) * 1000 + col + tc + dc) * 4 + (k + 3) % 4 END AS j,
+              CASE WHEN k IN (1, 2) THEN col + 0.5::DOUBLE ELSE col - 0.5::DOUBLE END AS x, CASE WHEN k IN (2, 3) THEN row + 0.5::DOUBLE ELSE row - 0.5::DOUBLE END AS y,
+              CASE WHEN k IN (0, 1) THEN col + 0.5::DOUBLE ELSE col - 0.5::DOUBLE END AS x2, CASE WHEN k IN (1, 2) THEN row + 0.5::DOUBLE ELSE row - 0.5::DOUBLE END AS y2 FROM o),
+cl(i, x) AS (SELECT i, i FROM nx UNION SELECT cl.i, nx.j FROM cl JOIN nx ON nx.i = cl.x),
+ro AS (SELECT i, min(x) AS root FROM cl GROUP BY i),
+lk AS (SELECT a.row * 40 + a.col AS a, b.row * 40 + b.col AS b FROM d a JOIN d b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+re(x, y) AS (SELECT row * 40 + col, row * 40 + col FROM d UNION SELECT lk.b, re.y FROM re JOIN lk ON lk.a = re.x WHERE re.y < lk.b),
+cp AS (SELECT x, min(y) AS poly FROM re GROUP BY x),
+g AS (SELECT nx.*, poly, root, dense_rank() OVER (PARTITION BY poly ORDER BY root) - 1 AS ring, CASE WHEN j % 4 <> k THEN 1 ELSE 0 END AS turn FROM nx JOIN ro USING (i) JOIN cp ON cp.x = nx.row * 40 + nx.col),
+rg AS (SELECT poly, CAST(ring AS BIGINT) AS ring, CASE WHEN ring = 0 THEN 'exterior' ELSE 'interior' END AS ring_type, CAST(sum(turn) AS BIGINT) AS n_corners, sum(x * y2 - x2 * y) / 2 AS area, CAST(count(*) AS DOUBLE) AS length FROM g GROUP BY poly, ring)
+"""
+)
+_LINES = (
+    "WITH RECURSIVE "
+    + _N
+    + """,
+b AS (SELECT a.r, a.c, a.z AS z0, p.z AS z1, q.z AS z2, s.z AS z3 FROM n a JOIN n p ON p.r = a.r AND p.c = a.c + 1 JOIN n q ON q.r = a.r + 1 AND q.c = a.c + 1 JOIN n s ON s.r = a.r + 1 AND s.c = a.c),
+k AS (SELECT r, c, 0 AS k, z0 AS za, z1 AS zb, (r * 1000 + c) * 2 AS p, c + (10 - z0) / (z1 - z0) AS x, CAST(r AS DOUBLE) AS y FROM b WHERE (z0 >= 10) <> (z1 >= 10)
+      UNION ALL SELECT r, c, 1, z1, z2, (r * 1000 + c + 1) * 2 + 1, c + 1, r + (10 - z1) / (z2 - z1) FROM b WHERE (z1 >= 10) <> (z2 >= 10)
+      UNION ALL SELECT r, c, 2, z2, z3, ((r + 1) * 1000 + c) * 2, c + (10 - z3) / (z2 - z3), r + 1 FROM b WHERE (z2 >= 10) <> (z3 >= 10)
+      UNION ALL SELECT r, c, 3, z3, z0, (r * 1000 + c) * 2 + 1, c, r + (10 - z0) / (z3 - z0) FROM b WHERE (z3 >= 10) <> (z0 >= 10)),
+sg AS (SELECT u.p AS i, arg_min(v.p, (v.k - u.k + 4) % 4) AS j FROM k u JOIN k v USING (r, c) WHERE u.za >= 10 AND v.za < 10 GROUP BY u.r, u.c, u.p),
+pt AS (SELECT DISTINCT p, x, y FROM k),
+cl(i, x) AS (SELECT i, i FROM sg UNION SELECT cl.i, sg.i FROM cl JOIN sg ON sg.j = cl.x),
+ro AS (SELECT i, coalesce(min(CASE WHEN x NOT IN (SELECT j FROM sg) THEN x END), min(x)) AS root FROM cl GROUP BY i),
+al AS (SELECT root, i AS p FROM ro UNION ALL SELECT root, j FROM ro JOIN sg USING (i) WHERE j NOT IN (SELECT i FROM sg) OR j = root)
+SELECT (root // 2000) || '-' || (root // 2 % 1000) || '-' || (root % 2) AS line, root IN (SELECT j FROM sg) AS closed, CAST(count(*) AS BIGINT) AS n, round(sum(x), 6) AS sx, round(sum(y), 6) AS sy
+FROM al JOIN pt USING (p) GROUP BY root"""
+)
+
+
+def _border(ring: list[tuple[float, float]], step: float) -> str:
+    import math
+
+    out = []
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        k = max(1, math.ceil(math.hypot(x2 - x1, y2 - y1) / step))
+        out += [f"({x1 + (x2 - x1) * i / k!r}::DOUBLE, {y1 + (y2 - y1) * i / k!r}::DOUBLE)" for i in range(k)]
+    return ", ".join(out)
+
+
+ORACLE |= {
+    "hull_rings": _HULL + " SELECT component, ring, area, ring_type FROM rg",
+    "boundaries_auto": _HULL + _TYPED + " SELECT a, b, btype, ibtype FROM tb",
+    "boundaries_region": _HULL + _TYPED + """, ch AS (SELECT a, b, btype, ibtype, a IN (SELECT node_id FROM n WHERE c > 30.5 AND r < 2.5) OR b IN (SELECT node_id FROM n WHERE c > 30.5 AND r < 2.5) AS hit FROM tb WHERE btype <> 'interior')
+SELECT CASE WHEN hit THEN 'open' ELSE btype END AS btype, CASE WHEN NOT hit THEN ibtype END AS ibtype, CAST(count(*) AS BIGINT) AS n FROM ch GROUP BY 1, 2""",
+    "boundary_runs": _HULL + _TYPED + """, kn AS (SELECT a * 3 + kind AS a, b * 3 + kind AS b, btype FROM (SELECT *, CASE btype WHEN 'open' THEN 0 WHEN 'land' THEN 1 ELSE 2 END AS kind FROM tb)),
+un AS (SELECT a, b FROM kn UNION SELECT b, a FROM kn), rr(x, y) AS (SELECT a, a FROM un UNION SELECT un.b, rr.y FROM rr JOIN un ON un.a = rr.x WHERE rr.y < un.b), rm AS (SELECT x, min(y) AS root FROM rr GROUP BY x)
+SELECT CAST(root // 3 AS BIGINT) AS bnd, btype, CAST(count(*) AS BIGINT) AS n_edges FROM kn JOIN rm ON rm.x = kn.a GROUP BY 1, 2""",
+    "boundary_chains": f"WITH RECURSIVE {_M}{_S}" + """,
+de AS (SELECT nodes[i + 1] AS a, nodes[(i + 1) % len(nodes) + 1] AS b FROM (SELECT *, unnest(range(0, len(nodes))) AS i FROM m)),
+db AS (SELECT a, b, CASE WHEN p.z >= 0 OR q.z >= 0 THEN 'land' ELSE 'open' END AS btype FROM de JOIN bd ON least(a, b) = u AND greatest(a, b) = v JOIN n p ON p.node_id = a JOIN n q ON q.node_id = b),
+rk AS (SELECT *, a * 1000000 + b AS i, row_number() OVER (PARTITION BY btype, a ORDER BY b) AS o, row_number() OVER (PARTITION BY btype, b ORDER BY a) AS q FROM db),
+pv AS (SELECT e.i, f.i AS p FROM rk e JOIN rk f ON e.btype = f.btype AND f.b = e.a AND f.q = e.o),
+cl(i, x) AS (SELECT i, i FROM rk UNION SELECT cl.i, pv.p FROM cl JOIN pv ON pv.i = cl.x),
+ro AS (SELECT i, coalesce(min(CASE WHEN x NOT IN (SELECT i FROM pv) THEN x END), min(x)) AS root FROM cl GROUP BY i),
+fw(i, root, seq) AS (SELECT i, root, 0 FROM ro WHERE i = root UNION ALL SELECT pv.i, root, seq + 1 FROM fw JOIN pv ON pv.p = fw.i WHERE pv.i <> root),
+al AS (SELECT root, btype, seq, a AS node_id FROM fw JOIN rk USING (i) UNION ALL SELECT root, arg_max(btype, seq), max(seq) + 1, arg_max(b, seq) FROM fw JOIN rk USING (i) GROUP BY root)
+SELECT (root // 1000000) || '-' || (root % 1000000) AS chain, btype, CAST(seq AS INTEGER) AS seq, node_id FROM al""",
+    "raster_polygons": _POLY + "SELECT poly, ring, ring_type, n_corners, area, length FROM rg",
+    "polygon_areas": _POLY + "SELECT poly, CAST(count(*) AS BIGINT) AS n_rings, sum(area) AS area FROM rg GROUP BY poly",
+    "polygon_triangles": _POLY + "SELECT poly, CAST(sum(n_corners) + 2 * count(*) - 4 AS BIGINT) AS n, sum(area) AS area FROM rg GROUP BY poly",
+    "polygon_points": _POLY + f", {_P} SELECT pid, poly FROM p JOIN cp ON cp.x = CAST(floor(p.y + 0.625) AS BIGINT) * 40 + CAST(floor(p.x + 0.625) AS BIGINT) WHERE floor(p.x + 0.625) < 40",
+    "polygon_round_trip": _POLY + "SELECT poly, ring, ring_type, n_corners FROM rg",
+    "contour_lines": _LINES,
+    "hfun_patch_expansion": f"WITH {_N}, w(x, y) AS (VALUES {_border(_WEDGE, 0.5)}), d AS (SELECT node_id, sqrt(min((c - x) * (c - x) + (r - y) * (r - y))) AS d FROM n, w GROUP BY node_id) "
+    f"SELECT node_id, round(CAST(CASE WHEN {_WODD} OR {_WEDGED} THEN 15 ELSE least(60, 0.25::DOUBLE * 15 * d + 15) END AS DOUBLE), 6) AS h FROM n JOIN d USING (node_id)",
+    "grd_boundaries": f"WITH {_N}, q AS (SELECT node_id, CASE WHEN r = 0 THEN 1 WHEN c = 0 THEN 1 ELSE 2 END AS bnd, CASE WHEN r = 0 THEN 4 ELSE 5 END AS section, CASE WHEN r = 0 THEN NULL WHEN c = 0 THEN 20 ELSE 1 END AS ib,"
+    " CASE WHEN r = 0 THEN c WHEN c = 0 THEN r - 1 ELSE c - 5 END AS seq FROM n WHERE r = 0 OR c = 0 OR (r = 1 AND c BETWEEN 5 AND 8)),"
+    " t AS (SELECT s.section, what, count(DISTINCT bnd) AS k, count(bnd) AS m FROM (VALUES (4, 'open boundaries'), (5, 'land boundaries')) s(section, what) LEFT JOIN q USING (section) GROUP BY 1, 2)"
+    " SELECT CAST(section AS INTEGER) AS section, CAST(-2 AS BIGINT) AS id, k || ' = Number of ' || what AS line FROM t UNION ALL SELECT section, -1, m || ' = Total number of nodes of ' || what FROM t"
+    " UNION ALL SELECT section, bnd * 4294967296, CASE WHEN section = 4 THEN CAST(count(*) AS VARCHAR) ELSE count(*) || ' ' || max(ib) END FROM q GROUP BY section, bnd UNION ALL SELECT section, bnd * 4294967296 + seq + 1, CAST(node_id + 1 AS VARCHAR) FROM q",
+    "mesh_difference": f"WITH {_M}, e AS (SELECT elem_id, nodes, unnest(nodes) AS node_id FROM m), k AS (SELECT elem_id, CAST(sum(c) AS DOUBLE) / count(*) AS x, CAST(sum(r) AS DOUBLE) / count(*) AS y FROM e JOIN n USING (node_id) GROUP BY elem_id),"
+    f" d AS (SELECT r, c FROM n WHERE z BETWEEN 0 AND 60 AND c BETWEEN 4 AND 30) SELECT elem_id, {_TEXT} FROM m JOIN k USING (elem_id) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.c = floor(k.x + 0.5) AND d.r = floor(k.y + 0.5))",
+    "raster_windows": f"WITH {_N}, h AS (SELECT max(r) + 1 AS rows FROM n), w AS (SELECT unnest(range(0, CAST(3 * ((rows + 15) // 16) AS BIGINT))) AS id, rows FROM h), q AS (SELECT id, id // 3 * 16 AS r0, id % 3 * 16 AS c0, rows FROM w),"
+    " s AS (SELECT CAST(r0 AS BIGINT) AS r0, CAST(c0 AS BIGINT) AS c0, CAST(least(16, rows - r0) AS BIGINT) AS n_rows, CAST(least(16, 40 - c0) AS BIGINT) AS n_cols FROM q)"
+    " SELECT *, CAST(100 + c0 * 0.5 AS DOUBLE) AS x_min, CAST(50 - (r0 + n_rows) * 0.25 AS DOUBLE) AS y_min, CAST(100 + (c0 + n_cols) * 0.5 AS DOUBLE) AS x_max, CAST(50 - r0 * 0.25 AS DOUBLE) AS y_max FROM s",
+    "raster_digest": f"WITH {_N}, t AS (SELECT r // 16 AS tr, c // 16 AS tc, md5(string_agg(r || ',' || c || ',' || coalesce(printf('%.6f', g), 'null'), ';' ORDER BY r, c)) AS d FROM n GROUP BY 1, 2) SELECT md5(string_agg(d, '' ORDER BY tr, tc)) AS md5 FROM t",
+    "ascii_grid": f"WITH {_N}, h AS (SELECT max(r) + 1 AS rows FROM n), l AS (SELECT 1 AS section, r AS id, string_agg(coalesce(printf('%.6f', g), '-9999.000000'), ' ' ORDER BY c) AS line FROM n GROUP BY r"
+    " UNION ALL SELECT 0, unnest([0, 1, 2, 3, 4, 5]), unnest(['ncols 40', 'nrows ' || rows, 'xllcorner 0', 'yllcorner ' || (10 - 2 * rows), 'cellsize 2', 'NODATA_value -9999']) FROM h)"
+    " SELECT CAST(section AS INTEGER) AS section, CAST(id AS BIGINT) AS id, substr(line, 1, 30) AS head, CAST(length(line) AS INTEGER) AS n FROM l",
+}

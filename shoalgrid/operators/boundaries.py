@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.chains import traced
 from ..plans.graph import components
 from . import mesh
 
@@ -17,34 +18,18 @@ from . import mesh
 def rings(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """(component, ring, seq, node_id, x, y): boundary edges traced into closed rings, elements on their left.
 
-    At nodes where a component touches itself the trace turns to the smallest
-    unused node. One task holds the boundary of one component of elements, whose
-    size is that of a coastline.
+    A ring starts at its smallest edge; rings of a component are numbered in the
+    order of these. At nodes where a component touches itself the edges that
+    arrive, by their first node, go on with those that leave, by their last one.
+    Edges are traced by pointer doubling: no task holds a coastline.
     """
-    directed = elements.select("elem_id", F.expr("transform(nodes, (a, i) -> struct(a as a, nodes[(i + 1) % size(nodes)] as b))").alias("s")).select("elem_id", F.inline("s"))
-    directed = directed.join(mesh.boundary_edges(elements), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v"))).select("elem_id", "a", "b")
-    marked = directed.join(mesh.element_components(elements), "elem_id").select("component", "a", "b")
-
-    def trace(pdf):
-        import pandas as pd
-
-        after: dict[int, list[int]] = {}
-        for a, b in sorted(zip(pdf.a, pdf.b), reverse=True):
-            after.setdefault(a, []).append(b)
-        out, ring, component = [], 0, int(pdf.component.iloc[0])
-        for start in sorted(after):
-            while after[start]:
-                at, seq = start, 0
-                while True:
-                    out.append((component, ring, seq, int(at)))
-                    at, seq = after[at].pop(), seq + 1
-                    if at == start:
-                        break
-                ring += 1
-        return pd.DataFrame(out, columns=["component", "ring", "seq", "node_id"])
-
-    traced = marked.groupBy("component").applyInPandas(trace, "component long, ring int, seq int, node_id long")
-    return traced.join(nodes.select("node_id", "x", "y"), "node_id").select("component", "ring", "seq", "node_id", "x", "y")
+    marked = mesh.directed_boundary(elements).join(mesh.element_components(elements), "elem_id").select("component", "a", "b")
+    edges = mesh.checkpointed(marked)
+    found = traced(mesh.preceding(edges, ["component"]).select(F.struct("a", "b").alias("id"), "prev"))
+    first = edges.join(found.where("seq = 0").select("id.a", "id.b", F.col("id").alias("root")), ["a", "b"])
+    number = first.select("root", "component", (F.row_number().over(Window.partitionBy("component").orderBy("root")) - 1).alias("ring"))  # a row a ring
+    out = found.join(number, "root").select("component", "ring", F.col("seq").cast("int").alias("seq"), F.col("id.a").alias("node_id"))
+    return out.join(nodes.select("node_id", "x", "y"), "node_id").select("component", "ring", "seq", "node_id", "x", "y")
 
 
 def ring_types(traced: DataFrame) -> DataFrame:

@@ -96,6 +96,33 @@ def generate(polygons: DataFrame, size: float | None = None, sizes: DataFrame |
     return nodes, out.where("kind = 'tria'").select("poly_id", F.col("id").alias("elem_id"), F.lit("tria").alias("etype"), "nodes")
 
 
+def remesh(elements: DataFrame, nodes: DataFrame, size: float | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, elements) of a mesh generated anew inside of the rings of an old one, each of its components a part (poly_id).
+
+    Sizes as in ``generate``; with neither, the mean edge length at each old
+    node is asked for, so that the new mesh is as fine as the old one.
+    """
+    from . import mesh
+    from .boundaries import rings
+
+    traced = mesh.checkpointed(rings(elements, nodes))
+    if size is None and sizes is None:
+        own = mesh.element_components(elements).join(elements.select("elem_id", F.explode("nodes").alias("node_id")), "elem_id").select("component", "node_id").distinct()
+        sizes = own.join(mesh.size_from_mesh(elements, nodes), "node_id").join(nodes.select("node_id", "x", "y"), "node_id").select(F.col("component").alias("poly_id"), "x", "y", "h")
+    return generate(traced.select(F.col("component").alias("poly_id"), "ring", "seq", "x", "y"), size, sizes)
+
+
+def difference(elements: DataFrame, nodes: DataFrame, polygons: DataFrame, size: float = 8.0) -> DataFrame:
+    """Elements whose centre lies in none of ``polygons`` (poly, ring, seq, x, y): a mesh less a region."""
+    from . import mesh
+    from .polygons import containing
+
+    c = mesh.corners(elements, nodes)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    centres = c.select(F.col("elem_id").alias("pid"), mean(F.col("xs")).alias("x"), mean(F.col("ys")).alias("y"))
+    return elements.join(containing(centres, polygons, size).select(F.col("pid").alias("elem_id")), "elem_id", "left_anti")
+
+
 def fill_holes(elements: DataFrame, nodes: DataFrame, least: float = 0.0, most: float = math.inf) -> DataFrame:
     """(elem_id, etype, nodes) of triangles that close interior rings with an area from ``least`` to ``most``.
 

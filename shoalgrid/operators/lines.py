@@ -20,6 +20,12 @@ def split(lines: DataFrame, max_verts: int) -> DataFrame:
     return lines.withColumn("_last", last).withColumn("part", F.explode(parts)).select("line_id", F.col("part").cast("long").alias("part"), "seq", "x", "y")
 
 
+def segments(lines: DataFrame) -> DataFrame:
+    """(line_id, seq, x1, y1, x2, y2): consecutive vertices."""
+    nxt = lambda c: F.lead(c).over(_along())
+    return lines.select("line_id", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2")).where("x2 is not null")
+
+
 def lengths(lines: DataFrame) -> DataFrame:
     """Add d, the length along the line up to each vertex."""
     step = F.hypot(F.col("x") - F.lag("x").over(_along()), F.col("y") - F.lag("y").over(_along()))

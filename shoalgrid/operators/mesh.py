@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle, heron, signed_area
+from ..plans.chains import traced
 from ..plans.graph import components
 from ..plans.numbering import checkpointed, numbered
 
@@ -22,18 +23,16 @@ def rectangle_nodes(nx: int, ny: int, spark) -> DataFrame:
     return spark.range(nx * ny).select(F.col("id").alias("node_id"), (F.col("id") % nx).cast("double").alias("x"), F.floor(F.col("id") / nx).cast("double").alias("y"), F.lit(10.0).alias("value"))
 
 
-def rectangle_elements(size: DataFrame, hole: Column | None = None, quad: Column | None = None) -> DataFrame:
-    """Elements of lattices (one row nx, ny): two triangles a cell, a quadrangle where ``quad``, none where ``hole``.
+def rectangle_elements(spark, nx: int, ny: int, hole: Column | None = None, quad: Column | None = None) -> DataFrame:
+    """Elements of a lattice: two triangles a cell, a quadrangle where ``quad``, none where ``hole``.
 
     Both are predicates over ``cell`` (row * (nx - 1) + column, from 0); a hole comes first.
     """
-    cells = size.select("nx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 2)).alias("j")).where("j >= 0")
-    cells = cells.select("nx", "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 2)).alias("i"))
-    cells = cells.withColumn("cell", F.col("j") * (F.col("nx") - 1) + F.col("i"))
+    cells = spark.range(max(0, (nx - 1) * (ny - 1))).withColumnRenamed("id", "cell")
     if hole is not None:
         cells = cells.where(~hole)
-    a = F.col("j") * F.col("nx") + F.col("i")
-    b, c, d = a + 1, a + F.col("nx") + 1, a + F.col("nx")
+    a = F.floor(F.col("cell") / (nx - 1)) * nx + F.col("cell") % (nx - 1)
+    b, c, d = a + 1, a + nx + 1, a + nx
     one = lambda k, kind, *n: F.struct((F.col("cell") * 2 + k).alias("elem_id"), F.lit(kind).alias("etype"), F.array(*n).alias("nodes"))
     two = F.array(one(0, "tria", a, b, d), one(1, "tria", b, c, d))
     parts = two if quad is None else F.when(quad, F.array(one(0, "quad", a, b, c, d))).otherwise(two)
@@ -57,8 +56,10 @@ def triangulation(elements: DataFrame) -> DataFrame:
 
 
 def element_ids(elements: DataFrame) -> DataFrame:
-    """Export ids from 1: triangles first, then quadrangles."""
-    return numbered(elements.withColumn("_kind", F.when(F.col("etype") == "tria", 0).otherwise(1)), ["_kind", "elem_id"], "_n").withColumn("id", F.col("_n") + 1).drop("_n", "_kind")
+    """Export ids from 1: triangles first, then quadrangles, each cut into ranges of elem_id."""
+    trias, quads = elements.where("etype = 'tria'"), elements.where("etype <> 'tria'")
+    first = trias.count()
+    return numbered(trias, ["elem_id"], "_n").withColumn("id", F.col("_n") + 1).unionByName(numbered(quads, ["elem_id"], "_n").withColumn("id", F.col("_n") + 1 + first)).drop("_n")
 
 
 # -- edges ------------------------------------------------------------------------
@@ -354,42 +355,37 @@ def finalize(nodes: DataFrame, elements: DataFrame, area: float | None = None) -
     return cleanup_duplicates(nodes, elements)
 
 
+def directed_boundary(elements: DataFrame) -> DataFrame:
+    """(elem_id, a, b): boundary edges in the direction of their element's ring."""
+    steps = F.expr("transform(nodes, (a, i) -> struct(a as a, nodes[(i + 1) % size(nodes)] as b))")
+    directed = elements.select("elem_id", F.inline(steps))
+    return directed.join(boundary_edges(elements), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v"))).select("elem_id", "a", "b")
+
+
+def preceding(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Directed ``edges`` (keys, a, b) with prev: the edge (a, b) before each among those of equal ``keys``, null for none.
+
+    Where several arrive at a node, the k-th by its first node goes on with the
+    k-th that leaves it, by its last node.
+    """
+    leaving = edges.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("b")))
+    arriving = edges.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "b").orderBy("a"))).select(*keys, F.col("b").alias("_at"), "_k", F.struct("a", "b").alias("prev"))
+    met = leaving.withColumn("_at", F.col("a")).join(arriving, [*keys, "_at", "_k"], "left")
+    return met.select(*keys, "a", "b", "prev")
+
+
 def boundary_chains(elements: DataFrame, nodes: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(chain, btype, seq, node_id): boundary edges of a type chained into node lists.
+    """(chain, btype, seq, node_id): boundary edges of a type chained into node lists, elements on their left.
 
-    Chains are traced within one component of a type's edges, whose length is
-    that of a coastline, not of the mesh. An open chain starts at its smaller
-    end; a closed one at its smallest node, towards the smaller neighbour.
+    A chain is named by its first edge; a closed one starts, and ends, at the
+    first node of its smallest edge. Traced by pointer doubling.
     """
-    e = boundary_types(elements, nodes, threshold).select("u", "v", "btype")
-    offset = F.when(F.col("btype") == "land", 0).otherwise(1)  # land and open edges are separate graphs
-    roots = components(e.select((F.col("u") * 2 + offset).alias("a"), (F.col("v") * 2 + offset).alias("b")))
-    marked = e.withColumn("_n", F.col("u") * 2 + offset).join(roots, F.col("_n") == F.col("node")).select("root", "btype", "u", "v")
-
-    def trace(pdf):
-        import pandas as pd
-
-        near: dict[int, list[int]] = {}
-        for u, v in zip(pdf.u, pdf.v):
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        out, unused, n = [], {(min(u, v), max(u, v)) for u, v in zip(pdf.u, pdf.v)}, 0
-        while unused:
-            ends = sorted({x for e_ in unused for x in e_ if sum((min(x, y), max(x, y)) in unused for y in near[x]) % 2})
-            at = ends[0] if ends else min(min(e_) for e_ in unused)
-            chain = [at]
-            while True:
-                step = sorted(y for y in near[at] if (min(at, y), max(at, y)) in unused)
-                if not step or (len(chain) > 1 and at == chain[0]):
-                    break
-                unused.discard((min(at, step[0]), max(at, step[0])))
-                at = step[0]
-                chain.append(at)
-            out += [(int(pdf.root.iloc[0]) * 1000 + n, pdf.btype.iloc[0], i, int(x)) for i, x in enumerate(chain)]
-            n += 1
-        return pd.DataFrame(out, columns=["chain", "btype", "seq", "node_id"])
-
-    return marked.groupBy("root").applyInPandas(trace, "chain long, btype string, seq int, node_id long")
+    typed = boundary_types(elements, nodes, threshold).select(F.col("u").alias("_u"), F.col("v").alias("_v"), "btype")
+    e = checkpointed(directed_boundary(elements).join(typed, (F.least("a", "b") == F.col("_u")) & (F.greatest("a", "b") == F.col("_v"))).select("btype", "a", "b"))
+    found = traced(preceding(e, ["btype"]).select(F.struct("a", "b").alias("id"), "prev"))
+    found = found.select(F.concat_ws("-", "root.a", "root.b").alias("chain"), "seq", F.col("id.a").alias("a"), F.col("id.b").alias("b")).join(e, ["a", "b"])
+    last = found.groupBy("chain").agg(F.max(F.struct("seq", "b", "btype")).alias("m")).select("chain", "m.btype", (F.col("m.seq") + 1).alias("seq"), F.col("m.b").alias("node_id"))
+    return found.select("chain", "btype", "seq", F.col("a").alias("node_id")).unionByName(last).withColumn("seq", F.col("seq").cast("int"))
 
 
 # -- merging ------------------------------------------------------------------------------

@@ -214,10 +214,20 @@ def mosaic(cells: DataFrame) -> DataFrame:
 
 
 def hypsometry(cells: DataFrame) -> DataFrame:
-    """(z, n_cum): cells at or below each level."""
+    """(z, n_cum): cells at or below each level.
+
+    Levels, which may be nearly as many as cells, are cut into ranges; sums run
+    within ranges, and one row a range brings what lies below it.
+    """
+    from ..plans.numbering import ranged
+
     levels = cells.where("z is not null").groupBy("z").agg(F.count("*").alias("n"))
-    # levels are few next to cells; their running sum is one small window
-    return levels.select("z", F.sum("n").over(Window.orderBy("z")).cast("long").alias("n_cum"))
+    rows = ranged(levels, "z", "_part")
+    below = rows.groupBy("_part").agg(F.sum("n").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    below = below.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))  # RANGES rows at most
+    within = F.sum("n").over(Window.partitionBy("_part").orderBy("z"))
+    return rows.withColumn("_sum", within).join(F.broadcast(below), "_part").select("z", (F.col("_below") + F.col("_sum")).cast("long").alias("n_cum"))
 
 
 def slope_bins(cells: DataFrame, low: float, width: float) -> DataFrame:
@@ -260,6 +270,50 @@ def contour_segments(cells: DataFrame, level: float) -> DataFrame:
     return block.select("row", "col", F.inline(F.filter(sides, lambda s: s.isNotNull())))
 
 
+def contour_lines(cells: DataFrame, level: float) -> DataFrame:
+    """(line, seq, x, y, closed): crossings of ``contour_segments`` joined into lines, ground at or above the level on one side throughout.
+
+    Going around a block, each crossing where the ground falls below the level
+    is joined with the next one where it rises again, so that a block crossed
+    four times keeps its high ground connected. A crossing between two blocks
+    ends a segment in one and starts one in the other; segments are traced by
+    pointer doubling. A line is named by its first crossing; a closed one ends
+    where it starts.
+    """
+    from ..plans.chains import traced
+
+    across, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+    right = cells.withColumn("z1", F.lead("z").over(across)).withColumn("c1", F.lead("col").over(across)).where("c1 = col + 1")
+    block = right.withColumn("z3", F.lead("z").over(down)).withColumn("z2", F.lead("z1").over(down)).withColumn("r1", F.lead("row").over(down)).where("r1 = row + 1")
+    block = block.where("z is not null and z1 is not null and z2 is not null and z3 is not null")
+    lv, row, col = F.lit(float(level)), F.col("row"), F.col("col")
+    # a crossing is named by the side it lies on: from cell (row, col) to the right (0) or down (1)
+    place = lambda r, c, k, a, b: F.struct(r.alias("row"), c.alias("col"), F.lit(k).alias("side"), (c + ((lv - F.col(a)) / (F.col(b) - F.col(a)) if k == 0 else 0)).cast("double").alias("x"), (r + ((lv - F.col(a)) / (F.col(b) - F.col(a)) if k == 1 else 0)).cast("double").alias("y"))
+    corners = ["z", "z1", "z2", "z3"]
+    places = [place(row, col, 0, "z", "z1"), place(row, col + 1, 1, "z1", "z2"), place(row + 1, col, 0, "z3", "z2"), place(row, col, 1, "z", "z3")]
+    high = [F.col(c) >= lv for c in corners]
+    falls = [high[k] & ~high[(k + 1) % 4] for k in range(4)]
+    rises = [~high[k] & high[(k + 1) % 4] for k in range(4)]
+
+    def segment(k: int) -> Column:
+        to = F.lit(None)
+        for step in (3, 2, 1):
+            to = F.when(rises[(k + step) % 4], places[(k + step) % 4]).otherwise(to)
+        return F.when(falls[k], F.struct(places[k].alias("p"), to.alias("q")))
+
+    from ..plans.numbering import checkpointed
+
+    key = lambda c: F.struct(f"{c}.row", f"{c}.col", f"{c}.side")
+    found = block.select(F.inline(F.filter(F.array(*[segment(k) for k in range(4)]), lambda s: s.isNotNull())))
+    found = checkpointed(found.select(key("p").alias("id"), key("q").alias("to"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2")))
+    chained = traced(found.select("id").join(found.select(F.col("to").alias("id"), F.col("id").alias("prev")), "id", "left"))
+    joined = found.join(chained, "id").withColumn("line", F.concat_ws("-", "root.row", "root.col", "root.side"))
+    last = joined.groupBy("line").agg(F.max(F.struct("seq", "to", "x2", "y2", "root")).alias("m"))
+    last = last.select("line", (F.col("m.seq") + 1).alias("seq"), F.col("m.x2").alias("x"), F.col("m.y2").alias("y"), (F.col("m.to") == F.col("m.root")).alias("closed"))
+    points = joined.select("line", "seq", "x", "y").join(last.select("line", "closed"), "line")
+    return points.unionByName(last.select("line", "seq", "x", "y", "closed"))
+
+
 def domain_cells(cells: DataFrame, zmin: float | None = None, zmax: float | None = None) -> DataFrame:
     """Cells with zmin <= z <= zmax."""
     found = cells.where("z is not null")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import courant_number, courant_size
-from ..plans.spatial import nearest_within
+from ..plans.spatial import boxes_of, bucket, nearest_within
 
 #: The size of an unrefined point: the largest 32-bit float.
 UNSET = 3.4028234663852886e38
@@ -53,6 +53,27 @@ def patch(points: DataFrame, inside: Column, target: float) -> DataFrame:
     return points.withColumn("h", F.when(inside, F.least("h", F.lit(float(target)))).otherwise(F.col("h")))
 
 
+def ring_places(spark, ring: list[tuple[float, float]], step: float) -> DataFrame:
+    """(fid, x, y): places along a literal ring, ``step`` apart or less on each side."""
+    places = []
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        n = max(1, math.ceil(math.hypot(x2 - x1, y2 - y1) / step))
+        places += [(x1 + (x2 - x1) * k / n, y1 + (y2 - y1) * k / n) for k in range(n)]
+    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "fid long, x double, y double")
+
+
+def patch_expanded(points: DataFrame, key: str, inside: Column, border: DataFrame, target: float, rate: float, hmin: float | None = None, hmax: float | None = None) -> DataFrame:
+    """A patch whose size grows outside with the distance to its border: h falls to target inside, to target + rate * target * distance beyond.
+
+    ``border`` has places (fid, x, y) along the border; see ``ring_places``.
+    """
+    size = float(target) if hmin is None else max(float(target), float(hmin))
+    cols = points.columns
+    within = points.withColumn("_in", F.coalesce(inside, F.lit(False)))
+    out = feature(within.where("not _in").select(*cols), key, border, rate, target, hmin, hmax)
+    return patch(within.where("_in").select(*cols), F.lit(True), size).unionByName(out)
+
+
 def feature(points: DataFrame, key: str, places: DataFrame, rate: float, target: float, hmin: float | None = None, hmax: float | None = None) -> DataFrame:
     """h falls to target + rate * target * distance to the nearest place (fid, x, y).
 
@@ -198,9 +219,14 @@ class Collector:
         places = contour_segments(cells, level).select(F.xxhash64("row", "col", "side").alias("fid"), "x", "y")
         return self.add_feature(places, rate, target, key=key, source_index=source_index, kind="contour")
 
-    def add_patch(self, inside: Column, target: float | None = None, source_index=None) -> "Collector":
+    def add_patch(self, inside: Column, target: float | None = None, source_index=None, expansion_rate: float | None = None, border: DataFrame | None = None, key: str = "node_id") -> "Collector":
+        """``expansion_rate``, with places along the border: the size grows outside of the patch."""
         size = target if target is not None else self.hmin
-        return self.add("patch", lambda p: patch(p, inside, size), source_index)
+        if expansion_rate is None:
+            return self.add("patch", lambda p: patch(p, inside, size), source_index)
+        if border is None:
+            raise ValueError("an expanding patch needs the places along its border")
+        return self.add("patch", lambda p: patch_expanded(p, key, inside, border, size, expansion_rate, self.hmin, self.hmax), source_index)
 
     def add_channel(self, cells: DataFrame, level: float = 0.0, width: float = 1000.0, target: float = 200.0, source_index=None) -> "Collector":
         """A patch on the narrow parts of a raster's domain; points are met by row and col."""
@@ -247,9 +273,9 @@ class Collector:
         return every.evaluate(grid, initial_value)
 
 
-def priority_merge(points: DataFrame, extents: DataFrame) -> DataFrame:
-    """Points of a source outside of the boxes (source_index, x0, y0, x1, y1) of later sources."""
-    later = extents.select(F.col("source_index").alias("_s"), "x0", "y0", "x1", "y1")
-    # boxes are one for each source: a condition join on few rows
+def priority_merge(points: DataFrame, extents: DataFrame, size: float = 16.0) -> DataFrame:
+    """Points of a source outside of the boxes (source_index, x0, y0, x1, y1) of later sources; boxes are filed under buckets of ``size``."""
+    later = boxes_of(extents.select(F.col("source_index").alias("_s"), "x0", "y0", "x1", "y1"), size)
     hit = (F.col("_s") > F.col("source_index")) & (F.col("x") > F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1"))
-    return points.join(later, hit, "left_anti")
+    filed = points.withColumn("_b", bucket("x", "y", size)).alias("p")
+    return filed.join(later.alias("l"), (F.col("p._b") == F.col("l._b")) & hit, "left_anti").select(*points.columns)

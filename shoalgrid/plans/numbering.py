@@ -11,26 +11,36 @@ from pyspark.sql import functions as F
 RANGES = 256
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, lineage cut."""
-    spark: SparkSession = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Set the shared folder of ``spark.checkpoint.dir``; a fresh local one only where that is unset and Spark itself is local."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoalgrid-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="shoalgrid-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def ranged(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add ``name``: the number of a row's range, of ``RANGES`` between approximate quantiles of ``key``."""
+    value = F.col(key).cast("double")
+    cuts = sorted(set(df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)]).alias("q")).first().q or []))
+    return df.withColumn(name, F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0))
+
+
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Add ``name``: 0, 1, ... in the order of ``keys`` (distinct in all of them).
 
     Rows are split at approximate quantiles of the first key and numbered within
     ranges; a table with one row a range adds the offsets.
     """
-    cuts = df.agg(F.percentile_approx(F.col(keys[0]).cast("double"), [i / RANGES for i in range(1, RANGES)]).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
-    value = F.col(keys[0]).cast("double")
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
-    rows = df.withColumn("_part", part)
+    rows = ranged(df, keys[0], "_part")
     sizes = rows.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # RANGES rows at most

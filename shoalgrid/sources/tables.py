@@ -26,9 +26,9 @@ def mesh_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(elem_id, etype, nodes) of a mixed mesh: every fifth cell a quadrangle, every seventeenth a hole."""
     from ..operators.mesh import rectangle_elements
 
-    rows = table(spark, sf_dir, "part").agg((F.floor(F.max("p_partkey") / WIDTH) + 1).cast("long").alias("ny"))
+    ny = (table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0) // WIDTH + 1
     cell = F.col("cell")
-    return rectangle_elements(rows.withColumn("nx", F.lit(WIDTH).cast("long")), hole=cell % 17 == 3, quad=cell % 5 == 0)
+    return rectangle_elements(spark, WIDTH, ny, hole=cell % 17 == 3, quad=cell % 5 == 0)
 
 
 def raster_cells(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:

@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mesh import element_ids
+from ..plans.numbering import checkpointed
 
 
 def _e16(c: F.Column) -> F.Column:
     return F.format_string("%.16E", c)
 
 
-def grd_lines(nodes: DataFrame, elements: DataFrame, description: str = "") -> DataFrame:
-    """(section, id, line) of a grd file without boundaries: 0 header, 1 sizes, 2 nodes, 3 elements."""
+def grd_lines(nodes: DataFrame, elements: DataFrame, description: str = "", boundaries: DataFrame | None = None) -> DataFrame:
+    """(section, id, line) of a grd file: 0 header, 1 sizes, 2 nodes, 3 elements; with ``boundaries`` 4 the open ones, 5 the others."""
     spark = nodes.sparkSession
+    if boundaries is not None:
+        return grd_lines(nodes, elements, description).unionByName(grd_boundary_lines(boundaries))
     head = spark.range(1).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("id"), F.lit(description).alias("line"))
     sizes = elements.agg(F.count("*").alias("ne")).join(nodes.agg(F.count("*").alias("np")), F.lit(True)).select(F.lit(1).alias("section"), F.lit(0).cast("long").alias("id"), F.concat_ws(" ", "ne", "np").alias("line"))
     n = nodes.select(F.lit(2).alias("section"), (F.col("node_id") + 1).alias("id"), F.concat_ws(" ", F.col("node_id") + 1, _e16(F.col("x")), _e16(F.col("y")), _e16(0.0 - F.col("value"))).alias("line"))
@@ -29,6 +32,27 @@ def grd_lines(nodes: DataFrame, elements: DataFrame, description: str = "") -> D
     return head.unionByName(sizes).unionByName(n).unionByName(e)
 
 
+def grd_boundary_lines(boundaries: DataFrame) -> DataFrame:
+    """(section, id, line) of boundaries (bnd_id, btype, ibtype, seq, node_id): counts, then each boundary's head and nodes, seq from 0.
+
+    bnd_id orders the boundaries of a section; a null ibtype counts as 0 (1 for
+    interior ones).
+    """
+    spark = boundaries.sparkSession
+    b = boundaries.withColumn("section", F.when(F.col("btype") == "open", 4).otherwise(5))
+    kinds = spark.createDataFrame([(4, "open boundaries"), (5, "land boundaries")], "section int, what string")
+    sizes = b.groupBy("section").agg(F.countDistinct("bnd_id").alias("n"), F.count("*").alias("k"))
+    sizes = kinds.join(sizes, "section", "left").select("section", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"), "what")
+    line = lambda i, text: F.struct(F.lit(i).cast("long").alias("id"), text.alias("line"))
+    counts = sizes.select("section", F.inline(F.array(line(-2, F.concat_ws(" ", "n", F.lit("= Number of"), "what")), line(-1, F.concat_ws(" ", "k", F.lit("= Total number of nodes of"), "what")))))
+    at = F.col("bnd_id").cast("long") * (1 << 32)
+    ibtype = F.coalesce(F.first("ibtype"), F.when(F.first("btype") == "interior", 1).otherwise(0))
+    heads = b.groupBy("section", "bnd_id").agg(F.count("*").alias("k"), ibtype.alias("i"))
+    heads = heads.select("section", at.alias("id"), F.when(F.col("section") == 4, F.col("k").cast("string")).otherwise(F.concat_ws(" ", "k", "i")).alias("line"))
+    body = b.select("section", (at + F.col("seq") + 1).alias("id"), (F.col("node_id") + 1).cast("string").alias("line"))
+    return counts.unionByName(heads).unionByName(body)
+
+
 def sms2dm_lines(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     """(section, id, line) of a 2dm file: 0 header, 1 E3T, 2 E4Q, 3 ND."""
     spark = nodes.sparkSession
@@ -91,7 +115,8 @@ def read_grd(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
                 rows = list(parse_grd(bytes(content).decode("utf-8")))
                 yield pd.DataFrame(rows, columns=["kind", "id", "a", "b", "c", "nodes"])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "kind string, id long, a double, b double, c double, nodes array<long>").cache()
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "kind string, id long, a double, b double, c double, nodes array<long>")
+    rows = checkpointed(rows)  # read once for the three tables
     nodes = rows.where("kind = 'node'").select((F.col("id") - 1).alias("node_id"), F.col("a").alias("x"), F.col("b").alias("y"), F.col("c").alias("value"))
     ring = F.transform("nodes", lambda k: k - 1)
     elements = rows.where("kind = 'element'").select((F.col("id") - 1).alias("elem_id"), F.when(F.size("nodes") == 3, "tria").otherwise("quad").alias("etype"), ring.alias("nodes"))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.numbering import checkpoint_folder
+
 
 def _stream(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
@@ -25,20 +27,35 @@ def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     return w.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a bounded stream gives, as a table."""
-    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _drained(stream: DataFrame, keys: list[str] | None = None, mode: str | None = None) -> DataFrame:
+    """All that a bounded stream gives, from files in the shared folder that its batches wrote.
+
+    With ``keys`` the stream runs in update mode (or ``mode``): of the rows of a
+    key that of the last batch counts. Without, rows are appended as the
+    watermark closes them; what is open at the end of the input isn't given.
+    """
+    spark = stream.sparkSession
+    checkpoint_folder(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode(mode or ("update" if keys else "append")).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    got = spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{folder}/rows")
+    if not keys:
+        return got.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")
 
 
 def minimum_by_cell(spark: SparkSession, path: str, width: int) -> DataFrame:
-    return _drained(cell_minimum(_stream(spark, path), width), "complete")
+    return _drained(cell_minimum(_stream(spark, path), width), ["col"])
 
 
 def windowed_counts(spark: SparkSession, path: str) -> DataFrame:
-    return _drained(hourly(_stream(spark, path)), "complete").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+    return _drained(hourly(_stream(spark, path)), ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
@@ -48,4 +65,5 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def session_counts(spark: SparkSession, path: str) -> DataFrame:
-    return _drained(sessions(_stream(spark, path)), "complete").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    # sessions know no update mode; the complete one gives those still open at the end of a bounded stream, too, and holds all of them
+    return _drained(sessions(_stream(spark, path)), ["user_id", "start"], "complete").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

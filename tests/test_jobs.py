@@ -10,7 +10,7 @@ from shoalgrid.plans import schemas
 
 def lattice(spark, nx, ny, hole=None, step=1.0, x=0.0, y=0.0):
     nodes = mesh.rectangle_nodes(nx, ny, spark).withColumn("x", F.col("x") * step + x).withColumn("y", F.col("y") * step + y)
-    return nodes, mesh.rectangle_elements(spark.createDataFrame([(nx, ny)], "nx long, ny long"), hole=hole)
+    return nodes, mesh.rectangle_elements(spark, nx, ny, hole=hole)
 
 
 def area(nodes, elements):

@@ -13,8 +13,7 @@ from shoalgrid.sources import text
 
 def lattice(spark, nx, ny, hole=None, quad=None):
     nodes = mesh.rectangle_nodes(nx, ny, spark)
-    size = spark.createDataFrame([(nx, ny)], "nx long, ny long")
-    return nodes, mesh.rectangle_elements(size, hole=hole, quad=quad)
+    return nodes, mesh.rectangle_elements(spark, nx, ny, hole=hole, quad=quad)
 
 
 def test_rectangle_with_a_hole(spark):
