@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a fresh local one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a fresh local one only where it is unset and Spark itself is local."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -19,6 +19,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(path)
         return path
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shoalgrid-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

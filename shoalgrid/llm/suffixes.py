@@ -51,6 +51,8 @@ LENGTH = 50
 GRAM = 16
 #: Text bytes in a shard (a longer text is a shard of its own), in a bucket's share of the census and of the suffixes.
 SHARD_BYTES, CENSUS_BYTES, SUFFIX_BYTES = 2 << 20, 16 << 20, 8 << 20
+#: Text bytes for a partition of an exchange.
+TASK_BYTES = 16 << 20
 #: Anchors of a message from a shard to a bucket, from the size on at which shards or buckets would otherwise send fewer.
 MESSAGE = 64
 #: Bytes of text for an anchor, about.
@@ -323,8 +325,8 @@ def mark_equal(windows: np.ndarray, low: np.ndarray) -> np.ndarray:
 # -- exchanges --------------------------------------------------------------------
 
 
-def _exchange(df: DataFrame, run: Callable[[int, list[tuple[int, int, int, bytes]]], Iterator[tuple]]) -> DataFrame:
-    """Rows by key, then ``run(key, [(gid, kind, bucket, blob)])`` for each key; yields rows of the same shape."""
+def _exchange(df: DataFrame, run: Callable[[int, list[tuple[int, int, int, bytes]]], Iterator[tuple]], tasks: int) -> DataFrame:
+    """Rows by key over ``tasks`` partitions, then ``run(key, [(gid, kind, bucket, blob)])`` for each key; yields rows of the same shape."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         key, rows = None, []
@@ -343,7 +345,7 @@ def _exchange(df: DataFrame, run: Callable[[int, list[tuple[int, int, int, bytes
         for key, rows in groups(batches):
             yield from _batches(run(key, rows))
 
-    return df.repartition("key").sortWithinPartitions("key", "kind", "gid", "bucket").mapInArrow(apply, _ROW)
+    return df.repartition(tasks, "key").sortWithinPartitions("key", "kind", "gid", "bucket").mapInArrow(apply, _ROW)
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -509,6 +511,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     count = table.count()
     census = max(1, -(-total // max(CENSUS_BYTES, root)))
     wanted = max(1, -(-total // max(SUFFIX_BYTES, root)))
+    tasks = max(1, -(-total // max(TASK_BYTES, root)))
     ranges = min(RANGES, wanted)
     parts = -(-wanted // ranges)
     share = min(1.0, SAMPLE_SHARDS / max(1, count))
@@ -517,7 +520,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     def answer(key: int, got: list) -> Iterator[tuple]:
         return _census_answers(key, got)
 
-    answers = stored(_exchange(_census_rows(table, census), answer), "suffix-census")
+    answers = stored(_exchange(_census_rows(table, census), answer, tasks), "suffix-census")
     packed = table.select(F.col("gid").alias("key"), "gid", F.lit(_SHARD).alias("kind"), F.lit(0).cast("long").alias("bucket"), "blob")
 
     def rebuilt(got: list) -> Shard:
@@ -540,7 +543,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             yield key, shard.gid, _MARKS, 0, np.ascontiguousarray(grams[mixed < _U(int(rate * (1 << 32)))]).tobytes()
 
     chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))
-    splitters = _split(_exchange(packed.where(chosen).unionByName(answers.where(chosen)), sample).select("blob"), ranges) if ranges > 1 else np.empty((0, 2), _U)
+    splitters = _split(_exchange(packed.where(chosen).unionByName(answers.where(chosen)), sample, tasks).select("blob"), ranges) if ranges > 1 else np.empty((0, 2), _U)
 
     def grouped(where: np.ndarray, rows: np.ndarray) -> list[tuple[int, np.ndarray]]:
         order = np.argsort(where, kind="stable")
@@ -580,7 +583,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
             yield r[0], r[0], _MARKS, r[2], _pack(mask[at : at + len(low)])
             at += len(low)
 
-    marks = _exchange(_exchange(packed.unionByName(answers), send), mark)
+    marks = _exchange(_exchange(packed.unionByName(answers), send, tasks), mark, tasks)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(got: list) -> Iterator[pa.RecordBatch]:
@@ -612,7 +615,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 yield from cut(one)
 
     everything = packed.unionByName(answers).unionByName(marks)
-    found = everything.repartition("key").sortWithinPartitions("key", "kind", "bucket").mapInArrow(finish, out_schema)
+    found = everything.repartition(tasks, "key").sortWithinPartitions("key", "kind", "bucket").mapInArrow(finish, out_schema)
     loose = docs.where(F.col(id_column).isNull()).select(
         F.lit(None).cast("long").alias(id_column),
         F.octet_length(F.coalesce(F.col(text), F.lit("")).cast("binary")).cast("long").alias("n_bytes"),

@@ -92,3 +92,56 @@ def test_clashing_names_long_texts_and_empty_tables(spark, corpus, tmp_path):
     spark.read.parquet(f"{corpus}/labels.parquet").where("false").write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
     assert pipeline.drop_toxic(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_run_against_brute_force(spark):
+    """Every document of the smallest tables: who stays, its tokens, and the place of its block."""
+    import base64
+
+    import numpy as np
+    import public_tokenizers as P
+    import tiktoken
+    from test_mixing import check
+
+    from shoalgrid.llm import secrets, toxicity
+
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
+    score = lambda t: 1 / (1 + np.exp(-np.clip(model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(t)), -60, 60)))
+    rows = {r.doc_id: r for r in docs.collect() if score(r.text or "") < 0.3}
+    shingles = {}
+    for i, r in rows.items():
+        w = (r.text or "").encode().lower().split()
+        n = min(5, len(w))
+        shingles[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    up = {i: i for i in rows}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in rows:
+        for j in rows:
+            if i < j and (len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    kept = [i for i in rows if find(i) == i]
+    assert 0 < len(kept) < len(rows) < docs.count()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(pipeline.VOCABULARY, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in pipeline.run(spark, path).collect()}
+    assert set(got) == set(kept)
+    for i in kept:
+        assert bytes(got[i].token_ids) == np.array(plain.encode_ordinary(secrets.redact_text(rows[i].text or "")), "<u4").tobytes() and got[i].lossless
+    by = {}
+    for i in kept:
+        by.setdefault(str(rows[i].source), []).append(i)
+    blocks = set()
+    for s, ids in by.items():
+        ids.sort(key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        for rank, i in enumerate(ids):
+            assert got[i].mix_position % 16 == rank % 16
+            blocks.add((s, rank // 16, got[i].mix_position // 16))
+    check(blocks, {s: -(-len(x) // 16) for s, x in by.items()}, {s: len(x) ** 0.5 for s, x in by.items()})
