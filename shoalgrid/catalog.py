@@ -997,6 +997,16 @@ def ascii_grid(spark, sf):
     return store.ascii_lines(cells, m).select("section", "id", F.substring("line", 1, 30).alias("head"), F.length("line").alias("n"))
 
 
+@query
+def crs_round_trip(spark, sf):
+    """Longitudes and latitudes to a UTM zone, to web Mercator, to another zone and back."""
+    p = t.scattered(spark, sf).select("pid", (F.col("x") / 4 + 8).alias("lon"), (F.col("y") * 3 - 75).alias("lat"))
+    for a, b in (("EPSG:4326", "EPSG:32633"), ("EPSG:32633", "EPSG:3857"), ("EPSG:3857", "EPSG:32732"), ("EPSG:32732", "EPSG:4326")):
+        x, y = g.reproject(F.col("lon"), F.col("lat"), a, b)
+        p = p.select("pid", x.alias("lon"), y.alias("lat"))
+    return p.select("pid", r6("lon").alias("lon"), r6("lat").alias("lat"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -353,3 +353,4 @@ SELECT (root // 1000000) || '-' || (root % 1000000) AS chain, btype, CAST(seq AS
     " UNION ALL SELECT 0, unnest([0, 1, 2, 3, 4, 5]), unnest(['ncols 40', 'nrows ' || rows, 'xllcorner 0', 'yllcorner ' || (10 - 2 * rows), 'cellsize 2', 'NODATA_value -9999']) FROM h)"
     " SELECT CAST(section AS INTEGER) AS section, CAST(id AS BIGINT) AS id, substr(line, 1, 30) AS head, CAST(length(line) AS INTEGER) AS n FROM l",
 }
+ORACLE["crs_round_trip"] = f"WITH {_P} SELECT pid, round(x / 4 + 8, 6) AS lon, round(y * 3 - 75, 6) AS lat FROM p"

@@ -91,3 +91,50 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
 
 def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * SEMI_MAJOR, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * SEMI_MAJOR
+
+
+def inverse_web_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lon, lat)"""
+    return F.degrees(x / SEMI_MAJOR), F.degrees(2 * F.atan(F.exp(y / SEMI_MAJOR)) - math.pi / 2)
+
+
+def inverse_utm(easting: Column, northing: Column, zone: int, south: bool) -> tuple[Column, Column]:
+    """(lon, lat) by the inverse Krueger series."""
+    n = FLATTENING / (2 - FLATTENING)
+    a = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    xi0, eta0 = (northing - (10000000.0 if south else 0.0)) / (SCALE * a), (easting - 500000.0) / (SCALE * a)
+    xi, eta = xi0, eta0
+    for j, c in enumerate(beta, 1):
+        xi = xi - c * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - c * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + float(zone * 6 - 183), F.degrees(lat)
+
+
+def _epsg(crs: str | int) -> int:
+    code = int(str(crs).upper().removeprefix("EPSG:"))
+    if code not in (4326, 3857) and not (32601 <= code <= 32660 or 32701 <= code <= 32760):
+        raise ValueError("known systems: EPSG:4326, EPSG:3857, EPSG:326xx and EPSG:327xx (UTM)")
+    return code
+
+
+def reproject(x: Column, y: Column, source: str | int, target: str | int) -> tuple[Column, Column]:
+    """(x, y) from one system to another: longitude and latitude (EPSG:4326), web Mercator or a UTM zone."""
+    a, b = _epsg(source), _epsg(target)
+    if a == b:
+        return x, y
+    if a == 3857:
+        x, y = inverse_web_mercator(x, y)
+    elif a != 4326:
+        x, y = inverse_utm(x, y, a % 100, a > 32700)
+    if b == 3857:
+        return web_mercator(x, y)
+    if b == 4326:
+        return x, y
+    e, north = utm(x, y, F.lit(b % 100))
+    return e, north - F.when(y < 0, 10000000.0).otherwise(0.0) + (10000000.0 if b > 32700 else 0.0)

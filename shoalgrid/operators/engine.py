@@ -91,7 +91,8 @@ def generate(polygons: DataFrame, size: float | None = None, sizes: DataFrame |
     if sizes is None:
         out = polygons.groupBy("poly_id").applyInPandas(lambda pdf: build(int(pdf.poly_id.iloc[0]), pdf, None), schema)
     else:
-        out = polygons.groupBy("poly_id").cogroup(sizes.groupBy("poly_id")).applyInPandas(lambda a, b: build(int(a.poly_id.iloc[0]), a, b), schema)
+        own = sizes.select(*[F.col(c).alias(c) for c in ("poly_id", "x", "y", "h")])  # columns of its own, where both come from one table
+        out = polygons.groupBy("poly_id").cogroup(own.groupBy("poly_id")).applyInPandas(lambda a, b: build(int(a.poly_id.iloc[0]), a, b), schema)
     nodes = out.where("kind = 'node'").select("poly_id", F.col("id").alias("node_id"), "x", "y", F.lit(float("nan")).alias("value"))
     return nodes, out.where("kind = 'tria'").select("poly_id", F.col("id").alias("elem_id"), F.lit("tria").alias("etype"), "nodes")
 

@@ -13,12 +13,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Smallest neighbours make a pointer forest; pointers jump to their target's
     own, other edges are hooked to the smallest neighbour, until nothing moves.
+    Two such rounds run to a checkpoint.
     """
     e = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("p")).distinct())
     while True:
-        low = e.groupBy("u").agg(F.min("p").alias("m"))
-        jump = low.join(low.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m", "left").select("u", F.coalesce("mm", "m").alias("p"), F.col("mm").isNotNull().alias("moved"))
-        hook = e.join(low, "u").where("p <> m").select(F.col("p").alias("u"), F.col("m").alias("p"), F.lit(True).alias("moved"))
-        e = checkpointed(jump.unionByName(hook).groupBy("u", "p").agg(F.max("moved").alias("moved")))
+        e = checkpointed(_hooked(_hooked(e)))
         if e.where("moved").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("p").alias("root")).unionByName(e.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct())
+
+
+def _hooked(e: DataFrame) -> DataFrame:
+    low = e.groupBy("u").agg(F.min("p").alias("m"))
+    jump = low.join(low.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m", "left").select("u", F.coalesce("mm", "m").alias("p"), F.col("mm").isNotNull().alias("moved"))
+    hook = e.join(low, "u").where("p <> m").select(F.col("p").alias("u"), F.col("m").alias("p"), F.lit(True).alias("moved"))
+    return jump.unionByName(hook).groupBy("u", "p").agg(F.max("moved").alias("moved"))

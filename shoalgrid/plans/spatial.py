@@ -34,16 +34,21 @@ def nearest_within(points: DataFrame, key: str, targets: DataFrame, radius: floa
 def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, target_key: str = "fid") -> DataFrame:
     """(key, target_key, d2) of the nearest target of every point, at any distance.
 
-    Points that find none within the radius try again with four times the radius;
-    each round is checkpointed and holds only the points still without one.
+    The first radius holds about three targets at their mean density (``start``
+    where they have no extent). Points that find none try again with four times
+    the radius; each round is checkpointed once and holds only the points still
+    without one.
     """
-    if targets.isEmpty():
+    t = targets.agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    if not t.n:
         return points.sparkSession.createDataFrame([], nearest_within(points, key, targets, start, target_key).schema)
-    left, found, radius = points.select(key, "x", "y"), None, start
+    left, found = points.select(key, "x", "y"), None
+    radius = (t.w * t.h / t.n) ** 0.5 if t.w and t.h else start
     while True:
-        now = checkpointed(nearest_within(left, key, targets, radius, target_key))
+        met = checkpointed(left.join(nearest_within(left, key, targets, radius, target_key), key, "left"))
+        now = met.where("d2 is not null").select(key, target_key, "d2")
         found = now if found is None else found.unionByName(now)
-        left = checkpointed(left.join(now.select(key), key, "left_anti"))
+        left = met.where("d2 is null").select(key, "x", "y")
         if left.isEmpty():
             return found
         radius *= 4

@@ -85,3 +85,39 @@ def test_command_line(spark, tmp_path):
     main(["hfun", str(tmp_path / "cells"), str(tmp_path / "hfun"), "--hmin", "1", "--hmax", "9", "--contour", "0", "1", "2", "--constant", "2", "99", "3"], spark)
     sizes = {(r.row, r.col): r.h for r in spark.read.parquet(str(tmp_path / "hfun")).collect()}
     assert sizes[5, 5] == pytest.approx(2.0) and sizes[5, 9] == pytest.approx(3.0) and sizes[5, 0] == pytest.approx(9.0)
+
+
+def test_remeshing_jobs(spark, tmp_path):
+    nodes, e = lattice(spark, 7, 7)
+    region = spark.createDataFrame([(0, 0, i, float(x), float(y)) for i, (x, y) in enumerate([(-1, -1), (3, -1), (3, 7), (-1, 7)])], "poly long, ring int, seq int, x double, y double")
+    n, new = jobs.remesh_by_shape(e, nodes, region, 0.5)
+    assert area(n, new) == pytest.approx(36.0)
+    left = mesh.nodes_in_box(n, (-1.0, -1.0, 2.5, 7.0)).count()
+    assert left > 1.5 * mesh.nodes_in_box(n, (3.5, -1.0, 7.0, 7.0)).count()
+    with pytest.raises(ValueError):
+        jobs.remesh_by_shape(e, nodes, region, 0)
+    cells = spark.range(64).select((F.col("id") / 8).cast("long").alias("row"), (F.col("id") % 8).alias("col"), (F.col("id") % 8 - 4).cast("double").alias("z"))
+    nodes.write.parquet(str(tmp_path / "m/nodes"))
+    e.write.parquet(str(tmp_path / "m/elements"))
+    cells.write.parquet(str(tmp_path / "cells"))
+    main(["remesh-by-dem", str(tmp_path / "m"), str(tmp_path / "cells"), str(tmp_path / "out"), "--hmin", "0.6", "--hmax", "1.5", "--constant", "0", "9", "0.6"], spark)
+    n2, e2 = (spark.read.parquet(str(tmp_path / f"out/tables/{k}")) for k in ("nodes", "elements"))
+    assert area(n2, e2) == pytest.approx(36.0) and n2.where("value > 0").count() > n2.where("value < -1").count()
+
+
+def test_outputs_clipping_and_blended_sizes(spark, tmp_path):
+    nodes, e = lattice(spark, 4, 3)
+    out = jobs.write_outputs(nodes, e, str(tmp_path), ("2dm", "grd", "hull"))
+    assert spark.read.text(out["2dm"]).count() == 1 + 12 + 12 and spark.read.text(out["grd"]).count() == 2 + 12 + 12
+    assert spark.read.parquet(out["hull"]).count() == 10
+    with pytest.raises(ValueError):
+        jobs.write_outputs(nodes, e, str(tmp_path), ("xyz",))
+    moved = jobs.transform_mesh(jobs.transform_mesh(nodes, "EPSG:4326", "EPSG:3857"), "EPSG:3857", "EPSG:4326")
+    assert moved.join(nodes.select("node_id", F.col("x").alias("a")), "node_id").where("abs(x - a) > 1e-9").count() == 0
+    z = [[5, 5, -300], [5, -300, -300], [-300, 5, 5]]
+    cells = spark.createDataFrame([(r, c, float(v)) for r, row in enumerate(z) for c, v in enumerate(row)], "row long, col long, z double")
+    assert jobs.clipping_cells(cells, 10, upstream=1).count() == 6 and jobs.clipping_cells(cells, 10, upstream=3).count() == 9
+    fine, coarse = lattice(spark, 5, 5, step=0.5), lattice(spark, 5, 5)
+    places = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.5, 3.5), (3, 9.0, 9.0)], "pid long, x double, y double")
+    got = {r.pid: r.h for r in jobs.blended_sizes(places, fine, coarse).collect()}
+    assert got[1] < 0.7 and 0.9 < got[2] < 1.5 and got[3] > 0.9
