@@ -942,6 +942,14 @@ def contour_lines(spark, sf):
     return c.groupBy("line", "closed").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("sx"), r6(F.sum("y")).alias("sy"))
 
 
+@query
+def contour_polygons(spark, sf):
+    """Rings and area of the ground at or above a level, borders interpolated."""
+    p = polygons.from_contours(t.raster_cells(spark, sf), 10.0)
+    m = polygons.measures(p, ["poly", "ring", "ring_type"])
+    return m.groupBy("ring_type").agg(F.count("*").alias("n"), r6(F.sum("area")).alias("area"))
+
+
 @query
 def hfun_patch_expansion(spark, sf):
     n = _mesh(spark, sf)[1]

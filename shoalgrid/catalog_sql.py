@@ -354,3 +354,11 @@ SELECT (root // 1000000) || '-' || (root % 1000000) AS chain, btype, CAST(seq AS
     " SELECT CAST(section AS INTEGER) AS section, CAST(id AS BIGINT) AS id, substr(line, 1, 30) AS head, CAST(length(line) AS INTEGER) AS n FROM l",
 }
 ORACLE["crs_round_trip"] = f"WITH {_P} SELECT pid, round(x / 4 + 8, 6) AS lon, round(y * 3 - 75, 6) AS lat FROM p"
+_LEVEL = _LINES[: _LINES.index("al AS (")].replace(
+    "b AS (SELECT a.r",
+    """rim AS (SELECT r + dr AS r, c + dc AS c FROM n, (VALUES (-1), (0), (1)) u(dr), (VALUES (-1), (0), (1)) w(dc) EXCEPT SELECT r, c FROM n),
+g AS (SELECT r, c, z FROM n UNION ALL SELECT r, c, 10 - 1e12 FROM rim),
+b AS (SELECT a.r""",
+).replace("FROM n a JOIN n p ON", "FROM g a JOIN g p ON").replace("JOIN n q", "JOIN g q").replace("JOIN n s", "JOIN g s")
+ORACLE["contour_polygons"] = _LEVEL + """ar AS (SELECT root, sum(p.x * q.y - q.x * p.y) / 2 AS area FROM ro JOIN sg USING (i) JOIN pt p ON p.p = i JOIN pt q ON q.p = j GROUP BY root)
+SELECT CASE WHEN area > 0 THEN 'exterior' ELSE 'interior' END AS ring_type, CAST(count(*) AS BIGINT) AS n, round(sum(area), 6) AS area FROM ar GROUP BY 1"""

@@ -51,6 +51,32 @@ def from_cells(cells: DataFrame, width: int) -> DataFrame:
     return out.select("poly", "ring", F.when(F.col("ring") == 0, "exterior").otherwise("interior").alias("ring_type"), F.col("seq").cast("int").alias("seq"), "x", "y")
 
 
+def from_contours(cells: DataFrame, level: float) -> DataFrame:
+    """(poly, ring, ring_type, seq, x, y): the ground at or above ``level``, its borders interpolated between cells (row, col, z).
+
+    Beyond the raster, and in cells without a value, there is no ground: borders
+    close along the centres of the last cells. Each hole belongs to the smallest
+    exterior ring that holds it; poly is a hash of its line.
+    """
+    from .raster import contour_lines
+
+    known = cells.where("z is not null").select("row", "col", "z")
+    around = F.array(*[F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])
+    rim = known.select(F.inline(around)).distinct().join(known.select("row", "col"), ["row", "col"], "left_anti")
+    lines = contour_lines(known.unionByName(rim.withColumn("z", F.lit(float(level) - 1e12))), level)
+    last = Window.partitionBy("line")
+    points = lines.withColumn("_last", F.max("seq").over(last)).where("seq < _last")  # the end repeats the start
+    rings = checkpointed(points.select(F.xxhash64("line").alias("poly"), F.lit(0).alias("ring"), "seq", "x", "y"))
+    sized = measures(rings).select("poly", "area")
+    outer, inner = sized.where("area > 0"), sized.where("area < 0")
+    exterior = rings.join(outer.select("poly"), "poly", "left_semi")
+    first = rings.where("seq = 0").join(inner.select("poly"), "poly", "left_semi").select(F.col("poly").alias("pid"), "x", "y")
+    held = containing(first, exterior).join(outer, "poly").groupBy("pid").agg(F.min_by("poly", "area").alias("owner"))
+    number = held.select("owner", "pid", F.row_number().over(Window.partitionBy("owner").orderBy("pid")).alias("ring"))
+    holes = rings.drop("ring").join(number.withColumnRenamed("pid", "poly"), "poly").select(F.col("owner").alias("poly"), "ring", F.lit("interior").alias("ring_type"), "seq", "x", "y")
+    return exterior.select("poly", "ring", F.lit("exterior").alias("ring_type"), "seq", "x", "y").unionByName(holes)
+
+
 def measures(polygons: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, n_corners, area, length) of rings: signed area (positive: left turns in x, y) and circumference."""
     keys = keys or ["poly", "ring"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,9 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def ranged(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add ``name``: the number of a row's range, of ``RANGES`` between approximate quantiles of ``key``."""
-    value = F.col(key).cast("double")
-    cuts = sorted(set(df.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)]).alias("q")).first().q or []))
-    return df.withColumn(name, F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0))
+    cuts = sorted(set(df.agg(F.percentile_approx(F.col(key).cast("double"), [i / RANGES for i in range(1, RANGES)]).alias("q")).first().q or []))
+    cuts = [c for c in cuts if math.isfinite(c)]
+
+    def below(lo: int, hi: int) -> str:
+        """How many of cuts[lo:hi] are smaller, and lo more: by halves, eight comparisons a row."""
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"if(double(`{key}`) <= {cuts[mid]!r}D, {below(lo, mid)}, {below(mid + 1, hi)})"
+
+    return df.withColumn(name, F.expr(below(0, len(cuts))))
 
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:

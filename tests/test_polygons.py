@@ -156,3 +156,20 @@ def test_specs(spark):
     nodes, e = lattice(spark, 4, 4)
     assert polygons.measures(specs.domain((e, nodes), "mesh")).first().area == 9.0
     assert specs.EngineOptions(hmin=1.2).sizes(specs.size_function((e, nodes), "mesh")).agg(F.min("h")).first()[0] == pytest.approx(1.2)
+
+
+def test_polygons_of_contours(spark):
+    """A ring-shaped island with a lake and an island in it, and ground that runs out of the raster."""
+    at = spark.range(41 * 41).select((F.col("id") / 41).cast("long").alias("row"), (F.col("id") % 41).alias("col"))
+    r = F.hypot(F.col("row") - 20.0, F.col("col") - 20.0)
+    cells = at.withColumn("z", F.when(r < 8, 4 - r).otherwise(F.lit(5) - F.abs(r - 13)))
+    p = polygons.from_contours(cells, 0.0)
+    m = sorted((x.ring_type, round(x.area)) for x in polygons.measures(p, ["poly", "ring", "ring_type"]).collect())
+    assert [k for k, _ in m] == ["exterior", "exterior", "interior"]
+    areas = sorted(abs(a) for _, a in m)
+    assert areas[0] == pytest.approx(math.pi * 16, rel=0.05) and areas[1] == pytest.approx(math.pi * 64, rel=0.06) and areas[2] == pytest.approx(math.pi * 324, rel=0.03)
+    rings_ = {r.ring_type: r.poly for r in p.where("ring_type = 'interior'").collect()}
+    assert p.where(F.col("poly") == rings_["interior"]).select("ring").distinct().count() == 2
+    slope = at.withColumn("z", F.when(F.col("row") < 3, None).otherwise(F.col("col") - 20.5))
+    x = polygons.measures(polygons.from_contours(slope, 0.0)).first()
+    assert x.area == pytest.approx((40 - 20.5) * (40 - 3), rel=1e-6)
