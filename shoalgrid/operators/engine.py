@@ -44,9 +44,14 @@ def resample_ring(ring: list[tuple[float, float]], size) -> list[tuple[float, fl
 
 
 def mesh_polygon(rings: list[list[tuple[float, float]]], size) -> tuple[list[tuple[float, float]], list[tuple[int, int, int]]]:
+    import numpy as np
+
     border = [resample_ring(r, size) for r in rings]
     points = list(dict.fromkeys(p for r in border for p in r))
     xs, ys = [p[0] for p in points], [p[1] for p in points]
+    rim = np.array(points)
+    rim = rim[np.argsort(rim[:, 1], kind="stable")]  # only border points in a row's band can be near
+    levels = np.ascontiguousarray(rim[:, 1])
     y, row = min(ys), 0
     while y < max(ys):
         x, step_y = min(xs), None
@@ -54,7 +59,8 @@ def mesh_polygon(rings: list[list[tuple[float, float]]], size) -> tuple[list[tup
             h = size(x, y)
             step_y = h if step_y is None else min(step_y, h)
             px = x + (h / 2 if row % 2 else 0)
-            if inside(rings, px, y) and all((px - a) ** 2 + (y - b) ** 2 > (0.6 * h) ** 2 for a, b in points[: len(xs)]):
+            near = rim[np.searchsorted(levels, y - 0.6 * h) : np.searchsorted(levels, y + 0.6 * h, "right")]
+            if inside(rings, px, y) and (((near - (px, y)) ** 2).sum(axis=1) > (0.6 * h) ** 2).all():
                 points.append((px, y))
             x += h
         y += step_y * math.sqrt(3) / 2

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import checkpointed
 
 
+#: Ids that one task traces by itself; more are traced by doubling.
+LOCAL = 1 << 17
+
+
 def traced(links: DataFrame) -> DataFrame:
     """(id, root, seq) from (id, prev): each id has one predecessor at most and precedes one id at most.
 
     The root of a path is its first id, that of a cycle its smallest one; seq
     counts from the root. Each round doubles the stretch that an id looks back
     over, so a chain of n ids takes log2(n) rounds of equi-joins, whatever the
-    number of chains; no task holds a chain. Ids may be structs.
+    number of chains; no task holds a chain. ``LOCAL`` ids or fewer are walked
+    in one task. Ids may be structs.
     """
-    s = checkpointed(links.select("id", F.col("prev").alias("ptr"), F.col("id").alias("best"), F.lit(0).cast("long").alias("dist")))
+    links = checkpointed(links.select("id", "prev"))
+    if links.count() <= LOCAL:
+        kind = links.schema["id"].dataType.simpleString()
+        return checkpointed(links.coalesce(1).mapInArrow(_walk, f"id {kind}, root {kind}, seq long"))
+    s = links.select("id", F.col("prev").alias("ptr"), F.col("id").alias("best"), F.lit(0).cast("long").alias("dist"))
     step = 1
     while True:
         s = s.withColumn("moved", F.lit(False))
@@ -38,3 +49,25 @@ def _doubled(s: DataFrame, step: int) -> DataFrame:
         "id", F.when(F.col("b2").isNotNull(), F.col("p2")).alias("ptr"), F.when(better, F.col("b2")).otherwise(F.col("best")).alias("best"),
         F.when(better, F.col("d2") + step).otherwise(F.col("dist")).alias("dist"), (F.col("moved") | better).alias("moved"),
     )
+
+
+def _walk(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows).combine_chunks()
+    plain = lambda v: tuple(v.values()) if isinstance(v, dict) else v
+    ids, before = ([plain(v) for v in table.column(c).to_pylist()] for c in ("id", "prev"))
+    after = {p: k for k, p in enumerate(before) if p is not None}
+    root, seq = [-1] * len(ids), [0] * len(ids)
+    heads = [k for k, p in enumerate(before) if p is None]
+    for start in [*heads, *sorted(range(len(ids)), key=ids.__getitem__)]:
+        k, n = start, 0
+        while k is not None and root[k] < 0:
+            root[k], seq[k], n = start, n, n + 1
+            k = after.get(ids[k])
+    own = table.column("id").combine_chunks()
+    own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+    yield pa.RecordBatch.from_arrays([own, own.take(pa.array(root)), pa.array(seq, pa.int64())], ["id", "root", "seq"])

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import checkpointed
 
 
+#: Edges that one task joins by itself; more are joined by rounds.
+LOCAL = 1 << 17
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node that ``node`` reaches.
 
     Smallest neighbours make a pointer forest; pointers jump to their target's
     own, other edges are hooked to the smallest neighbour, until nothing moves.
-    Two such rounds run to a checkpoint.
+    Two such rounds run to a checkpoint. ``LOCAL`` edges or fewer are joined in one task.
     """
     e = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("p")).distinct())
+    if e.count() <= LOCAL:
+        kind = e.schema["u"].dataType.simpleString()
+        return checkpointed(e.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
     while True:
         e = checkpointed(_hooked(_hooked(e)))
         if e.where("moved").isEmpty():
@@ -27,3 +36,25 @@ def _hooked(e: DataFrame) -> DataFrame:
     jump = low.join(low.select(F.col("u").alias("m"), F.col("m").alias("mm")), "m", "left").select("u", F.coalesce("mm", "m").alias("p"), F.col("mm").isNotNull().alias("moved"))
     hook = e.join(low, "u").where("p <> m").select(F.col("p").alias("u"), F.col("m").alias("p"), F.lit(True).alias("moved"))
     return jump.unionByName(hook).groupBy("u", "p").agg(F.max("moved").alias("moved"))
+
+
+def _joined(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    up: dict = {}
+
+    def find(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(y, y)
+            x = y
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([find(x) for x in up], kind)], ["node", "root"])

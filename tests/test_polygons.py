@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalgrid.operators import engine, mesh, polygons, raster, sizing, specs
-from shoalgrid.plans.chains import traced
+from shoalgrid.plans import chains, graph
 from shoalgrid.sources import raster_store as store
 from shoalgrid.sources import text
 
 
-def test_cycles_and_paths_by_doubling(spark):
+@pytest.mark.parametrize("local", [0, 1 << 17])
+def test_cycles_and_paths(spark, monkeypatch, local):
+    monkeypatch.setattr(chains, "LOCAL", local)
     rng = random.Random(3)
     ids = list(range(400))
     rng.shuffle(ids)
@@ -26,8 +28,26 @@ def test_cycles_and_paths_by_doubling(spark):
         for i, x in enumerate(chain):
             links.append((x, chain[i - 1] if i or closed else None))
             want[x] = (root, (i - k) % size)
-    got = traced(spark.createDataFrame(links, "id long, prev long").repartition(5)).collect()
-    assert {r.id: (r.root, r.seq) for r in got} == want
+    df = spark.createDataFrame(links, "id long, prev long").repartition(5)
+    assert {r.id: (r.root, r.seq) for r in chains.traced(df).collect()} == want
+    pairs = df.select(F.struct(F.col("id").alias("a"), F.lit(1).alias("b")).alias("id"), F.when(F.col("prev").isNotNull(), F.struct(F.col("prev").alias("a"), F.lit(1).alias("b"))).alias("prev"))
+    assert {r.id.a: (r.root.a, r.seq) for r in chains.traced(pairs).collect()} == want
+    assert chains.traced(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("local", [0, 1 << 17])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graph, "LOCAL", local)
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 480)] + [(7, 7)]
+    low = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert {r.node: r.root for r in got} == low and len(got) == len(low)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def grid(spark, text_):
