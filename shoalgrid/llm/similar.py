@@ -15,7 +15,11 @@ fingerprints. The pigeonhole is therefore applied to the sets themselves:
   others; then all pairs not yet connected. Bit i of a set's parity is whether an
   odd number of its shingles hash to i, so two sets differ in at least as many
   shingles as their parities in bits: pairs that differ too much are left out
-  without loss. Every other pair is verified on its sets.
+  without loss. Every other pair is verified on its sets;
+* the buckets of one group of copies nearly all have the same few smallest nodes.
+  What isn't connected is therefore compared by smallest node, not by bucket: a
+  pair is met once for each smallest node instead of once for each shared shingle,
+  and only pairs that wide parities leave are written as rows.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ SIMILAR = (4, 5)
 SAMPLE, FREQUENT, MOST = 5_000, 5, 50_000
 #: Longs of a set's parity bits, and bits of its wide ones.
 LONGS, WIDE = 4, 4096
+#: Nodes in a chunk of those that are compared with each other.
+BLOCK = 4096
 
 
 def shingle_set(data: bytes) -> np.ndarray:
@@ -192,33 +198,122 @@ def wide_parity(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(shingles & (WIDE - 1), minlength=WIDE) & 1).astype(np.uint8)).tobytes()
 
 
-def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose sets are similar enough; whole sets are made and sent only for pairs that wide parities don't rule out."""
+def named(some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The keys of texts that have the sets ``some`` (fp)."""
+    return nodes.join(some.distinct(), "fp", "left_semi").select("key")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
 
-    def named(some: DataFrame) -> DataFrame:
-        either = some.select(F.col("a").alias("fp")).unionByName(some.select(F.col("b").alias("fp"))).distinct()
-        return nodes.join(either, "fp", "left_semi").select("key")
+
+def wide_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(fp, n, wide): sizes and wide parities of the sets of the texts with ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingle_set(x) for x in utf8_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_pydict({"fp": pa.array([set_name(x) for x in sets], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "wide": pa.array([wide_parity(x) for x in sets], pa.binary())})
 
+    return stored(map_batches(texts.join(keys, "key", "left_semi").select("text"), run, "fp long, n long, wide binary").dropDuplicates(["fp"]), "similar-wide")
+
+
+def words_of(wide: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(wide.to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+
+
+def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose sets are similar enough; whole sets are made and sent only for pairs that wide parities don't rule out."""
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = SIMILAR
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for c in ("wa", "wb"))
+            x, y = (words_of(batch.column(c)) for c in ("wa", "wb"))
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             ok = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (p + q) <= (q - p) * total
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    wide = stored(map_batches(texts.join(named(pairs), "key", "left_semi").select("text"), run, "fp long, n long, wide binary").dropDuplicates(["fp"]), "similar-wide")
+    wide = wide_of(texts, named(ends(pairs), nodes))
     own = lambda k: wide.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
-    close = stored(map_batches(pairs.join(own("a"), "a").join(own("b"), "b"), near, "a long, b long"), "similar-close")
-    sets = stored(sets_of(texts, named(close)).dropDuplicates(["fp"]), "similar-sets")
+    return checked(stored(map_batches(pairs.join(own("a"), "a").join(own("b"), "b"), near, "a long, b long"), "similar-close"), nodes, texts)
+
+
+def checked(close: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``close`` whose whole sets are similar enough."""
+    sets = stored(sets_of(texts, named(ends(close), nodes)).dropDuplicates(["fp"]), "similar-sets")
     return stored(verified(close, sets), "similar-links")
 
 
+def left_apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(c, fp, root) of the nodes in buckets (s, fp) that hold several components (node, root); c is the smallest node of the bucket."""
+    rooted = members.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("s", "fp", F.coalesce("root", "fp").alias("root"))
+    several = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("fp").alias("c")).where("lo < hi").select("s", "c")
+    return rooted.join(several, "s").select("c", "fp", "root").distinct()
+
+
+def pairs_of_block(chunk: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, all y > x) of the rows, ordered by size n, of which sizes and parities don't rule out that their sets are linked.
+
+    Rows of one component are left out, and rows of one chunk where there are two: those meet in a block of their own.
+    """
+    p, q = SIMILAR
+    slim = np.bitwise_xor.reduce(wide.reshape(len(n), -1, LONGS), axis=1)
+    two = len(n) > 0 and (chunk != chunk[0]).any()
+    for x, end in enumerate(np.searchsorted(n, n * q // p, side="right").tolist()):
+        meets = root[x + 1 : end] != root[x]
+        if two:
+            meets &= chunk[x + 1 : end] != chunk[x]
+        y = x + 1 + np.flatnonzero(meets)
+        for bits in (slim, wide):
+            y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) * (p + q) <= (q - p) * (n[y] + n[x])]
+        if len(y):
+            yield x, y
+
+
+def close_pairs(apart: DataFrame, wide: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of nodes of different components with the same c that may be linked; ``apart`` as of ``left_apart``.
+
+    The nodes of a c are cut into chunks of about ``block``, and every two chunks
+    are compared in a block of their own, so that a task holds two chunks at most.
+    """
+    many = apart.groupBy("c").agg(F.count("*").alias("m")).where(F.col("m") > block).select("c", F.ceil(F.col("m") / block).cast("int").alias("chunks"))
+    chunk = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.lit(0))
+    others = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda d: F.struct(F.least(chunk, d).alias("i"), F.greatest(chunk, d).alias("j")))
+    dealt = apart.join(many, "c", "left").select("c", "fp", "root", chunk.alias("chunk"), F.inline(others)).join(wide, "fp")
+    dealt = dealt.select("c", "i", "j", "chunk", "fp", "root", "n", "wide").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "n", "fp")
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        fp, held, size = rows[4], [], 0
+        for x, y in pairs_of_block(rows[3], rows[5], rows[6], rows[7]):
+            held.append((np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])))
+            size += len(y)
+            if size >= 1 << 16:
+                yield batch_of(held)
+                held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    def batch_of(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v)) for k, v in zip("ab", zip(*held))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [*(batch.column(k).to_numpy() for k in range(7)), words_of(batch.column(7))]
+            rows = rows if kept is None else [np.concatenate(z) for z in zip(kept, rows)]
+            new = np.any([k[1:] != k[:-1] for k in rows[:3]], axis=0)
+            cuts = [0, *(1 + np.flatnonzero(new)).tolist()]
+            for start, end in zip(cuts, cuts[1:]):
+                yield from pairs([k[start:end] for k in rows])
+            kept = [k[cuts[-1] :] for k in rows]
+        if kept is not None:
+            yield from pairs(kept)
+
+    return map_batches(dealt, run, "a long, b long")
+
+
 def roots(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of all sets that are linked to another one; ``rows`` as of ``with_set``, ``texts`` with (key, text)."""
     nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "similar-nodes")  # n and bits are equal for all rows of a set
@@ -228,14 +323,9 @@ def roots(rows: DataFrame, texts: DataFrame) -> DataFrame:
     edges = links(pairs, nodes, texts)
     found = components(edges)
     # then all pairs of a bucket that aren't connected yet; in a bucket of two there are none
-    rooted = met.where("b is null").select("s", F.col("a").alias("fp")).join(found.withColumnRenamed("node", "fp"), "fp", "left").select("s", "fp", F.coalesce("root", "fp").alias("root"))
-    apart = rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    words = [F.get("bits", i).alias(f"b{i}") for i in range(LONGS)]
-    known = stored(rooted.join(apart, "s", "left_semi").join(nodes.select("fp", "n", *words), "fp"), "similar-known")
-    if known.isEmpty():
+    apart = stored(left_apart(met.where("b is null").select("s", F.col("a").alias("fp")), found), "similar-apart")
+    if apart.isEmpty():
         return found
-    other = known.select("s", *[F.col(c).alias(f"q_{c}") for c in known.columns if c != "s"])
-    differ = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"q_b{i}"))) for i in range(LONGS)), F.lit(0))
-    meet = known.alias("x").join(other.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("fp") < F.col("q_fp")) & (F.col("root") != F.col("q_root")) & _alike("n", "q_n", differ))
-    rest = stored(meet.select(F.col("fp").alias("a"), F.col("q_fp").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
-    return found if rest.isEmpty() else components(edges.unionByName(links(rest, nodes, texts)))
+    wide = wide_of(texts, named(apart.select("fp"), nodes))
+    rest = stored(close_pairs(apart, wide).distinct().join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+    return found if rest.isEmpty() else components(edges.unionByName(checked(rest, nodes, texts)))

@@ -85,3 +85,33 @@ def test_wide_parity_loses_no_pair():
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.08], rng.integers(-(1 << 62), 1 << 62, n // 20)]))
         x, y = (np.frombuffer(similar.wide_parity(v), np.uint64) for v in (a, b))
         assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_unconnected_nodes_meet_in_blocks(spark):
+    """A group of near copies, most of them not linked: rows are written for pairs near the threshold only, and for every linked one, however the group is cut."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, 400)
+    sets = []
+    for _ in range(120):
+        kept = base[rng.random(400) > rng.uniform(0.02, 0.4)]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(-(1 << 62), 1 << 62, 400 - len(kept))])))
+    root = [i % 7 if i < 40 else i for i in range(120)]
+    share = lambda a, b: (n := len(np.intersect1d(a, b))) / (len(a) + len(b) - n)
+    every = {(a, b): share(sets[a], sets[b]) for a in range(120) for b in range(a + 1, 120) if root[a] != root[b]}
+    linked = {k for k, x in every.items() if x >= 0.8}
+    assert 100 < len(linked) < len(every) / 5
+    apart = spark.createDataFrame([(c, i, r) for c in (0, 3) for i, r in enumerate(root)], "c long, fp long, root long")
+    wide = spark.createDataFrame([(i, len(s), similar.wide_parity(s)) for i, s in enumerate(sets)], "fp long, n long, wide binary")
+    for block, size in ((4096, "10000"), (16, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = [(r.a, r.b) for r in similar.close_pairs(apart, wide, block).collect()]
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        # once for each of the two smallest nodes
+        assert len(got) == 2 * len(set(got)) and linked <= set(got) <= {k for k, x in every.items() if x >= 0.75}
+
+
+def test_buckets_with_several_components(spark):
+    members = spark.createDataFrame([(1, 5), (1, 6), (1, 9), (2, 5), (2, 6), (2, 7), (3, 9), (3, 5), (3, 6)], "s long, fp long")
+    found = spark.createDataFrame([(5, 5), (6, 5), (7, 5)], "node long, root long")
+    got = similar.left_apart(members, found).collect()
+    assert sorted(map(tuple, got)) == [(5, 5, 5), (5, 6, 5), (5, 9, 9)]
