@@ -41,6 +41,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints in a block of a bucket.
 BLOCK = 2048
+#: Differing bits of sets of five-word shingles that ``keep_one`` looks for.
+SET_RADIUS = 6
 #: Cost of a probe row (shuffled, sorted) in compared pairs.
 ROW_COST = 40.0
 
@@ -56,7 +58,11 @@ def fingerprint(data: bytes, width: int = SHINGLE_WORDS) -> bytes:
         grams = iter([b" ".join(words)])
     else:
         grams = map(b" ".join, zip(*[words[i:] for i in range(width)]))
-    digests = b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED)))
+    return majority(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))))
+
+
+def majority(digests: bytes) -> bytes:
+    """Eight bytes: the bits that are set in over half the ``digests`` of eight bytes, highest bit first."""
     hashes = np.frombuffer(digests, np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
@@ -275,18 +281,41 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     return fps.join(classes(fps, id_column), "fp").select(id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The fingerprint (as a long) of a set of shingle hashes; zero of the empty one."""
+    return int.from_bytes(majority(shingles.astype(">i8").tobytes()), "big", signed=True)
+
+
+def near_sets(nodes: DataFrame, radius: int = SET_RADIUS) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (fp, mark) that connect all whose fingerprints ``mark`` are linked within ``radius``.
+
+    By the allocation and the probes of ``classes``. The links are not verified on the sets.
+    """
+    marks = stored(nodes.groupBy("mark").agg(F.min("fp").alias("low")), "simhash-marks")
+    same = nodes.join(marks, "mark").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    n, both = bit_statistics(marks, "mark")
+    if n < 2:
+        return same
+    near = links(blocks(probes(marks.select(F.col("mark").alias("fp")), plan(n, both, radius))), radius)
+    own = lambda k: marks.select(F.col("mark").alias(k), F.col("low").alias(f"low_{k}"))
+    pairs = near.distinct().join(own("a"), "a").join(own("b"), "b")
+    return same.unionByName(pairs.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))).distinct()
+
+
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each class the row with the smallest id.
 
-    Classes are those of ``similar``: five-word shingle sets of similarity 0.8 or
-    more are linked, all of them; the radius above binds only ``near_duplicates``.
+    Five-word shingle sets of similarity 0.8 or more are linked, all of them.
+    Fingerprints of the sets within ``SET_RADIUS`` bits are found first, by the
+    generalised pigeonhole, and verified on the sets; ``similar`` adds the links
+    that no such radius is sure to find, and compares only what isn't connected.
     Null ids come last, ties go to the smallest digest of the text, and of rows
     that are equal in both one stays. Columns and their order are unchanged.
     """
     key = F.concat_ws(":", F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
     texts = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text"), key.alias("key"))
-    narrow = stored(similar.with_set(texts, similar.frequent(texts)), "simhash-rows")
-    rooted = narrow.select("id", "key", "fp").join(similar.roots(narrow, texts).withColumnRenamed("node", "fp"), "fp", "left")
+    narrow = stored(similar.with_set(texts, similar.frequent(texts), set_fingerprint), "simhash-rows")
+    rooted = narrow.select("id", "key", "fp").join(similar.roots(narrow, texts, near_sets).withColumnRenamed("node", "fp"), "fp", "left")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key"))
     keys = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(best.alias("best")).select(F.col("best.key").alias("_key"))
     # the row travels as one struct, so that its columns can't clash with those made here

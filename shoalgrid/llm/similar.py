@@ -9,6 +9,7 @@ fingerprints. The pigeonhole is therefore applied to the sets themselves:
 * of the n shingles of a set at most n - ceil(0.8 n) can be missing in a set it
   is linked to, so of any n - ceil(0.8 n) + 1 one is shared; with one order of
   all shingles, linked sets share one among the first so many of both;
+* the fingerprints still find what is within a smaller radius, first (``simhash.near_sets``);
 * any order is exact. Shingles that a sample shows to be frequent come last, so
   that a common passage fills no bucket; the others go by their hash;
 * equal sets are one node. In a bucket the smallest node is compared with all
@@ -24,7 +25,7 @@ fingerprints. The pigeonhole is therefore applied to the sets themselves:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -98,17 +99,17 @@ def frequent(texts: DataFrame) -> np.ndarray:
     return np.array(sorted(r.s for r in found), np.int64)
 
 
-def with_set(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(id, key, fp, n, bits, prefix) of (id, key, text): name, size and parity of the set, and its first shingles."""
+def with_set(texts: DataFrame, hot: np.ndarray, mark: Callable[[np.ndarray], int]) -> DataFrame:
+    """(id, key, fp, n, mark, bits, prefix) of (id, key, text): name, size, ``mark`` and parity of the set, and its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = [shingle_set(x) for x in utf8_bytes(batch.column("text"))]
-            made = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.array([first(s, hot) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *made], ["id", "key", "fp", "n", "bits", "prefix"])
+            made = [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([mark(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.array([first(s, hot) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *made], ["id", "key", "fp", "n", "mark", "bits", "prefix"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return map_batches(texts, run, f"id {kind}, key string, fp long, n long, bits array<long>, prefix array<long>")
+    return map_batches(texts, run, f"id {kind}, key string, fp long, n long, mark long, bits array<long>, prefix array<long>")
 
 
 def sets_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -314,13 +315,25 @@ def close_pairs(apart: DataFrame, wide: DataFrame, block: int = BLOCK) -> DataFr
     return map_batches(dealt, run, "a long, b long")
 
 
-def roots(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of all sets that are linked to another one; ``rows`` as of ``with_set``, ``texts`` with (key, text)."""
-    nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")), "similar-nodes")  # n and bits are equal for all rows of a set
+def unconnected(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component (node, root)."""
+    own = lambda k: found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    return pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where("root_a is null or root_b is null or root_a <> root_b").select("a", "b")
+
+
+def roots(rows: DataFrame, texts: DataFrame, candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all sets that are linked to another one; ``rows`` as of ``with_set``, ``texts`` with (key, text).
+
+    ``candidates`` makes pairs (a, b) of the nodes (fp, mark), which are verified
+    first; all other links are found, too, whatever it makes.
+    """
+    nodes = stored(rows.groupBy("fp").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "mark", "bits")]), "similar-nodes")  # n, mark and bits are equal for all rows of a set
+    known = links(stored(possible(candidates(nodes), nodes), "similar-candidates"), nodes, texts)
+    found = components(known)
     spread = rows.join(nodes.select("key"), "key", "left_semi").select(F.explode("prefix").alias("s"), "fp")
     met = stored(met_in_buckets(spread), "similar-met")
-    pairs = stored(possible(met.where("b is not null").select("a", "b").distinct(), nodes), "similar-pairs")
-    edges = links(pairs, nodes, texts)
+    pairs = stored(possible(unconnected(met.where("b is not null").select("a", "b").distinct(), found), nodes), "similar-pairs")
+    edges = known.unionByName(links(pairs, nodes, texts))
     found = components(edges)
     # then all pairs of a bucket that aren't connected yet; in a bucket of two there are none
     apart = stored(left_apart(met.where("b is null").select("s", F.col("a").alias("fp")), found), "similar-apart")

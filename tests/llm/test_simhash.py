@@ -96,3 +96,39 @@ def test_query_nulls_copies_and_keep_one(spark):
     lost = spark.createDataFrame([(None, long), (None, long), (None, near)], "doc_id long, text string")
     assert simhash.keep_one(lost).count() == 1
     assert simhash.near_duplicates(df.where("false")).count() == 0 and simhash.keep_one(df.where("false")).count() == 0
+
+
+def test_keep_one_links_by_fingerprints(spark, monkeypatch):
+    """Copies within the radius of the fingerprints go although no bucket of shingles pairs them; their links are verified on the sets."""
+    from pyspark.sql import functions as F
+
+    from shoalgrid.llm import similar
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows, sets = [], []
+    for i in range(40):
+        text = [rng.choice(words) for _ in range(500)]
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join([*text, "tail"])), (10 * i + 2, " ".join(text[:250] + ["x"] + text[250:]))]
+    sets = [similar.shingle_set(t.encode()) for _, t in rows]
+    marks = [simhash.set_fingerprint(s) for s in sets]
+    nodes = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "fp long, mark long")
+    f = Forest()
+    for r in simhash.near_sets(nodes).collect():
+        f.union(r.a, r.b)
+    want = Forest()
+    for i in range(len(marks)):
+        for j in range(i):
+            if bin((marks[i] ^ marks[j]) & (1 << 64) - 1).count("1") <= simhash.SET_RADIUS:
+                want.union(i, j)
+    assert sorted(f.stars()) == sorted(want.stars()) and len(want.stars()) > 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [10 * i for i in range(40)]
+    none = lambda spread: spread.where("false").select("s", F.col("fp").alias("a"), F.col("fp").alias("b"))
+    monkeypatch.setattr(similar, "met_in_buckets", none)
+    alone = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert {10 * i for i in range(40)} <= alone and len(alone) < 60
+    # fingerprints of every pair within the radius, sets not alike: nothing goes
+    monkeypatch.setattr(simhash, "set_fingerprint", lambda s: 0)
+    apart = spark.createDataFrame([(i, t) for i, t in rows if i % 10 == 0], "doc_id long, text string")
+    assert simhash.keep_one(apart).count() == 40
