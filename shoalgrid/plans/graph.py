@@ -10,21 +10,36 @@ from pyspark.sql import functions as F
 from .numbering import checkpointed
 
 
-#: Edges that one task joins by itself; more are joined by rounds.
+#: Edges that one task joins by itself; more are joined range by range first.
 LOCAL = 1 << 17
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the smallest node that ``node`` reaches.
 
-    Smallest neighbours make a pointer forest; pointers jump to their target's
+    ``LOCAL`` edges or fewer are joined in one task. More are cut into ranges of
+    that size, each joined in a task of its own; what is left are links between
+    the roots of nodes that stand in several ranges, few where ids run along the
+    graph. Where the ranges don't halve the edges, they are joined by rounds:
+    smallest neighbours make a pointer forest; pointers jump to their target's
     own, other edges are hooked to the smallest neighbour, until nothing moves.
-    Two such rounds run to a checkpoint. ``LOCAL`` edges or fewer are joined in one task.
+    Two such rounds run to a checkpoint.
     """
     e = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("p")).distinct())
-    if e.count() <= LOCAL:
-        kind = e.schema["u"].dataType.simpleString()
+    kind = e.schema["u"].dataType.simpleString()
+    n = e.count()
+    if n <= LOCAL:
         return checkpointed(e.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
+    stars = checkpointed(e.repartitionByRange(-(-n // LOCAL), "u").mapInArrow(_joined, f"node {kind}, root {kind}"))
+    low = stars.groupBy("node").agg(F.min("root").alias("m"))
+    links = checkpointed(stars.join(low, "node").where("root <> m").select(F.col("root").alias("u"), F.col("m").alias("p")).distinct())
+    if links.count() * 2 <= n:
+        roots = components(links, "u", "p").select(F.col("node").alias("m"), F.col("root").alias("top"))
+        return low.join(roots, "m", "left").select("node", F.coalesce("top", "m").alias("root"))
+    return _by_rounds(e)
+
+
+def _by_rounds(e: DataFrame) -> DataFrame:
     while True:
         e = checkpointed(_hooked(_hooked(e)))
         if e.where("moved").isEmpty():
