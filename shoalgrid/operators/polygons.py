@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,17 +133,21 @@ def triangulate(polygons: DataFrame) -> DataFrame:
     """(poly, tri, xs, ys): triangles of polygons between their own corners, n - 2 of n corners and two more for each hole.
 
     Ears are cut off one by one; holes are first joined to the ring around them
-    by a pair of sides. A polygon is cut in one task.
+    by a pair of sides. A polygon is cut in one task; a task takes them row by row.
     """
 
-    def cut(pdf):
-        import pandas as pd
+    def cut(batches):
+        import pyarrow as pa
 
-        rings = [list(zip(g.x, g.y)) for _, g in pdf.sort_values(["ring", "seq"]).groupby("ring")]
-        rows = [(int(pdf.poly.iloc[0]), k, [float(p[0]) for p in t], [float(p[1]) for p in t]) for k, t in enumerate(ears(bridged(rings)))]
-        return pd.DataFrame(rows, columns=["poly", "tri", "xs", "ys"])
+        for batch in batches:
+            out = {"poly": [], "tri": [], "xs": [], "ys": []}
+            for poly, rings in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, t in enumerate(ears(bridged([[(p["x"], p["y"]) for p in r] for r in rings]))):
+                    for name, value in zip(out, (poly, k, [p[0] for p in t], [p[1] for p in t])):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("poly", pa.int64()), ("tri", pa.int32()), ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64()))]))
 
-    return polygons.select("poly", "ring", "seq", "x", "y").groupBy("poly").applyInPandas(cut, "poly long, tri int, xs array<double>, ys array<double>")
+    return implode(polygons.select("poly", "ring", "seq", "x", "y")).mapInArrow(cut, "poly long, tri int, xs array<double>, ys array<double>")
 
 
 def _turn(a, b, c) -> float:
@@ -158,25 +164,42 @@ def bridged(rings: list[list[tuple[float, float]]]) -> list[tuple[float, float]]
     holes = [h if _signed(h) < 0 else h[::-1] for h in rings[1:]]
     for hole in sorted(holes, key=lambda h: -max(h)[0]):
         i = max(range(len(hole)), key=lambda k: hole[k])
-        mx, my = hole[i]
-        # the side of the ring that a ray to the right meets first, and of its ends the one to the right
-        best = None
-        for k, (a, b) in enumerate(zip(outer, outer[1:] + outer[:1])):
-            if a[1] <= my <= b[1] and a[1] != b[1]:
-                x = a[0] + (my - a[1]) * (b[0] - a[0]) / (b[1] - a[1])
-                if x >= mx and (best is None or x < best[0]):
-                    best = (x, k)
-        x, k = best
-        end = k if outer[k][0] > outer[(k + 1) % len(outer)][0] else (k + 1) % len(outer)
-        corner = (mx, my), (x, my), outer[end]
-        # corners inside of the triangle up to that end would be cut off: the nearest to the ray is joined instead
-        held = [j for j, p in enumerate(outer) if p != outer[end] and _within(p, *corner) and _turn(outer[j - 1], p, outer[(j + 1) % len(outer)]) < 0]
-        if held:
-            end = min(held, key=lambda j: (abs(outer[j][1] - my) / max(outer[j][0] - mx, 1e-300), outer[j][0]))
+        m = hole[i]
+        near = sorted((j for j, p in enumerate(outer) if p == m or p[0] > m[0]), key=lambda j: math.hypot(outer[j][0] - m[0], outer[j][1] - m[1]))
+        end = next((j for j in near if _joins(outer, j, hole, i)), None)
+        if end is None:
+            raise ValueError("a hole isn't inside of its polygon")
         outer = outer[: end + 1] + hole[i:] + hole[: i + 1] + outer[end:]
     return outer
 
 
+def _joins(outer, j: int, hole, i: int) -> bool:
+    """Whether the side from hole[i] to outer[j] runs inside of ``outer``, on that side of a corner visited several times, and meets nothing else."""
+    m, p = hole[i], outer[j]
+    if p == m:
+        return _opens(outer, j, hole[i - 1]) and _opens(outer, j, hole[(i + 1) % len(hole)])
+    if not _opens(outer, j, m):
+        return False
+    between = lambda q: _turn(m, p, q) == 0 and min(m, p) < q < max(m, p)
+    for a, b in zip(outer, outer[1:] + outer[:1]):
+        if between(a):
+            return False
+        if a not in (m, p) and b not in (m, p):
+            s, t = _turn(m, p, a), _turn(m, p, b)
+            u, v = _turn(a, b, m), _turn(a, b, p)
+            if (s > 0 > t or s < 0 < t) and (u >= 0 >= v or u <= 0 <= v):
+                return False
+    return True
+
+
+def _opens(ring, j: int, q) -> bool:
+    """Whether a side from ring[j] to q starts inside of the ring, left turns outside."""
+    a, b, c = ring[j - 1], ring[j], ring[(j + 1) % len(ring)]
+    if _turn(a, b, c) > 0:
+        return _turn(a, b, q) > 0 and _turn(b, c, q) > 0
+    return _turn(a, b, q) > 0 or _turn(b, c, q) > 0
+
+
 def _within(p, a, b, c) -> bool:
     s = [_turn(a, b, p), _turn(b, c, p), _turn(c, a, p)]
     return min(s) >= 0 or max(s) <= 0
@@ -202,5 +225,20 @@ def _is_ear(ring, at, k, strict: bool) -> bool:
     turn = _turn(a, b, c)
     if turn < 0 or (strict and turn == 0):
         return False
-    others = (ring[i] for i in at if ring[i] not in (a, b, c))
-    return not any(_within(p, a, b, c) for p in others) if turn > 0 else True
+    if turn == 0:
+        return True
+    n = len(at)
+    for o in range(n):
+        p = ring[at[o]]
+        if p in (a, b, c):
+            if (o - k + 1) % n > 2 and any(_between(p, q, a, b, c) for q in (ring[at[o - 1]], ring[at[(o + 1) % n]])):
+                return False
+        elif _within(p, a, b, c):
+            return False
+    return True
+
+
+def _between(p, q, a, b, c) -> bool:
+    """Whether a side from p, a corner of the triangle, to q starts within it."""
+    first, last = {a: (b, c), b: (c, a), c: (a, b)}[p]
+    return _turn(p, first, q) > 0 > _turn(p, last, q)

@@ -84,6 +84,20 @@ def test_ears_of_odd_shapes():
     assert area == pytest.approx(abs(polygons._signed(star)) - sum(abs(polygons._signed(h)) for h in holes))
 
 
+def test_triangles_where_rings_touch(spark):
+    """Holes that meet their ring, each other or themselves at corners: all of the area, once."""
+    rng = random.Random(2)
+    cells = spark.createDataFrame([(k // 40, k % 40) for k in range(4000) if rng.random() < 0.55], "row long, col long")
+    p = polygons.from_cells(cells, 40).cache()
+    m = polygons.measures(p).groupBy("poly").agg((F.sum("n_corners") + 2 * F.count("*") - 4).alias("n"), F.sum("area").alias("area"))
+    area = lambda t: abs((t.xs[1] - t.xs[0]) * (t.ys[2] - t.ys[0]) - (t.ys[1] - t.ys[0]) * (t.xs[2] - t.xs[0])) / 2
+    got = {}
+    for t in polygons.triangulate(p).collect():
+        n, a = got.get(t.poly, (0, 0.0))
+        got[t.poly] = n + 1, a + area(t)
+    assert got == {r.poly: (r.n, r.area) for r in m.collect()}
+
+
 def test_contours_join_into_lines(spark):
     cells = spark.range(400).select((F.col("id") / 20).cast("long").alias("row"), (F.col("id") % 20).alias("col")).withColumn("z", 50.0 - (F.col("row") - 9.5) * (F.col("row") - 9.5) - (F.col("col") - 9.5) * (F.col("col") - 9.5))
     lines = raster.contour_lines(cells, 20.0).orderBy("line", "seq").collect()
