@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import checkpointed
 
+#: Times that a cell is halved at most, and before the first comparison (of 64 cells with 64 at most).
+_HALVES, _FIRST = 30, 3
+
 
 def bucket(x: str, y: str, size: float) -> Column:
     return F.struct(F.floor(F.col(x) / size).alias("bx"), F.floor(F.col(y) / size).alias("by"))
@@ -31,27 +34,59 @@ def nearest_within(points: DataFrame, key: str, targets: DataFrame, radius: floa
     return met.groupBy(key).agg(F.min(F.struct("d2", target_key)).alias("m")).select(key, f"m.{target_key}", "m.d2")
 
 
-def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, target_key: str = "fid") -> DataFrame:
-    """(key, target_key, d2) of the nearest target of every point, at any distance.
+#: Targets that a cell's points are compared with one by one; above it cells are halved.
+MET = 64
 
-    The first radius holds about three targets at their mean density (``start``
-    where they have no extent). Points that find none try again with four times
-    the radius; each round is checkpointed once and holds only the points still
-    without one.
+
+def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, target_key: str = "fid") -> DataFrame:
+    """(key, target_key, d2) of the nearest target of every point, at any distance (ties: smaller target_key).
+
+    Distinct places of points and of targets are cut into square cells, halved
+    together round by round, down from one that covers all (of ``start`` if that
+    has no extent). A cell of points keeps only the cells of targets that can hold
+    the nearest one of any of its points, by the bounds of what lies in both.
+    Where those hold ``MET`` targets or fewer, each point looks through them;
+    so neither far points nor crowded targets meet everything.
     """
-    t = targets.agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    if not t.n:
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    t = checkpointed(targets.where(known).groupBy("x", "y").agg(F.min(target_key).alias(target_key)))
+    p = checkpointed(points.where(known).select("x", "y").distinct())
+    extent = t.select("x", "y").unionByName(p).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    if t.isEmpty() or p.isEmpty():
         return points.sparkSession.createDataFrame([], nearest_within(points, key, targets, start, target_key).schema)
-    left, found = points.select(key, "x", "y"), None
-    radius = (t.w * t.h / t.n) ** 0.5 if t.w and t.h else start
+    size = max(extent.w, extent.h) or start
+    part = lambda c, low, k: F.least(F.floor((F.col(c) - low) / size * 2.0**k), F.lit(2**k - 1))
+    cell = lambda k: part("x", extent.x0, k) * 2**_HALVES + part("y", extent.y0, k)
+    bounds = [F.min("x").alias("xa"), F.max("x").alias("xb"), F.min("y").alias("ya"), F.max("y").alias("yb")]
+
+    def cells(df: DataFrame, up: int, k: int, side: str) -> DataFrame:
+        """Cells of level k: (the one they are part of), themselves, bounds and rows."""
+        found = df.groupBy(cell(up).alias(f"{side}up"), cell(k).alias(side)).agg(*bounds, F.count("*").alias("n"))
+        return found.select(f"{side}up", side, *[F.col(c).alias(side + c) for c in ("xa", "xb", "ya", "yb", "n")])
+
+    gap = lambda c: F.greatest(F.col(f"p{c}a") - F.col(f"t{c}b"), F.col(f"t{c}a") - F.col(f"p{c}b"), F.lit(0.0))
+    reach = lambda c: F.greatest(F.col(f"p{c}b") - F.col(f"t{c}a"), F.col(f"t{c}b") - F.col(f"p{c}a"))
+    least, most = gap("x") * gap("x") + gap("y") * gap("y"), reach("x") * reach("x") + reach("y") * reach("y")
+    d2 = lambda c: (F.col("x") - c["x"]) * (F.col("x") - c["x"]) + (F.col("y") - c["y"]) * (F.col("y") - c["y"])
+    own = Window.partitionBy("p")
+    pairs, found, up, k = None, None, _FIRST - 1, _FIRST
     while True:
-        met = checkpointed(left.join(nearest_within(left, key, targets, radius, target_key), key, "left"))
-        now = met.where("d2 is not null").select(key, target_key, "d2")
-        found = now if found is None else found.unionByName(now)
-        left = met.where("d2 is null").select(key, "x", "y")
-        if left.isEmpty():
-            return found
-        radius *= 4
+        ours, theirs = cells(p, up, k, "p"), cells(t, up, k, "t")
+        met = ours.crossJoin(theirs) if pairs is None else pairs.select(F.col("p").alias("pup"), F.col("t").alias("tup")).join(ours, "pup").join(theirs, "tup")
+        met = met.select("p", "t", "tn", least.alias("least"), F.min(most).over(own).alias("_most")).where(F.col("least") <= F.col("_most") * (1 + 1e-9))
+        met = checkpointed(met.select("p", "t", F.sum("tn").over(own).alias("n")))
+        done = met if k == _HALVES else met.where(F.col("n") <= MET)
+        pairs = met.where(F.col("n") > MET)
+        left = pairs.count()
+        last = k == _HALVES or not left
+        if last or not done.isEmpty():
+            held = done.join(t.withColumn("t", cell(k)), "t").groupBy("p").agg(F.collect_list(F.struct("x", "y", target_key)).alias("c"))
+            one = F.array_min(F.transform("c", lambda c: F.struct(d2(c).alias("d2"), c[target_key].alias(target_key))))
+            now = checkpointed(p.withColumn("p", cell(k)).join(held, "p").select("x", "y", one.alias("m")))
+            found = now if found is None else found.unionByName(now)
+        if last:
+            return points.where(known).select(key, "x", "y").join(found, ["x", "y"]).select(key, f"m.{target_key}", "m.d2")
+        up, k = k, min(_HALVES, k + (3 if left <= 1 << 10 else 2 if left <= 1 << 14 else 1))  # few pairs are halved several times at once
 
 
 def boxes_of(boxes: DataFrame, size: float) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from shoalgrid.plans import chains, graph
+from shoalgrid.plans import chains, graph, spatial
 
 
 @pytest.fixture
@@ -74,3 +74,19 @@ def test_chains_of_structs(spark, few, monkeypatch):
     df = df.select(F.coalesce(pair("id"), pair("id")).alias("id"), pair("prev").alias("prev"))
     got = {r.id.a * 10 + r.id.b: (r.root.a * 10 + r.root.b, r.seq) for r in chains.traced(df).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("crowd", [False, True])
+def test_nearest_of_far_points_and_crowds(spark, monkeypatch, crowd):
+    rng = random.Random(3)
+    targets = [(k, float(rng.randrange(12)), float(rng.randrange(12))) for k in range(900)]  # many at one place
+    if crowd:
+        targets = [(k, x / 64, y / 64) for k, x, y in targets] + [(900, 5000.0, 5000.0)]
+    points = [(k, float(rng.randrange(40)), float(rng.randrange(4)) * 10.0**rng.randrange(4)) for k in range(300)] + [(300, -7.5, 3.0), (301, 1e6, 1e6)]
+    joined = []
+    monkeypatch.setattr(spatial, "nearest_within", lambda *a: joined.append(a) or fail())
+    p, t = spark.createDataFrame(points, "pid long, x double, y double"), spark.createDataFrame(targets, "fid long, x double, y double")
+    want = {k: min(((x - u) ** 2 + (y - v) ** 2, f) for f, u, v in targets) for k, x, y in points}
+    assert {r.pid: (r.d2, r.fid) for r in spatial.nearest(p, "pid", t, 2.0).collect()} == want
+    same = spark.createDataFrame([(1, 4.0, 4.0), (2, 4.0, 4.0)], "pid long, x double, y double")
+    assert [tuple(r) for r in spatial.nearest(same, "pid", same.select(F.col("pid").alias("fid"), "x", "y"), 2.0).orderBy("pid").collect()] == [(1, 1, 0.0), (2, 1, 0.0)]
