@@ -6,6 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from shoalgrid.operators import raster
 from shoalgrid.plans import chains, graph, spatial
 
 
@@ -90,3 +91,11 @@ def test_nearest_of_far_points_and_crowds(spark, monkeypatch, crowd):
     assert {r.pid: (r.d2, r.fid) for r in spatial.nearest(p, "pid", t, 2.0).collect()} == want
     same = spark.createDataFrame([(1, 4.0, 4.0), (2, 4.0, 4.0)], "pid long, x double, y double")
     assert [tuple(r) for r in spatial.nearest(same, "pid", same.select(F.col("pid").alias("fid"), "x", "y"), 2.0).orderBy("pid").collect()] == [(1, 1, 0.0), (2, 1, 0.0)]
+
+
+def test_gaps_far_from_all_cells(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "nearest_within", fail)
+    cells = [(r, c, float(10 * r + c) if r < 3 or (r, c) == (4000, 1) else None) for r in [*range(6), 2001, 2002, 3999, 4000] for c in range(3)]
+    got = {(r.row, r.col): r.z for r in raster.fill_nearest(spark.createDataFrame(cells, "row long, col long, z double")).collect()}
+    known = [(r, c, z) for r, c, z in cells if z is not None]
+    assert got == {(r, c): z if z is not None else min(((r - u) ** 2 + (c - v) ** 2, u, v, w) for u, v, w in known)[3] for r, c, z in cells}
