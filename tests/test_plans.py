@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from shoalgrid.operators import raster
+from shoalgrid.operators import interpolate, raster
 from shoalgrid.plans import chains, graph, spatial
 
 
@@ -99,3 +99,10 @@ def test_gaps_far_from_all_cells(spark, monkeypatch):
     got = {(r.row, r.col): r.z for r in raster.fill_nearest(spark.createDataFrame(cells, "row long, col long, z double")).collect()}
     known = [(r, c, z) for r, c, z in cells if z is not None]
     assert got == {(r, c): z if z is not None else min(((r - u) ** 2 + (c - v) ** 2, u, v, w) for u, v, w in known)[3] for r, c, z in cells}
+
+
+def test_values_of_crowded_places(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "nearest_within", fail)
+    places = spark.range(500).select(F.col("id").alias("fid"), (F.col("id") % 2).cast("double").alias("x"), F.lit(0.0).alias("y"), F.col("id").cast("double").alias("value"))
+    points = spark.createDataFrame([(1, 0.4, 5.0), (2, 0.6, 5.0), (3, 0.5, 700.0), (4, 0.4, 5.0)], "pid long, x double, y double")
+    assert {r.pid: r.value for r in interpolate.nearest_value(points, places).collect()} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 0.0}
