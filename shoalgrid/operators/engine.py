@@ -9,6 +9,7 @@ triangles, coverage up to the resampled border, and sizes near those asked for.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,31 +134,39 @@ def difference(elements: DataFrame, nodes: DataFrame, polygons: DataFrame, size:
 def fill_holes(elements: DataFrame, nodes: DataFrame, least: float = 0.0, most: float = math.inf) -> DataFrame:
     """(elem_id, etype, nodes) of triangles that close interior rings with an area from ``least`` to ``most``.
 
-    Only the ring's own nodes are used; a ring is closed in one task. New ids
+    Only the ring's own nodes are used; a ring is closed in one task, ring by ring,
+    and once: the triangles are checkpointed before they are numbered. New ids
     follow those of the mesh, ring after ring.
     """
+    from ..plans.numbering import checkpointed, numbered
     from .boundaries import ring_types, rings
 
-    traced = rings(elements, nodes)
+    traced = checkpointed(rings(elements, nodes))
     kinds = ring_types(traced).where((F.col("ring_type") == "interior") & F.abs("area").between(least, most))
     holes = traced.join(kinds.select("component", "ring"), ["component", "ring"], "left_semi")
-
-    def close(pdf):
-        import pandas as pd
-
-        ring = pdf.sort_values("seq")
-        ids, points = ring.node_id.tolist(), list(zip(ring.x, ring.y))
-        tri = [t for t in delaunay(points) if inside([points], sum(points[i][0] for i in t) / 3, sum(points[i][1] for i in t) / 3)]
-        rows = [(int(ring.component.iloc[0]), int(ring.ring.iloc[0]), k, [int(ids[i]) for i in t]) for k, t in enumerate(tri)]
-        return pd.DataFrame(rows, columns=["component", "ring", "k", "nodes"])
-
-    new = holes.groupBy("component", "ring").applyInPandas(close, "component long, ring int, k int, nodes array<long>")
-    from ..plans.numbering import numbered
-
+    corner = F.array_sort(F.collect_list(F.struct("seq", "node_id", "x", "y")))
+    holes = holes.groupBy("component", "ring").agg(corner.alias("c")).select("component", "ring", F.col("c.node_id").alias("ids"), F.col("c.x").alias("xs"), F.col("c.y").alias("ys"))
+    new = checkpointed(holes.mapInArrow(_closed, "component long, ring int, k int, nodes array<long>"))
     top = (elements.agg(F.max("elem_id")).first()[0] or 0) + 1
     return numbered(new, ["component", "ring", "k"], "_n").select((F.col("_n") + top).alias("elem_id"), F.lit("tria").alias("etype"), "nodes")
 
 
+def _closed(batches: Iterator) -> Iterator:
+    """(component, ring, k, nodes): the triangles of each ring (component, ring, ids, xs, ys)."""
+    import pyarrow as pa
+
+    schema = pa.schema([("component", pa.int64()), ("ring", pa.int32()), ("k", pa.int32()), ("nodes", pa.list_(pa.int64()))])
+    for batch in batches:
+        out: dict[str, list] = {c: [] for c in schema.names}
+        for component, ring, ids, xs, ys in zip(*(batch.column(c).to_pylist() for c in ("component", "ring", "ids", "xs", "ys"))):
+            points = list(zip(xs, ys))
+            tri = [t for t in delaunay(points) if inside([points], sum(points[i][0] for i in t) / 3, sum(points[i][1] for i in t) / 3)]
+            for k, t in enumerate(tri):
+                for c, value in zip(schema.names, (component, ring, k, [ids[i] for i in t])):
+                    out[c].append(value)
+        yield pa.RecordBatch.from_pydict(out, schema)
+
+
 def merge_overlapping(background: tuple[DataFrame, DataFrame], foreground: tuple[DataFrame, DataFrame], buffer: float) -> tuple[DataFrame, DataFrame]:
     """Carve the foreground and a buffer out of the background and close the gap with triangles between both rims.
 

@@ -45,6 +45,14 @@ def test_holes_and_gaps_close(spark):
     assert mesh.element_components(all_).select("component").distinct().count() == 1
 
 
+def test_holes_are_closed_once(spark):
+    nodes, e = lattice(spark, 9, 9, hole=F.col("cell").isin(18, 19, 26, 27, 45))
+    new = engine.fill_holes(e, nodes)
+    assert sorted(r.elem_id for r in new.collect()) == list(range(128, 136))
+    plan = new._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan  # else every use closes all holes again
+
+
 def test_engine_covers_a_polygon_with_a_hole(spark):
     ring = lambda k, pts: [(0, k, i, float(x), float(y)) for i, (x, y) in enumerate(pts)]
     rows = ring(0, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, [(1, 1), (1, 2), (2, 2), (2, 1)])
