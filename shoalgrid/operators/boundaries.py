@@ -42,8 +42,8 @@ def ring_types(traced: DataFrame) -> DataFrame:
 
 
 def hull(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rings with their types: the polygons of a mesh, all parts."""
-    traced = rings(elements, nodes)
+    """Rings with their types: the polygons of a mesh, all parts. Rings are checkpointed, as they are read twice."""
+    traced = mesh.checkpointed(rings(elements, nodes))
     return traced.join(ring_types(traced).select("component", "ring", "ring_type"), ["component", "ring"])
 
 
@@ -77,11 +77,10 @@ def set_region(boundaries: DataFrame, nodes: DataFrame, region: Column, btype: s
     """
     if btype not in ("open", "land"):
         raise ValueError("exterior edges are open or land")
-    inside = nodes.where(region).select("node_id")
-    either = boundaries.join(inside, F.col("a") == F.col("node_id"), "left_semi").unionByName(boundaries.join(inside, F.col("b") == F.col("node_id"), "left_semi"))
-    hit = either.select("a", "b").distinct().withColumn("hit", F.lit(True))
-    out = boundaries.join(hit, ["a", "b"], "left")
-    change = F.col("hit").isNotNull() & (F.col("btype") != "interior")
+    inside = nodes.where(region).select("node_id").distinct()
+    end = lambda c: inside.select(F.col("node_id").alias(c), F.lit(True).alias(f"_{c}"))
+    out = boundaries.join(end("a"), "a", "left").join(end("b"), "b", "left")  # boundaries are read once
+    change = (F.col("_a").isNotNull() | F.col("_b").isNotNull()) & (F.col("btype") != "interior")
     return out.select("a", "b", F.when(change, btype).otherwise(F.col("btype")).alias("btype"), F.when(change, F.lit(ibtype)).otherwise(F.col("ibtype")).cast("int").alias("ibtype"))
 
 

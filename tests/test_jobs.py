@@ -34,6 +34,17 @@ def test_rings_islands_and_regions(spark):
         boundaries.auto_generate(e, nodes.withColumn("value", F.lit(float("nan")))).collect()
 
 
+def test_region_reads_boundaries_and_rings_once(spark):
+    nodes, e = lattice(spark, 5, 6, hole=F.col("cell") + 1 == 10)
+    typed = boundaries.auto_generate(e, nodes)
+    moved = boundaries.set_region(typed, nodes.unionByName(nodes), F.col("y") < 0.5, "open")  # an edge with both ends in it, and nodes that repeat, count once
+    assert {r.btype: r["count"] for r in moved.groupBy("btype").count().collect()} == {"open": 4 + 2, "land": 18 - 6, "interior": 4}
+    assert {r.btype: r["count"] for r in boundaries.set_region(typed, nodes, F.lit(False), "open").groupBy("btype").count().collect()} == {"land": 18, "interior": 4}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(moved).count("Window") == plan(typed).count("Window")
+    assert "Range (" not in plan(boundaries.hull(e, nodes))  # a checkpoint, not the joins that the rings come from
+
+
 def test_holes_and_gaps_close(spark):
     nodes, e = lattice(spark, 9, 9, hole=F.col("cell").isin(18, 19, 26, 27, 45))
     new = engine.fill_holes(e, nodes)
