@@ -94,8 +94,8 @@ def type_of(ibtype: Column) -> Column:
 
 
 def chains(boundaries: DataFrame) -> DataFrame:
-    """(bnd, btype, n_edges): connected runs of edges of a type; bnd is the smallest node."""
+    """(bnd, btype, n_edges): connected runs of edges of a type; bnd is the smallest node. Edges are checkpointed, as they are read twice."""
     kind = F.when(F.col("btype") == "open", 0).when(F.col("btype") == "land", 1).otherwise(2)
-    e = boundaries.withColumn("_ka", F.col("a") * 3 + kind).withColumn("_kb", F.col("b") * 3 + kind)
+    e = mesh.checkpointed(boundaries.select("btype", (F.col("a") * 3 + kind).alias("_ka"), (F.col("b") * 3 + kind).alias("_kb")))
     roots = components(e.select(F.col("_ka").alias("a"), F.col("_kb").alias("b")))
     return e.join(roots, F.col("_ka") == F.col("node")).groupBy(F.floor(F.col("root") / 3).alias("bnd"), "btype").agg(F.count("*").alias("n_edges"))

@@ -45,6 +45,21 @@ def test_region_reads_boundaries_and_rings_once(spark):
     assert "Range (" not in plan(boundaries.hull(e, nodes))  # a checkpoint, not the joins that the rings come from
 
 
+def test_runs_read_edges_once(spark):
+    edges = [(0, 1, "open"), (1, 2, "open"), (2, 3, "land"), (3, 4, "land"), (7, 8, "open"), (9, 8, "open"), (4, 0, "interior")]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    table = spark.createDataFrame(edges, "a long, b long, btype string")
+    runs = boundaries.chains(table.mapInArrow(counted, table.schema))
+    assert sorted(tuple(r) for r in runs.collect()) == [(0, "interior", 1), (0, "open", 2), (2, "land", 2), (7, "open", 2)]
+    assert read.value == len(edges)
+
+
 def test_holes_and_gaps_close(spark):
     nodes, e = lattice(spark, 9, 9, hole=F.col("cell").isin(18, 19, 26, 27, 45))
     new = engine.fill_holes(e, nodes)
