@@ -10,13 +10,21 @@ from .mesh import corners, triangulation
 
 
 def from_raster_linear(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Points (pid, x, y) with z between the four cells around (x to columns, y to rows); no row outside or at missing cells."""
+    """Points (pid, x, y) with z between the four cells around (x to columns, y to rows); no row outside or at missing cells.
+
+    The cells are gathered by fours, so that a point stays one row and meets them once.
+    """
+    corners_ = [(i, j) for i in (0, 1) for j in (0, 1)]
+    part = F.inline(F.array(*[F.struct((F.col("row") - i).cast("long").alias("r0"), (F.col("col") - j).cast("long").alias("c0"), F.lit(k).alias("k")) for k, (i, j) in enumerate(corners_)]))
+    fours = cells.where("z is not null").select("z", part).groupBy("r0", "c0").agg(*[F.max(F.when(F.col("k") == k, F.col("z"))).alias(f"_z{k}") for k in range(4)])
     at = points.withColumn("c0", F.floor("x").cast("long")).withColumn("r0", F.floor("y").cast("long"))
-    at = at.withColumn("fx", F.col("x") - F.col("c0")).withColumn("fy", F.col("y") - F.col("r0"))
-    part = F.explode(F.array(*[F.struct((F.col("r0") + i).alias("row"), (F.col("c0") + j).alias("col"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if j else 1 - F.col("fx"))).alias("w")) for i in (0, 1) for j in (0, 1)]))
-    parts = at.select("pid", part.alias("p")).select("pid", "p.*").where("w > 0")  # a point on a line of cells needs only those
-    met = parts.join(cells.where("z is not null").select("row", "col", "z"), ["row", "col"], "left")
-    return met.groupBy("pid").agg(F.sum(F.col("w") * F.col("z")).alias("z"), F.max(F.col("z").isNull()).alias("gap")).where("not gap").select("pid", "z")
+    fx, fy = F.col("x") - F.col("c0"), F.col("y") - F.col("r0")
+    z, gap = F.lit(0.0), F.lit(False)
+    for k, (i, j) in enumerate(corners_):
+        w = (fy if i else 1 - fy) * (fx if j else 1 - fx)
+        gap = gap | ((w > 0) & F.col(f"_z{k}").isNull())  # a point on a line of cells needs only those
+        z = z + F.when(w > 0, w * F.col(f"_z{k}")).otherwise(0.0)
+    return at.join(fours, ["r0", "c0"]).where(~gap).select("pid", z.alias("z"))
 
 
 def from_raster_cubic(points: DataFrame, cells: DataFrame) -> DataFrame:

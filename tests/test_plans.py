@@ -106,3 +106,18 @@ def test_values_of_crowded_places(spark, monkeypatch):
     places = spark.range(500).select(F.col("id").alias("fid"), (F.col("id") % 2).cast("double").alias("x"), F.lit(0.0).alias("y"), F.col("id").cast("double").alias("value"))
     points = spark.createDataFrame([(1, 0.4, 5.0), (2, 0.6, 5.0), (3, 0.5, 700.0), (4, 0.4, 5.0)], "pid long, x double, y double")
     assert {r.pid: r.value for r in interpolate.nearest_value(points, places).collect()} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 0.0}
+
+
+def test_points_between_cells_stay_single_rows(spark):
+    cells = [(r, c, None if (r, c) in ((1, 1), (3, 3)) else float(7 * r + c * c)) for r in range(5) for c in range(5)]
+    at = [(k, x / 4, y / 4) for k, (x, y) in enumerate((x, y) for x in range(-2, 19) for y in range(-2, 19))]
+    known, want = {(r, c): z for r, c, z in cells if z is not None}, {}
+    for k, x, y in at:
+        parts = [((y % 1 if i else 1 - y % 1) * (x % 1 if j else 1 - x % 1), known.get((y // 1 + i, x // 1 + j))) for i in (0, 1) for j in (0, 1)]
+        parts = [p for p in parts if p[0] > 0]
+        if all(z is not None for _, z in parts):
+            want[k] = sum(w * z for w, z in parts)
+    points = spark.createDataFrame([*at, (-1, None, 1.0)], "pid long, x double, y double")
+    got = interpolate.from_raster_linear(points, spark.createDataFrame(cells, "row long, col long, z double"))
+    assert {r.pid: r.z for r in got.collect()} == want
+    assert "Aggregate [pid" not in got._jdf.queryExecution().optimizedPlan().toString()  # four rows of a point, dealt twice
