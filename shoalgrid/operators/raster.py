@@ -177,11 +177,14 @@ def slope(cells: DataFrame, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
 
 
 def fill_nearest(cells: DataFrame) -> DataFrame:
-    """Missing cells take the value of the nearest cell with data (ties: smaller row, then column)."""
+    """Missing cells take the value of the nearest cell with data (ties: smaller row, then column).
+
+    Cells are joined by merging: Spark's guess of a file's size would have the driver hold them all.
+    """
     at = cells.select(F.struct("row", "col").alias("cell"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "z")
     near = nearest(at.where("z is null"), "cell", at.where("z is not null").select(F.col("cell").alias("source"), "x", "y"), 2.0, "source")
-    near = near.join(at.select(F.col("cell").alias("source"), F.col("z").alias("_z")), "source").select("cell.row", "cell.col", "_z")
-    return cells.join(near, ["row", "col"], "left").select("row", "col", F.coalesce("z", "_z").alias("z"))
+    near = near.join(at.select(F.col("cell").alias("source"), F.col("z").alias("_z")).hint("merge"), "source").select("cell.row", "cell.col", "_z")
+    return cells.join(near.hint("merge"), ["row", "col"], "left").select("row", "col", F.coalesce("z", "_z").alias("z"))
 
 
 # -- resampling ----------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from .numbering import checkpointed
 
 #: Times that a cell is halved at most, and before the first comparison (of 64 cells with 64 at most).
 _HALVES, _FIRST = 30, 3
+#: Places that are broadcast to the points at most.
+_SENT = 1 << 13
 
 
 def bucket(x: str, y: str, size: float) -> Column:
@@ -46,7 +48,8 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, targe
     has no extent). A cell of points keeps only the cells of targets that can hold
     the nearest one of any of its points, by the bounds of what lies in both.
     Where those hold ``MET`` targets or fewer, each point looks through them;
-    so neither far points nor crowded targets meet everything.
+    so neither far points nor crowded targets meet everything. Points, targets and
+    cells are joined by merging: a broadcast would gather them on the driver.
     """
     known = F.col("x").isNotNull() & F.col("y").isNotNull()
     t = checkpointed(targets.where(known).groupBy("x", "y").agg(F.min(target_key).alias(target_key)))
@@ -72,7 +75,7 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, targe
     pairs, found, up, k = None, None, _FIRST - 1, _FIRST
     while True:
         ours, theirs = cells(p, up, k, "p"), cells(t, up, k, "t")
-        met = ours.crossJoin(theirs) if pairs is None else pairs.select(F.col("p").alias("pup"), F.col("t").alias("tup")).join(ours, "pup").join(theirs, "tup")
+        met = ours.crossJoin(theirs) if pairs is None else pairs.select(F.col("p").alias("pup"), F.col("t").alias("tup")).join(ours.hint("merge"), "pup").join(theirs.hint("merge"), "tup")
         met = met.select("p", "t", "tn", least.alias("least"), F.min(most).over(own).alias("_most")).where(F.col("least") <= F.col("_most") * (1 + 1e-9))
         met = checkpointed(met.select("p", "t", F.sum("tn").over(own).alias("n")))
         done = met if k == _HALVES else met.where(F.col("n") <= MET)
@@ -80,11 +83,12 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, start: float, targe
         left = pairs.count()
         last = k == _HALVES or not left
         if last or not done.isEmpty():
-            held = done.join(t.withColumn("t", cell(k)), "t").groupBy("p").agg(F.collect_list(F.struct("x", "y", target_key)).alias("c"))
+            held = done.join(t.withColumn("t", cell(k)).hint("merge"), "t").groupBy("p").agg(F.collect_list(F.struct("x", "y", target_key)).alias("c"))
             one = F.array_min(F.transform("c", lambda c: F.struct(d2(c).alias("d2"), c[target_key].alias(target_key))))
-            now = checkpointed(p.withColumn("p", cell(k)).join(held, "p").select("x", "y", one.alias("m")))
+            now = checkpointed(p.withColumn("p", cell(k)).hint("merge").join(held, "p").select("x", "y", one.alias("m")))
             found = now if found is None else found.unionByName(now)
         if last:
+            found = F.broadcast(found) if found.count() <= _SENT else found.hint("merge")  # points are never sent to the driver
             return points.where(known).select(key, "x", "y").join(found, ["x", "y"]).select(key, f"m.{target_key}", "m.d2")
         up, k = k, min(_HALVES, k + (3 if left <= 1 << 10 else 2 if left <= 1 << 14 else 1))  # few pairs are halved several times at once
 

@@ -121,3 +121,13 @@ def test_points_between_cells_stay_single_rows(spark):
     got = interpolate.from_raster_linear(points, spark.createDataFrame(cells, "row long, col long, z double"))
     assert {r.pid: r.z for r in got.collect()} == want
     assert "Aggregate [pid" not in got._jdf.queryExecution().optimizedPlan().toString()  # four rows of a point, dealt twice
+
+
+def test_cells_are_not_sent_to_the_driver(spark, monkeypatch):
+    plans, own = [], spatial.checkpointed
+    monkeypatch.setattr(spatial, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or own(df))
+    monkeypatch.setattr(spatial, "_SENT", 0, raising=False)
+    cells = spark.range(600).select(F.floor(F.col("id") / 20).alias("row"), (F.col("id") % 20).alias("col"), F.when(F.col("id") % 7 != 0, F.col("id").cast("double")).alias("z"))
+    filled = raster.fill_nearest(cells)
+    assert "Broadcast" not in filled._jdf.queryExecution().sparkPlan().toString() and not [p for p in plans if "BroadcastHashJoin" in p]
+    assert filled.where("z is null").isEmpty() and filled.count() == 600
