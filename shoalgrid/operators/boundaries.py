@@ -23,13 +23,13 @@ def rings(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     arrive, by their first node, go on with those that leave, by their last one.
     Edges are traced by pointer doubling: no task holds a coastline.
     """
-    marked = mesh.directed_boundary(elements).join(mesh.element_components(elements), "elem_id").select("component", "a", "b")
+    marked = mesh.directed_boundary(elements).join(mesh.element_components(elements).hint("merge"), "elem_id").select("component", "a", "b")
     edges = mesh.checkpointed(marked)
     found = traced(mesh.preceding(edges, ["component"]).select(F.struct("a", "b").alias("id"), "prev"))
-    first = edges.join(found.where("seq = 0").select("id.a", "id.b", F.col("id").alias("root")), ["a", "b"])
+    first = edges.join(found.where("seq = 0").select("id.a", "id.b", F.col("id").alias("root")).hint("merge"), ["a", "b"])
     number = first.select("root", "component", (F.row_number().over(Window.partitionBy("component").orderBy("root")) - 1).alias("ring"))  # a row a ring
-    out = found.join(number, "root").select("component", "ring", F.col("seq").cast("int").alias("seq"), F.col("id.a").alias("node_id"))
-    return out.join(nodes.select("node_id", "x", "y"), "node_id").select("component", "ring", "seq", "node_id", "x", "y")
+    out = found.join(number.hint("merge"), "root").select("component", "ring", F.col("seq").cast("int").alias("seq"), F.col("id.a").alias("node_id"))
+    return out.join(nodes.select("node_id", "x", "y").hint("merge"), "node_id").select("component", "ring", "seq", "node_id", "x", "y")
 
 
 def ring_types(traced: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def ring_types(traced: DataFrame) -> DataFrame:
 def hull(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rings with their types: the polygons of a mesh, all parts. Rings are checkpointed, as they are read twice."""
     traced = mesh.checkpointed(rings(elements, nodes))
-    return traced.join(ring_types(traced).select("component", "ring", "ring_type"), ["component", "ring"])
+    return traced.join(ring_types(traced).select("component", "ring", "ring_type").hint("merge"), ["component", "ring"])
 
 
 def edges_of(rings_: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def edges_of(rings_: DataFrame) -> DataFrame:
 def auto_generate(elements: DataFrame, nodes: DataFrame, threshold: float = 0.0, land_ibtype: int = 0, interior_ibtype: int = 1) -> DataFrame:
     """(a, b, btype, ibtype): exterior edges open or land by elevation, edges of interior rings islands."""
     e = edges_of(hull(elements, nodes))
-    z = lambda c: nodes.select(F.col("node_id").alias(c), F.col("value").alias(f"z{c}"))
+    z = lambda c: nodes.select(F.col("node_id").alias(c), F.col("value").alias(f"z{c}")).hint("merge")
     e = e.join(z("a"), "a").join(z("b"), "b")
     bad = F.col("za").isNull() | F.col("zb").isNull() | F.isnan("za") | F.isnan("zb")
     land = (F.col("za") >= threshold) | (F.col("zb") >= threshold)
@@ -78,7 +78,7 @@ def set_region(boundaries: DataFrame, nodes: DataFrame, region: Column, btype: s
     if btype not in ("open", "land"):
         raise ValueError("exterior edges are open or land")
     inside = nodes.where(region).select("node_id").distinct()
-    end = lambda c: inside.select(F.col("node_id").alias(c), F.lit(True).alias(f"_{c}"))
+    end = lambda c: inside.select(F.col("node_id").alias(c), F.lit(True).alias(f"_{c}")).hint("merge")
     out = boundaries.join(end("a"), "a", "left").join(end("b"), "b", "left")  # boundaries are read once
     change = (F.col("_a").isNotNull() | F.col("_b").isNotNull()) & (F.col("btype") != "interior")
     return out.select("a", "b", F.when(change, btype).otherwise(F.col("btype")).alias("btype"), F.when(change, F.lit(ibtype)).otherwise(F.col("ibtype")).cast("int").alias("ibtype"))
@@ -98,4 +98,4 @@ def chains(boundaries: DataFrame) -> DataFrame:
     kind = F.when(F.col("btype") == "open", 0).when(F.col("btype") == "land", 1).otherwise(2)
     e = mesh.checkpointed(boundaries.select("btype", (F.col("a") * 3 + kind).alias("_ka"), (F.col("b") * 3 + kind).alias("_kb")))
     roots = components(e.select(F.col("_ka").alias("a"), F.col("_kb").alias("b")))
-    return e.join(roots, F.col("_ka") == F.col("node")).groupBy(F.floor(F.col("root") / 3).alias("bnd"), "btype").agg(F.count("*").alias("n_edges"))
+    return e.join(roots.hint("merge"), F.col("_ka") == F.col("node")).groupBy(F.floor(F.col("root") / 3).alias("bnd"), "btype").agg(F.count("*").alias("n_edges"))

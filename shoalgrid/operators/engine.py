@@ -143,7 +143,7 @@ def fill_holes(elements: DataFrame, nodes: DataFrame, least: float = 0.0, most:
 
     traced = checkpointed(rings(elements, nodes))
     kinds = ring_types(traced).where((F.col("ring_type") == "interior") & F.abs("area").between(least, most))
-    holes = traced.join(kinds.select("component", "ring"), ["component", "ring"], "left_semi")
+    holes = traced.join(kinds.select("component", "ring").hint("merge"), ["component", "ring"], "left_semi")
     corner = F.array_sort(F.collect_list(F.struct("seq", "node_id", "x", "y")))
     holes = holes.groupBy("component", "ring").agg(corner.alias("c")).select("component", "ring", F.col("c.node_id").alias("ids"), F.col("c.x").alias("xs"), F.col("c.y").alias("ys"))
     new = checkpointed(holes.mapInArrow(_closed, "component long, ring int, k int, nodes array<long>"))

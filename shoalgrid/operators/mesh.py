@@ -42,7 +42,7 @@ def rectangle_elements(spark, nx: int, ny: int, hole: Column | None = None, quad
 def corners(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Elements with the arrays xs, ys and values of their corners."""
     parts = elements.select("elem_id", "etype", "nodes", F.posexplode("nodes").alias("pos", "node_id"))
-    joined = parts.join(nodes.select("node_id", "x", "y", "value"), "node_id")
+    joined = parts.join(nodes.select("node_id", "x", "y", "value").hint("merge"), "node_id")
     ring = F.array_sort(F.collect_list(F.struct("pos", "x", "y", "value")))
     found = joined.groupBy("elem_id").agg(F.first("etype").alias("etype"), F.first("nodes").alias("nodes"), ring.alias("c"))
     return found.select("elem_id", "etype", "nodes", F.col("c.x").alias("xs"), F.col("c.y").alias("ys"), F.col("c.value").alias("values"))
@@ -318,9 +318,9 @@ def element_components(elements: DataFrame) -> DataFrame:
     """(elem_id, component): elements connected through shared edges; component is the smallest elem_id."""
     s = sides(elements)
     hub = s.groupBy("u", "v").agg(F.min("elem_id").alias("a"))
-    links = s.join(hub, ["u", "v"]).where("elem_id <> a").select("a", F.col("elem_id").alias("b"))
+    links = s.join(hub.hint("merge"), ["u", "v"]).where("elem_id <> a").select("a", F.col("elem_id").alias("b"))
     roots = components(links)
-    return elements.select("elem_id").join(roots, F.col("elem_id") == F.col("node"), "left").select("elem_id", F.coalesce("root", "elem_id").alias("component"))
+    return elements.select("elem_id").join(roots.hint("merge"), F.col("elem_id") == F.col("node"), "left").select("elem_id", F.coalesce("root", "elem_id").alias("component"))
 
 
 def component_areas(elements: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def directed_boundary(elements: DataFrame) -> DataFrame:
     """(elem_id, a, b): boundary edges in the direction of their element's ring."""
     steps = F.expr("transform(nodes, (a, i) -> struct(a as a, nodes[(i + 1) % size(nodes)] as b))")
     directed = elements.select("elem_id", F.inline(steps))
-    return directed.join(boundary_edges(elements), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v"))).select("elem_id", "a", "b")
+    return directed.join(boundary_edges(elements).hint("merge"), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v"))).select("elem_id", "a", "b")
 
 
 def preceding(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -370,7 +370,7 @@ def preceding(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     leaving = edges.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("b")))
     arriving = edges.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "b").orderBy("a"))).select(*keys, F.col("b").alias("_at"), "_k", F.struct("a", "b").alias("prev"))
-    met = leaving.withColumn("_at", F.col("a")).join(arriving, [*keys, "_at", "_k"], "left")
+    met = leaving.withColumn("_at", F.col("a")).join(arriving.hint("merge"), [*keys, "_at", "_k"], "left")
     return met.select(*keys, "a", "b", "prev")
 
 

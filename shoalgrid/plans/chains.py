@@ -31,16 +31,16 @@ def traced(links: DataFrame) -> DataFrame:
     n = links.count()
     if n <= LOCAL:
         return checkpointed(links.coalesce(1).mapInArrow(_walk, f"id {kind}, root {kind}, seq long"))
-    known = links.join(links.select(F.col("id").alias("prev"), F.lit(True).alias("_known")), "prev", "left")
+    known = links.join(links.select(F.col("id").alias("prev"), F.lit(True).alias("_known")).hint("merge"), "prev", "left")
     known = known.select("id", F.when(F.col("_known"), F.col("prev")).alias("prev"))  # a prev that isn't there is none
     walked = checkpointed(known.repartitionByRange(-(-n // LOCAL), "id").mapInArrow(_stretches, f"id {kind}, head {kind}, seq long, prev {kind}, closed boolean"))
     stretches = walked.where("not closed").groupBy("head").agg(F.count("*").alias("n"), F.min(F.struct("id", "seq")).alias("low"), F.first("prev", True).alias("prev"))
     before = walked.select(F.col("id").alias("prev"), F.col("head").alias("before"))
-    stretches = checkpointed(stretches.join(before, "prev", "left").select("head", "before", "n", F.col("low.id").alias("low"), F.col("low.seq").alias("at")))
+    stretches = checkpointed(stretches.join(before.hint("merge"), "prev", "left").select("head", "before", "n", F.col("low.id").alias("low"), F.col("low.seq").alias("at")))
     if stretches.count() > LOCAL:
         return _by_doubling(links)
     placed = stretches.coalesce(1).mapInArrow(_placed, f"head {kind}, root {kind}, base long, total long")
-    joined = walked.join(placed, "head", "left")
+    joined = walked.join(placed.hint("merge"), "head", "left")
     seq = F.when(F.col("closed"), F.col("seq")).when(F.col("total").isNull(), F.col("base") + F.col("seq")).otherwise(F.pmod(F.col("base") + F.col("seq"), F.col("total")))
     return checkpointed(joined.select("id", F.coalesce("root", "head").alias("root"), seq.alias("seq")))
 

@@ -23,7 +23,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     graph. Where the ranges don't halve the edges, they are joined by rounds:
     smallest neighbours make a pointer forest; pointers jump to their target's
     own, other edges are hooked to the smallest neighbour, until nothing moves.
-    Two such rounds run to a checkpoint.
+    Two such rounds run to a checkpoint. Ranges are joined by merging: a broadcast
+    would gather nodes on the driver.
     """
     e = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("p")).distinct())
     kind = e.schema["u"].dataType.simpleString()
@@ -32,10 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return checkpointed(e.coalesce(1).mapInArrow(_joined, f"node {kind}, root {kind}"))
     stars = checkpointed(e.repartitionByRange(-(-n // LOCAL), "u").mapInArrow(_joined, f"node {kind}, root {kind}"))
     low = stars.groupBy("node").agg(F.min("root").alias("m"))
-    links = checkpointed(stars.join(low, "node").where("root <> m").select(F.col("root").alias("u"), F.col("m").alias("p")).distinct())
+    links = checkpointed(stars.join(low.hint("merge"), "node").where("root <> m").select(F.col("root").alias("u"), F.col("m").alias("p")).distinct())
     if links.count() * 2 <= n:
         roots = components(links, "u", "p").select(F.col("node").alias("m"), F.col("root").alias("top"))
-        return low.join(roots, "m", "left").select("node", F.coalesce("top", "m").alias("root"))
+        return low.join(roots.hint("merge"), "m", "left").select("node", F.coalesce("top", "m").alias("root"))
     return _by_rounds(e)
 
 

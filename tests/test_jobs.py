@@ -60,6 +60,17 @@ def test_runs_read_edges_once(spark):
     assert read.value == len(edges)
 
 
+def test_boundaries_are_not_sent_to_the_driver(spark, monkeypatch):
+    nodes, e = lattice(spark, 5, 6, hole=F.col("cell") + 1 == 10)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    plans, frame = [], type(nodes)
+    own = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a, **b: plans.append(plan(df)) or own(df, *a, **b))
+    typed = boundaries.auto_generate(e, nodes)
+    plans += [plan(boundaries.set_region(typed, nodes, F.col("y") < 0.5, "open")), plan(boundaries.chains(typed))]
+    assert len(plans) > 5 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
 def test_holes_and_gaps_close(spark):
     nodes, e = lattice(spark, 9, 9, hole=F.col("cell").isin(18, 19, 26, 27, 45))
     new = engine.fill_holes(e, nodes)
